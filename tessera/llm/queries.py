@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, near, packing, quality
+from . import decontam, exact, html, lm, near, packing, quality, tokens, warc
 from .common import table
 
 
@@ -24,11 +24,32 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays of its equal texts."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy word pieces of every document."""
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its WARC record reads."""
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document to the texts labelled good."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm.scored(table(spark, sf_dir, "documents"), good, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49_408)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near duplicates on two-word shingles."""
     return near.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -40,7 +61,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op5_exact_dedup, op9_near_dedup, op10_packing)}
+    found = (
+        op1_decontamination, op2_quality_classifier, op4_html_extraction, op5_exact_dedup, op6_token_counts,
+        op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 _OP5_SQL = r"""
@@ -52,6 +77,17 @@ FROM t JOIN g USING (n)
 """
 
 
+_OP7_SQL = """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), g AS (SELECT h, max(page_id) AS latest FROM t WHERE payload_bytes >= 1000 GROUP BY h)
+SELECT t.page_id, t.payload_bytes, sha1(t.h) AS payload_digest,
+  CASE WHEN g.latest > t.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.latest > t.page_id THEN g.latest END AS refers_to
+FROM t LEFT JOIN g USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query in fair time; the others are tested against brute force."""
-    return {"op5_exact_dedup": _OP5_SQL}
+    return {"op5_exact_dedup": _OP5_SQL, "op7_warc": _OP7_SQL}
