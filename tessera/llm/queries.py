@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, lm, near, packing, quality, tokens, warc
+from . import decontam, exact, html, lm, near, packing, quality, suffix, tokens, warc
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that also start earlier."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extracted(table(spark, sf_dir, "pages"))
@@ -62,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_decontamination, op2_quality_classifier, op4_html_extraction, op5_exact_dedup, op6_token_counts,
+        op1_decontamination, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_exact_dedup, op6_token_counts,
         op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing,
     )
     return {f.__name__: f for f in found}
