@@ -175,9 +175,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = Scratch(docs.sparkSession, "kept").save(kept, "kept")
     # Rows that share one id and one text can't be told apart; only then is a second step needed.
     again = kept.groupBy("_digest").count().where("count > 1").limit(1).count()
-    marked = docs.withColumn("_digest", text_digest(F.col(text_col))).withColumn("_id", F.col(id_col).cast("long"))
+    # The row travels as one struct, so no name of its columns can clash.
+    marked = docs.select(F.struct("*").alias("_row"), text_digest(F.col(text_col)).alias("_digest"), F.col(id_col).cast("long").alias("_id"))
     best = kept.select("_id", "_digest").distinct() if again else kept.select("_id", "_digest")
     out = marked.join(best, (marked["_digest"] == best["_digest"]) & marked["_id"].eqNullSafe(best["_id"]), "left_semi")
     if again:
         out = out.dropDuplicates(["_digest"])
-    return out.drop("_digest", "_id")
+    return out.select("_row.*")

@@ -22,8 +22,8 @@ SEQUENCE = 4096
 #: Token that ends each document.
 END_ID = 2
 DIMS, BITS, BUCKETS = 4, 10, 256
-#: Words whose ids a worker remembers at once.
-_WORDS_KEPT = 600_000
+#: Words, and parts of words, whose ids a worker remembers at once.
+_WORDS_KEPT, _PARTS_KEPT = 200_000, 400_000
 _MEMOS: dict[str, Words] = {}
 
 
@@ -52,7 +52,7 @@ class Words(dict):
         """Ids of one run of letters or of signs in lower case."""
         found = self.parts.get(text)
         if found is None:
-            if len(self.parts) >= _WORDS_KEPT:
+            if len(self.parts) >= _PARTS_KEPT:
                 self.parts.clear()
             named = text.encode().decode("latin-1").translate(self.names)
             found = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(named)], "<u4").tobytes()

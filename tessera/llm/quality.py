@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,25 +158,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(1)], np.float32).reshape(-1, N_FEATURES)
-            score = np.empty(0) if not len(x) else Model(model.mean, model.scale, model.weight, model.bias, model.prior).scores(x.astype(np.float64))
+            score = model.scores(x.astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with a further column ``_score``."""
-
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        x = np.array([features(t) for t in texts], np.float32).reshape(-1, N_FEATURES)
-        return pd.Series(model.scores(x.astype(np.float64)))
-
-    return docs.withColumn("_score", score(F.col(text_col)))
-
-
 def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     """True for the fold whose labels are never learned from; a null id belongs to it."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(True))
@@ -195,4 +183,12 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with all their columns."""
     model = train(docs, labels, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, **sizes)
-    return with_scores(docs, model, text_col).where(F.col("_score") >= least).drop("_score")
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([features(t) for t in texts], np.float32).reshape(-1, N_FEATURES)
+        return pd.Series(model.scores(x.astype(np.float64)))
+
+    # The row travels as one struct, so no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("_row"), score(F.col(text_col)).alias("_score"))
+    return rows.where(F.col("_score") >= least).select("_row.*")

@@ -1,0 +1,319 @@
+"""Each operator against a brute-force version, on rows that hold every odd case."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from tessera.llm import decontam, exact, html, lm, near, packing, quality, suffix, tokens, warc
+
+WORDS = "the of and alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n))
+
+
+def documents(spark, empty=False):
+    """Nulls, blanks, copies, near copies, a long text, repeated rows, a null id, clashing column names."""
+    base = prose(1, 120)
+    w = base.split()
+    rows = [
+        (1, base), (2, base), (3, base.replace(" ", "  \n", 3)), (4, " ".join(w[:60] + ["changed"] + w[61:])), (5, prose(2, 80) + " " + base),
+        (6, ""), (7, None), (8, "  \t\n "), (9, "one"), (10, "One"), (11, "two words"), (12, prose(3, 5000)), (13, prose(4, 90)),
+        (14, prose(4, 90).upper()), (15, "aaaa" * 80), (16, "été à la plage " * 20), (17, prose(5, 40)), (17, prose(5, 40)), (None, prose(6, 30)), (18, "x" * 99),
+    ]
+    rows = [] if empty else [(i, t, "a", 1, b"z", 0.5) for i, t in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, target string, n long, kept binary, score double")
+
+
+def collected(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
+def test_empty_tables(spark):
+    docs = documents(spark, True)
+    none = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    frames = [
+        decontam.contaminated(docs, none), quality.classified(docs, labels), suffix.without_repeats(docs), html.extracted(pages), exact.exact_dedup(docs), exact.deduplicated(docs),
+        tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), warc.archived(pages), lm.scored(docs, labels, path, 49_408, 1 << 12), near.near_duplicates(docs), packing.pack(docs, path),
+    ]
+    for df in frames:
+        assert df.collect() == []
+
+
+def test_exact(spark):
+    docs = documents(spark)
+    got = exact.exact_dedup(docs, history_share=0.3).collect()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    rows = [(r.doc_id, norm(r.text)) for r in docs.collect()]
+    assert len(got) == len(rows)
+    for r in got:
+        texts = {t for i, t in rows if i == r.doc_id}
+        text = next(t for t in texts if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
+        ids = [i for i, t in rows if t == text]
+        least = min((i for i in ids if i is not None), default=None)
+        assert (r.keep_id, r.group_size, r.kept) == (least, len(ids), r.doc_id == least)
+    kept = exact.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted(norm(r.text) for r in kept.collect()) == sorted({t for _, t in rows})
+
+
+def test_perfect_hash_has_distinct_slots():
+    lanes = np.random.default_rng(1).integers(0, 2**63, (5000, 4), dtype=np.uint64)
+    seeds = exact.perfect_seeds(lanes)
+    slots = exact._slots(lanes, seeds[exact._buckets(lanes, len(lanes))], len(lanes))
+    assert sorted(slots.tolist()) == list(range(len(lanes)))
+
+
+def jaccard_components(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+    part = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if sets[a] and sets[b] and part[a] > part[b] and 100 * both >= percent * len(sets[a] | sets[b]):
+                    part[a], changed = part[b], True
+    return sets, part
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near(spark, k):
+    docs = documents(spark)
+    base = prose(50, 60).split()
+    copies = []
+    for i in range(60):
+        r = random.Random(i)
+        w = list(base)
+        for _ in range(r.randrange(8)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(1000)}"
+        copies.append((100 + i, " ".join(w)))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    sets, part = jaccard_components([(r.doc_id, r.text) for r in both.collect() if r.doc_id is not None], k, 80)
+    got = near.near_duplicates(both, k=k).collect()
+    assert len(got) == both.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), part[r.doc_id], part[r.doc_id] == r.doc_id), r
+    kept = near.representatives(docs, k=k)
+    assert kept.columns == docs.columns
+
+
+def test_near_blocks_compare_all(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 3)
+    rows = [(i, " ".join(f"w{(i // 4) * 7 + j}" for j in range(30))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, part = jaccard_components(rows, 2, 80)
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(docs, k=2, bands=60, rows=1).collect()} == part
+
+
+def test_decontamination(spark):
+    docs = documents(spark)
+    item = prose(70, 40)
+    w = item.split()
+    leaks = [(201, prose(71, 50) + " " + item + " " + prose(72, 50)), (202, item.upper()), (203, prose(73, 60) + " " + " ".join(w[:20])), (204, prose(74, 10) + ", " + item.replace(" ", ", ") + "!"), (205, " ".join(w[:39] + ["other"]))]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(leaks, "doc_id long, text string"))
+    bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, prose(4, 90), 0), (5, "two words", 0), (1, item, 0)], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated(both, bench).collect()}
+    assert {p for p in got if p[1] == 1} == {(201, 1), (202, 1), (204, 1), (205, 1)}
+    assert got[201, 1] == 1.0 and got[205, 1] == pytest.approx(35 / 37)
+    assert {(13, 4), (14, 4), (11, 5)} <= set(got)
+    kept = decontam.decontaminated(docs, bench)
+    assert kept.columns == docs.columns and {13, 14, 11}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_decontamination_blocks_meet_within_radius(spark):
+    r = random.Random(5)
+    rows = [(x := r.getrandbits(64), x ^ sum(1 << b for b in r.sample(range(64), 20))) for _ in range(50)]
+    rows = [tuple(v - 2**64 if v >= 2**63 else v for v in p) for p in rows]
+    df = spark.createDataFrame(rows, "a long, b long")
+    F = decontam.F
+    both = df.select(F.arrays_overlap(decontam.blocks(F.col("a"), 20), decontam.blocks(F.col("b"), 20)).alias("met"))
+    assert all(x.met for x in both.collect())
+
+
+def test_quality_learns_without_negatives(spark):
+    good = [(i, prose(i, 60 + i % 40)) for i in range(600)]
+    junk = [(600 + i, " ".join(f"{w}$$$ !!" for w in prose(i, 50).split())) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, 9.0) for i, t in good + junk] + [(900, None, 1.0), (901, "", 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i < 600), 0) for i in range(0, 750, 2)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
+    assert len(got) == 752 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    held = [(i, r) for i, r in got.items() if r.held_out and i < 750]
+    assert np.mean([r.predicted == int(i < 600) for i, r in held]) > 0.95
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns
+
+
+def test_prior_is_estimated():
+    rng = np.random.default_rng(2)
+    positive = rng.normal(2, 1, 5000)
+    unlabelled = np.concatenate([rng.normal(2, 1, 3500), rng.normal(-3, 1, 1500)])
+    assert quality.estimated_prior(positive, unlabelled) == pytest.approx(0.7, abs=0.05)
+
+
+def brute_repeats(rows, length=100):
+    seen, out = set(), {}
+    for i, t in rows:
+        b = (t or "").encode()
+        m = bytearray(len(b))
+        for j in range(len(b) - length + 1):
+            s = b[j : j + length]
+            if s in seen:
+                m[j : j + length] = b"\1" * length
+            seen.add(s)
+        kept = bytes(c for c, f in zip(b, m, strict=True) if not f)
+        out[i] = (len(b), sum(m), sum(1 for j in range(len(m)) if m[j] and not (j and m[j - 1])), kept)
+    return out
+
+
+def test_suffix(spark):
+    docs = documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = brute_repeats(sorted((r.doc_id, r.text) for r in docs.collect()))
+    for r in suffix.without_repeats(docs, targets=5).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
+        assert r.kept_sha256 == hashlib.sha256(want[r.doc_id][3]).hexdigest()
+    assert suffix.without_repeats(documents(spark)).count() == documents(spark).count()
+
+
+def test_merged_transforms_order_all_suffixes():
+    rng = np.random.default_rng(4)
+    shards = [rng.integers(97, 100, n).astype(np.uint8) for n in (300, 41, 500)]
+    orders = [suffix.suffix_array(s, 20) for s in shards]
+    shard, block = suffix.merged([suffix.transform(s, o) for s, o in zip(shards, orders, strict=True)], 20)
+    at = [0, 0, 0]
+    rows = []
+    for k in shard:
+        s, p = shards[k], orders[k][at[k]]
+        at[k] += 1
+        rows.append(bytes(np.resize(np.roll(s, -p), 20)))
+    assert rows == sorted(rows)
+    assert [a == b for a, b in zip(block, block[1:], strict=False)] == [a == b for a, b in zip(rows, rows[1:], strict=False)]
+
+
+def test_html(spark):
+    body = "<nav><a href=x>menu item</a></nav><div class='ad'>buy now</div><article><h1>Head &amp; line</h1><p>First <b>bold</b> text&nbsp;here,<br>and more of it.<p>Second  paragraph\n with words.</p><div class='comments'>nice post</div><aside>see also</aside></article><footer>&copy; us</footer>"
+    pages = [(1, "http://a.example/x", f"<html><head><title>t</title><script>var a='<p>';</script></head><body>{body}</body></html>"), (2, "http://a.example/y", body), (3, None, None), (4, "http://b.example/", ""), (5, "x", "plain text only"), (None, "http://a.example/z", "<p>unclosed <b>para"), (1, "http://a.example/x", body)]
+    df = spark.createDataFrame([(*p, "host", "path") for p in pages], "page_id long, url string, html string, host string, path string")
+    got = html.extracted(df).collect()
+    assert len(got) == len(pages)
+    text = "Head & line First bold text here, and more of it. Second paragraph with words."
+    assert {r.text for r in got if r.page_id in (1, 2)} == {text}
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert {r.page_id: r.text for r in got}[3] == ""
+
+
+def test_host_path_wins_over_the_page():
+    long_notice = "<div class='box'>" + "words of a long notice " * 30 + "</div>"
+    page = f"<body>{long_notice}<div class='post-12'><p>short main text</p></div></body>"
+    assert html.extract(page, ">body>div.post-#") == "short main text"
+
+
+def test_token_counts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    first, inner = tokens.read_ranks(path)
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            pieces = inner if at else first
+            end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces), None)
+            if end is None:
+                return 1
+            n, at = n + 1, end
+        return n
+
+    docs = documents(spark)
+    want = sorted(((r.doc_id, len(w), sum(map(greedy, w))) for r in docs.collect() for w in [(r.text or "").encode().split()]), key=str)
+    assert collected(tokens.token_counts(docs, path), "doc_id", "n_words", "n_tokens") == want
+
+
+def test_token_automaton_small_vocabulary():
+    first, inner = {b"a", b"abcdx", b"ab"}, {b"b", b"c", b"cd", b"cdy", b"dz", b"z"}
+    c = tokens.Counter(tokens.build(first, inner))
+    # ab, ab|c, ab|cd, abcdx, ab|cd|z, ab|cdy; no piece for q; ab|cd|z|b
+    assert [c[w] for w in (b"ab", b"abc", b"abcd", b"abcdx", b"abcdz", b"abcdy", b"q", b"aq", b"abcdzb")] == [1, 2, 2, 1, 3, 2, 1, 1, 4]
+
+
+def test_warc(spark):
+    big = "<p>" + "same page " * 200
+    pages = [(1, "http://www.a.example/x?q=1", big), (2, "http://b.example/", big), (3, None, None), (4, "", ""), (5, "http://www.a.example/x?q=1", "small"), (6, "http://c.example/ü b", "small"), (7, "http://c.example:8080/", big + "é"), (7, "http://c.example:8080/", big + "é"), (None, "http://n.example", "null id")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, offset int")
+    got = warc.archived(df).collect()
+    assert len(got) == len(pages)
+    by = {i: h for i, _, h in pages}
+    for r in got:
+        raw = (by[r.page_id] or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id == 1 else ("response", None))
+    assert warc.url_key("http://www.a.example/x?q=1") == "example,a,www)/x?q=1"
+
+
+def test_lm_against_direct_counts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark)
+    trusted = spark.createDataFrame([(1,), (13,), (13,), (None,), (999,)], "doc_id long")
+    cells, vocabulary = 1 << 14, 49_408
+    words = packing.words_of(path)
+    counts = np.zeros((2, 2 * vocabulary + 1 + cells))
+    rows = [(r.doc_id, words.ids(r.text).astype(np.int64)) for r in docs.collect()]
+    for i, ids in rows:
+        for kind in (0, 1) if i in (1, 13) else (0,):
+            for a, b, c in zip(ids, [0, *(ids[:-1] + 1)], lm.cells_of(ids, cells) if len(ids) else [], strict=False):
+                counts[kind, a] += 1
+                counts[kind, vocabulary + b] += 1
+                counts[kind, 2 * vocabulary + 1 + c] += 1
+    model = lm.Losses(counts, vocabulary, cells)
+    want = sorted((str(i), len(ids), round(float(np.diff(-model.of(ids).mean(axis=1))[0]) if len(ids) else 0.0, 6)) for i, ids in rows)
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.scored(docs, trusted, path, vocabulary, cells).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
+    scores = {r.doc_id: r.score for r in lm.scored(docs, trusted, path, vocabulary, cells).collect()}
+    assert scores[13] > scores[12]
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = [(301, "It's Ångström's ÉTÉ—naïve 12,5% <|endoftext|> x y z \x1c q"), (302, "İstanbul ΣΑΣ ß 𝔘𝔫𝔦 é é 日本語テキスト"), (303, "don't we'll I'm 'S 'RE ((a)) a*b $x ## |")]
+    docs = documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    pieces = packing.pack(docs, path, sequence=64).collect()
+    ids = [(r.doc_id, [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect()]
+    want = sorted((str(i), t) for i, own in ids for t in own)
+    got = sorted((str(p.doc_id), int(t)) for p in pieces for t in np.frombuffer(p.ids, "<u4"))
+    assert got == want
+    whole = {i: np.array(own, "<u4") for i, own in ids}
+    for p in pieces:
+        assert zlib.crc32(whole[p.doc_id][p.start : p.start + p.length].tobytes()) == p.ids_crc32 and p.doc_tokens == len(whole[p.doc_id])
+    by = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == by.get(p.sequence_id, 0)
+        by[p.sequence_id] = p.offset + p.length
+    assert all(n == 64 for s, n in by.items() if s != max(by)) and sum(by.values()) == sum(len(o) for _, o in ids)
+
+
+def test_hilbert_key_walks_neighbours():
+    side = 1 << 3
+    grid = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
+    keys = packing.hilbert_key(grid, 3)
+    assert sorted(keys.tolist()) == list(range(side**3))
+    assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
