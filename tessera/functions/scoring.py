@@ -61,7 +61,9 @@ def supporting_bonus(related_ids: Column) -> Column:
 
 
 def coverage_ratio(ratio: Column, missing: Column) -> Column:
-    given = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.trim(ratio.cast("string")).try_cast("double")))
+    number = F.trim(ratio.cast("string")).try_cast("double")
+    # Spark's greatest skips nulls, which must stay null here.
+    given = F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number)))
     return F.coalesce(given, F.when(F.coalesce(missing.cast("double"), F.lit(0.0)) != 0, 0.0).otherwise(1.0))
 
 

@@ -55,9 +55,14 @@ def infer_subsystem(path: Column, prefixes: list[str]) -> Column:
 
 def normalise_name(name: Column) -> Column:
     """Trimmed; capitalised where all its letters are lower-case; null where blank."""
+
+    def cased(t: Column) -> Column:
+        lower = (F.lower(t) == t) & t.rlike(r"\p{L}")
+        return F.when(t == "", None).when(lower, F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))).otherwise(t)
+
+    # The lambda binds the trimmed text once, where a plain expression would repeat it.
     text = F.regexp_replace(name, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    lower = (F.lower(text) == text) & text.rlike(r"\p{L}")
-    return F.when(text == "", None).when(lower, F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))).otherwise(text)
+    return F.get(F.transform(F.array(text), cased), F.lit(0))
 
 
 def namespace(path: Column) -> Column:
@@ -82,7 +87,7 @@ def build_tags(*lists: Column) -> Column:
     """Trimmed, distinct, sorted union of string lists, any of which may be null."""
     empty = F.array().cast("array<string>")
     joined = F.concat(*(F.coalesce(x, empty) for x in lists))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(joined, F.trim), lambda t: t.isNotNull() & (t != ""))))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(joined, lambda t: F.trim(t)), lambda t: t.isNotNull() & (t != ""))))
 
 
 def is_blank(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_label, normalise_name
+from ..sources.stores import cut_lineage
 
 NODE = ("id", "label", "key", "name", "path", "subsystem", "criticality", "description", "git_timestamp")
 #: Edge types that tie an artifact to its subsystem.
@@ -123,11 +124,6 @@ def subsystem_artifacts(names: DataFrame, nodes: DataFrame, edges: DataFrame, li
     return rows.withColumn("place", place).where(F.col("place") <= limit)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Lineage ends here where the session has a checkpoint folder."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
 def subsystem_neighbourhood(names: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes within ``depth`` hops of each subsystem, over any edge: name, id, hops, first_type, first_direction, path.
 
@@ -144,7 +140,7 @@ def subsystem_neighbourhood(names: DataFrame, edges: DataFrame, depth: int = 2)
         )
         best = step.groupBy("name", "id").agg(F.min(F.struct("path", "first_type", "first_direction")).alias("b"))
         fresh = best.join(seen.select("name", "id"), ["name", "id"], "left_anti")
-        front = _cut(fresh.select("name", "id", F.lit(hop).alias("hops"), "b.first_type", "b.first_direction", "b.path"))
+        front = cut_lineage(fresh.select("name", "id", F.lit(hop).alias("hops"), "b.first_type", "b.first_direction", "b.path"))
         seen = seen.unionByName(front)
     return seen.where("hops > 0")
 
@@ -156,7 +152,7 @@ def path_depth(nodes: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFr
     front = seen
     for hop in range(1, max_depth + 1):
         fresh = front.join(ways, "id").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        front = _cut(fresh.select("id", F.lit(hop).alias("depth")))
+        front = cut_lineage(fresh.select("id", F.lit(hop).alias("depth")))
         seen = seen.unionByName(front)
     return nodes.select("id", "label").join(seen, "id", "left")
 

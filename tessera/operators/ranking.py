@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import to_double
-from ..sources.stores import RankingModel
+from ..sources.stores import RankingModel, cut_lineage
 
 FEATURES = (
     "vector_score", "signal_subsystem_affinity", "signal_relationship_count", "signal_supporting_bonus",
@@ -78,7 +78,7 @@ def ordinal_ranks(df: DataFrame, by: str, seq: str, out: str) -> DataFrame:
     """Global ranks from 0 without one task that holds all rows: range partitions and their bases."""
     parts = df.repartitionByRange(F.col(by), F.col(seq)).withColumn("_part", F.spark_partition_id())
     # Range bounds are sampled, so both readings below must see one and the same layout.
-    parts = parts.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else parts.persist()
+    parts = cut_lineage(parts)
     sizes, bases, base = sorted((r["_part"], r["count"]) for r in parts.groupBy("_part").count().collect()), [], 0
     for p, n in sizes:
         bases.append((p, base))

@@ -85,7 +85,7 @@ def health_status(snapshots: DataFrame, now: float, interval_minutes: int | None
     """
     limit = 86_400 if interval_minutes is None else max(interval_minutes * 120, 3_600)
     last = snapshots.groupBy("check_name").agg(F.max("generated_at").alias("at"), F.count("*").alias("n"))
-    age = F.greatest(F.lit(0.0), F.lit(float(now)) - F.col("at"))
+    age = F.when(F.col("at").isNotNull(), F.greatest(F.lit(0.0), F.lit(float(now)) - F.col("at")))
     rows = last.select("check_name", F.when(F.col("at").isNull(), "missing").when(age > limit, "stale").otherwise("ok").alias("status"), age.alias("age_seconds"))
     overall = rows.agg(F.when(F.bool_or(F.col("status") != "ok"), "degraded").otherwise("ok").alias("overall"))
     return rows.crossJoin(overall)

@@ -304,7 +304,7 @@ def lexical_scores(spark, d):
 
 
 def _scored(spark: SparkSession, d: str, weights: dict[str, float]) -> DataFrame:
-    hits = _hits(spark, d)
+    hits = ST.cut_lineage(_hits(spark, d))
     nodes, edges = W.graph(spark, d)
     context = S.graph_context(hits.select("path", "artifact_type").distinct(), nodes, edges).join(G.path_depth(nodes, edges).select(F.col("id").alias("node_id"), "depth"), "node_id", "left")
     return S.score(hits.join(context, "path", "left"), weights, W.NOW)
@@ -348,7 +348,7 @@ def score_drift(spark, d):
 @query()
 def hybrid_search(spark, d):
     queries, vectors = W.search_batch(spark, d)
-    h = _hits(spark, d)
+    h = ST.cut_lineage(_hits(spark, d))
     filters = h.select("query_id", *(c for c in h.columns if c.startswith("q_"))).dropDuplicates(["query_id"])
     arts = h.select("chunk_id", "path", "artifact_type", "subsystem", "subsystem_criticality", "git_timestamp", "text", "namespace", "tags", "coverage_ratio", "coverage_missing").dropDuplicates(["chunk_id"])
     nodes, edges = W.graph(spark, d)

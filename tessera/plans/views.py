@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import artifacts as A
 from ..operators import graph as G
+from ..sources.stores import cut_lineage
 
 #: Epoch seconds at which the example views are read.
 NOW = 1_703_000_000
@@ -102,9 +103,9 @@ nodes AS (
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without chunks."""
-    a, c = artifacts(spark, sf_dir), catalog(spark)
-    return G.build_nodes(a, c), G.build_edges(a, c)
+    """Nodes and edges without chunks, each built once."""
+    a, c = cut_lineage(artifacts(spark, sf_dir).drop("content")), catalog(spark)
+    return cut_lineage(G.build_nodes(a, c)), cut_lineage(G.build_edges(a, c))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as read from a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return df.checkpoint()
+
+
 def upsert_chunks(current: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     """``new`` replaces rows of ``current`` with its key."""
     return current.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
