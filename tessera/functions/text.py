@@ -137,7 +137,7 @@ def _ascii_fold(texts: pd.Series) -> pd.Series:
 
 def slug(text: Column, fallback: str = "document") -> Column:
     folded = F.regexp_replace(F.lower(_ascii_fold(text)), "[^a-z0-9]+", "-")
-    return F.coalesce(F.nullif(F.trim(F.lit("-"), folded), F.lit("")), F.lit(fallback))
+    return F.coalesce(F.nullif(F.trim(folded, F.lit("-")), F.lit("")), F.lit(fallback))
 
 
 def is_document_file(path: Column, target: str | None = None) -> Column:

@@ -42,7 +42,7 @@ def train_model(rows: DataFrame, names=FEATURES, created_at: str = "") -> Rankin
     rss = max(0.0, gram[-1, -1] - 2 * beta @ gram[:-1, -1] + beta @ gram[:-1, :-1] @ beta)
     tss = max(0.0, gram[-1, -1] - got["n"] * got["m"] ** 2)
     r2 = 1 - rss / tss if tss > 0 else float(rss == 0)
-    return RankingModel(created_at=created_at, feature_names=list(names), coefficients=[float(b) for b in beta[:-1]], intercept=float(beta[-1]), metrics={"mse": rss / got["n"], "r2": r2}, training_rows=int(got["n"]))
+    return RankingModel(created_at=created_at, feature_names=list(names), coefficients=[float(b) for b in beta[:-1]], intercept=float(beta[-1]), metrics={"mse": float(rss / got["n"]), "r2": float(r2)}, training_rows=int(got["n"]))
 
 
 def predict(rows: DataFrame, model: RankingModel) -> DataFrame:
@@ -89,7 +89,10 @@ def ordinal_ranks(df: DataFrame, by: str, seq: str, out: str) -> DataFrame:
 
 
 def spearman(pred: DataFrame, target: str = "vote", seq: str = "seq") -> DataFrame:
-    """One row: rank correlation over all rows, ties by ``seq``; null below two rows."""
-    ranked = ordinal_ranks(ordinal_ranks(pred.select(seq, target, "prediction"), target, seq, "a"), "prediction", seq, "b")
+    """One row: rank correlation over all rows, ties by ``seq``; null below two rows.
+
+    Predictions that agree to nine places tie, so rounding noise of a fit can't order them.
+    """
+    ranked = ordinal_ranks(ordinal_ranks(pred.select(seq, target, F.round("prediction", 9).alias("prediction")), target, seq, "a"), "prediction", seq, "b")
     got = ranked.agg(F.count("*").cast("double").alias("n"), F.sum((F.col("a") - F.col("b")) ** 2).alias("d2"))
     return got.select(F.when(F.col("n") > 1, 1 - 6 * F.col("d2") / (F.col("n") * (F.col("n") ** 2 - 1))).alias("spearman"))

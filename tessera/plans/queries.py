@@ -449,7 +449,7 @@ def ndcg(spark, d):
     return R.mean_ndcg(_pred(spark, d), 5).select(F.round("ndcg_at_5", 9).alias("ndcg_at_5"), "n_requests")
 
 
-@query(f"""WITH {_PRED_SQL}, r AS (SELECT row_number() OVER (ORDER BY feedback_vote, seq) AS a, row_number() OVER (ORDER BY prediction, seq) AS b FROM pred)
+@query(f"""WITH {_PRED_SQL}, r AS (SELECT row_number() OVER (ORDER BY feedback_vote, seq) AS a, row_number() OVER (ORDER BY round(prediction, 9), seq) AS b FROM pred)
 SELECT round(1 - 6 * sum((a - b) ^ 2) / (count(*)::DOUBLE * (count(*)::DOUBLE ^ 2 - 1)), 9) AS spearman FROM r""")
 def spearman(spark, d):
     return R.spearman(_pred(spark, d)).select(F.round("spearman", 9).alias("spearman"))

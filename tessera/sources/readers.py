@@ -30,7 +30,7 @@ def textual(files: DataFrame) -> DataFrame:
     """``files(path, bytes)`` that are text in UTF-8, as ``(path, content)`` with plain line ends."""
     suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     plain = suffix.isin(*TEXT_SUFFIXES) | ~F.contains(F.substring("bytes", 1, 1024), F.lit(b"\x00"))
-    content = F.regexp_replace(F.decode("bytes", F.lit("UTF-8")), "\r\n?", "\n")
+    content = F.regexp_replace(F.decode("bytes", "UTF-8"), "\r\n?", "\n")
     return files.where(plain & F.is_valid_utf8(F.col("bytes").cast("string"))).select("path", content.alias("content"))
 
 

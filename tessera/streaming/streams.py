@@ -50,12 +50,14 @@ def ingest_batch(store: str, window: int = 1000, overlap: int = 200) -> Callable
 
 def stream_search_health(events: DataFrame, hit, miss, failed, latency, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Sliding search health; rows later than ``late`` are left out."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("n"), *health_aggregates(hit, miss, failed, latency))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "hit_ratio", "failure_ratio", "p95_latency")
 
 
 def stream_counters(events: DataFrame, labels: list[str], window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts of each combination of labels."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), *labels).agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("window_start"), *labels, "n")
 
