@@ -66,18 +66,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(x), -30, 30)))
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.2) -> float:
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least_share: float = 0.5) -> float:
     """Share of positives among the unlabelled, from scores of both samples.
 
     Above any threshold the unlabelled share is at least prior times the positive share, so the
     smallest ratio of the two over thresholds (that keep ``least_share`` of the positives) bounds the
-    prior from above, and meets it where a score range is free of negatives.
+    prior from above, and meets it where a score range is free of negatives. The ratio's standard error
+    is added, since the smallest of many noisy ratios is too small.
     """
     grid = np.quantile(positive, np.linspace(0, 1 - least_share, 60))
     p = (positive[None, :] >= grid[:, None]).mean(axis=1)
     u = (unlabelled[None, :] >= grid[:, None]).mean(axis=1)
-    slack = np.sqrt(u * (1 - u) / len(unlabelled)) + 1e-9
-    return float(np.clip(((u + slack) / p).min(), 0.01, 0.99))
+    ratio = u / p
+    error = ratio * np.sqrt((1 - u) / np.maximum(u, 1e-9) / len(unlabelled) + (1 - p) / p / len(positive))
+    return float(np.clip((ratio + error).min(), 0.01, 0.99))
 
 
 def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, weight: np.ndarray, bias: float, steps: int, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -98,7 +100,7 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, weight: np.ndarray, b
     return theta[:-1], float(theta[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 300) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 600) -> Model:
     """Fit on two samples of ``features`` rows; ``prior`` is estimated if not given."""
     width = 2 * N_FEATURES
     if not len(positive) or not len(unlabelled):
@@ -108,9 +110,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     xp, xu = np.clip((xp - mean) / scale, -20, 20), np.clip((xu - mean) / scale, -20, 20)
     weight, bias = np.zeros(width), 0.0
     if prior is None:
-        # A first scorer of positives against unlabelled, good enough to rank.
-        weight, bias = _descend(xp, xu, 0.5, weight, bias, steps // 2)
-        prior = estimated_prior(xp @ weight + bias, xu @ weight + bias)
+        # A first scorer of positives against unlabelled, good enough to rank. Each half of the rows
+        # is scored by a fit on the other, since a fit flatters its own positives.
+        own = [_descend(xp[i::2], xu[i::2], 0.5, weight, bias, steps // 2) if len(xp) > 1 and len(xu) > 1 else (weight, bias) for i in (0, 1)]
+        prior = float(np.mean([estimated_prior(xp[1 - i :: 2] @ w + c, xu[1 - i :: 2] @ w + c) for i, (w, c) in enumerate(own) if len(xp) > 1 and len(xu) > 1] or [0.5]))
     weight, bias = _descend(xp, xu, prior, weight, bias, steps)
     return Model(mean, scale, weight, bias, prior)
 
