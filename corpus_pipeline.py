@@ -39,7 +39,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
-    return packing.pack(docs, TOKENIZER).drop("ids")
+    return packing.pack(docs, TOKENIZER, with_ids=False)
 
 
 STAGES = [

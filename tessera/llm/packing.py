@@ -125,8 +125,8 @@ def _tokenised(path: str, end_id: int):
         words = words_of(path)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
                 counts = np.zeros((batch.num_rows, BUCKETS))
                 ids = []
                 for i, t in enumerate(batch.column(1)):
@@ -141,30 +141,39 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def _cut(sequence: int):
+#: Documents that a task cuts at once.
+_ROWS = 256
+PIECE = {c: pa.int64() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
+
+
+def _cut(sequence: int, with_ids: bool):
+    kinds = PIECE | ({"ids": pa.binary()} if with_ids else {})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-            for doc_id, n, raw, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at")), strict=True):
-                own = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                lo = 0
-                while lo < n:
-                    offset = (at + lo) % sequence
-                    hi = min(n, lo + sequence - offset)
-                    piece = own[lo:hi].tobytes()
-                    for c, v in zip(rows, (doc_id, lo, hi - lo, zlib.crc32(piece), n, (at + lo) // sequence, offset, piece), strict=True):
-                        rows[c].append(v)
-                    lo = hi
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in zip(rows, kinds, strict=True)], list(rows))
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                rows: dict[str, list] = {c: [] for c in kinds}
+                for doc_id, n, raw, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at")), strict=True):
+                    own = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+                    lo = 0
+                    while lo < n:
+                        offset = (at + lo) % sequence
+                        hi = min(n, lo + sequence - offset)
+                        piece = own[lo:hi].astype("<u4").tobytes()
+                        # The ids come last, and are left out where they aren't asked for.
+                        for c, v in zip(rows, (doc_id, lo, hi - lo, zlib.crc32(piece), n, (at + lo) // sequence, offset, piece), strict=False):
+                            rows[c].append(v)
+                        lo = hi
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], list(kinds))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ``ids`` holds the piece's token ids as little-endian 32-bit integers. A document is the ids of
+    ``ids`` (with ``with_ids``) holds the piece's token ids as little-endian 32-bit integers. A document is the ids of
     its text and ``end_id``; null and empty texts are that token alone. The order is by curve key,
     then id, then place in the input, so repeated rows are packed once each. Rows with a null id are
     packed like others. Further columns are ignored; an empty table gives no pieces.
@@ -187,4 +196,5 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     # One row per range partition, so its size is bounded by the number of partitions.
     placed = placed.join(F.broadcast(bases), "part").select("row", (F.col("base") + F.col("inside")).alias("at"))
     joined = tokens.join(placed, "row").select("doc_id", "n", "ids", "at")
-    return joined.mapInArrow(_cut(sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    schema = ", ".join(f"{c} long" for c in PIECE) + (", ids binary" if with_ids else "")
+    return joined.mapInArrow(_cut(sequence, with_ids), schema)
