@@ -220,9 +220,9 @@ def subsystem_neighbourhood(spark, d):
 @query(f"""WITH RECURSIVE {W.EDGES_SQL}, w AS (SELECT src AS a, dst AS b FROM edges WHERE {_OWN} UNION SELECT dst, src FROM edges WHERE {_OWN}),
 r AS (SELECT id, 0 AS depth FROM nodes WHERE label = 'Subsystem' UNION SELECT w.b, r.depth + 1 FROM r JOIN w ON w.a = r.id WHERE r.depth < 4),
 m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
-SELECT nodes.id, nodes.label, CAST(m.depth AS INTEGER) AS depth FROM nodes LEFT JOIN m USING (id)""")
+SELECT nodes.id, nodes.label, CAST(coalesce(m.depth, -1) AS INTEGER) AS depth FROM nodes LEFT JOIN m USING (id)""")
 def path_depth(spark, d):
-    return G.path_depth(*W.graph(spark, d))
+    return G.path_depth(*W.graph(spark, d)).select("id", "label", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 
 @query(f"WITH {W.EDGES_SQL} SELECT id, label FROM nodes ORDER BY coalesce(name, path, id), name NULLS FIRST, path NULLS FIRST, id LIMIT 25 OFFSET 50")
@@ -530,17 +530,17 @@ def retained_snapshots(spark, d):
     return ST.retain_latest(_runs(spark, d), "created_at", 3, ["profile"], "run_id").select("run_id")
 
 
-@query("""WITH s AS (SELECT event_type, epoch(max(ts)) AS at FROM events GROUP BY 1), r AS (SELECT event_type AS check_name, CASE WHEN 1706572800 - at > 3600 THEN 'stale' ELSE 'ok' END AS status FROM s)
+@query("""WITH s AS (SELECT event_type, epoch(max(ts)) AS last_at FROM events GROUP BY 1), r AS (SELECT event_type AS check_name, CASE WHEN 1706572800 - last_at > 3600 THEN 'stale' ELSE 'ok' END AS status FROM s)
 SELECT check_name, status, CASE WHEN bool_or(status <> 'ok') OVER () THEN 'degraded' ELSE 'ok' END AS overall FROM r""")
 def health(spark, d):
     e = W.table(spark, d, "events").select(F.col("event_type").alias("check_name"), F.unix_timestamp("ts").alias("generated_at"))
     return RP.health_status(e, 1_706_572_800, 30).select("check_name", "status", "overall")
 
 
-@query("SELECT event_type, CAST(user_id % 10 AS BIGINT) AS tool, count(*) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 10)")
+@query("SELECT coalesce(event_type, 'all') AS event_type, coalesce(tool, 'all') AS tool, count(*) AS total FROM (SELECT event_type, CAST(user_id % 10 AS VARCHAR) AS tool FROM events) GROUP BY ROLLUP (event_type, tool)")
 def counter_rollup(spark, d):
-    e = W.table(spark, d, "events").withColumn("tool", (F.col("user_id") % 10).cast("long"))
-    return TM.counter_rollup(e, ["event_type", "tool"])
+    e = W.table(spark, d, "events").withColumn("tool", (F.col("user_id") % 10).cast("string"))
+    return TM.counter_rollup(e, ["event_type", "tool"]).select(*(F.coalesce(c, F.lit("all")).alias(c) for c in ("event_type", "tool")), "total")
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(count(*) FILTER (event_type = 'view') / greatest(count(*) FILTER (event_type IN ('view', 'click')), 1), 9) AS hit_ratio,
