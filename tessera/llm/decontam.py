@@ -5,9 +5,9 @@ SimHash over its weighted shingles and meets the items of its size through a mul
 fingerprint is cut into ``radius + 1`` blocks, so two fingerprints within the radius agree on at
 least one block. The candidates are then verified on the exact weighted shingle similarity.
 
-Two windows that share no shingle have similarity 0, so only windows that share one with an item of
-their size at the same offset are fingerprinted, and of a run of such shingles only the first one
-opens a window.
+A window of the wanted similarity has a least number of shingles in common with its item, wherever
+they stand in it. Exactly the windows in which at least so many shingles occur in some item of their
+size are fingerprinted; no other window can reach the similarity.
 """
 
 from __future__ import annotations
@@ -33,16 +33,11 @@ def shingles(w: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))
 
 
-def weights(hashes: Column) -> Column:
-    """Each distinct shingle with its number of occurrences."""
-    return F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("h"), F.size(F.filter(hashes, lambda x: x == h)).alias("w")))
-
-
-def simhash(weighted: Column) -> Column:
-    """64-bit SimHash: bit b is set where the weights of shingles with bit b outweigh the others."""
+def simhash(hashes: Column) -> Column:
+    """64-bit SimHash: bit b is set where shingles with bit b, each as often as it occurs, outnumber the others."""
 
     def bit(b: Column) -> Column:
-        total = F.aggregate(weighted, F.lit(0), lambda acc, s: acc + F.when(F.expr("1").cast("long") == F.getbit(s["h"], b), s["w"]).otherwise(-s["w"]))
+        total = F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.when(F.expr("1").cast("long") == F.getbit(h, b), 1).otherwise(-1))
         return F.when(total > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", bit(b), b)))
@@ -55,12 +50,36 @@ def blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))))
 
 
+def numbered(hashes: Column) -> Column:
+    """The hashes with repeated ones made different by their number, so that a bag becomes a set."""
+    nth = lambda h, i: F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))
+    marked = F.transform(hashes, lambda h, i: F.when(nth(h, i) == 0, h).otherwise(F.xxhash64(h, nth(h, i))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), hashes).otherwise(marked)
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity: sum of the smaller weights over sum of the larger ones."""
-    weight = lambda of, h: F.coalesce(F.element_at(F.filter(of, lambda y: y["h"] == h), 1)["w"], F.lit(0))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, s: acc + s["w"])
-    both = F.aggregate(a, F.lit(0), lambda acc, s: acc + F.least(s["w"], F.when(F.exists(b, lambda y: y["h"] == s["h"]), weight(b, s["h"])).otherwise(0)))
-    return both / (total(a) + total(b) - both)
+    """Weighted Jaccard similarity of two ``numbered`` lists: the smaller weights' sum over the larger ones'."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def starts(at: Column, m: Column, n: Column, percent: int) -> Column:
+    """Starts of the windows with enough shingles to reach ``percent``, each once.
+
+    ``at`` has the ordered places of the document's shingles that occur in an item, ``m`` is the
+    number of shingles in an item and ``n`` the document's. Of a + m shingles, percent / (100 +
+    percent) must be common, where a is the window's number: m, or less at the document's end.
+    """
+    whole = 100 + percent
+    need = F.greatest(F.ceil(2 * percent * m / F.lit(whole)).cast("int"), F.lit(1))
+    # Each window is opened by its first place, so its start lies behind the place before.
+    after = lambda i: F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1
+    run = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    last = lambda i: F.get(at, i + need - 1)
+    full = F.transform(at, lambda p, i: F.when(last(i).isNotNull(), run(F.greatest(after(i), last(i) - m + 1), F.least(p, n - m))).otherwise(F.array().cast("array<int>")))
+    least = lambda i: m + n - F.floor((F.size(at) - i) * F.lit(whole) / F.lit(max(percent, 1))).cast("int")
+    short = F.transform(at, lambda p, i: run(F.greatest(after(i), n - m + 1, least(i)), p))
+    return F.concat(F.flatten(full), F.flatten(short))
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, k: int) -> DataFrame:
@@ -77,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     hundredths; ``similarity`` and ``first_word`` (offset in words) are those of the best window, the
     first among equals. Words are runs of letters and digits in lower case. Null, empty or
     punctuation-only texts and items match nothing; a document shorter than an item is compared as a
-    whole. Repeated rows give one result per id; rows with a null id are reported under a null id.
+    whole, and windows that the document's end cuts short count too. Repeated rows give one result per id; rows with a null id are reported under a null id.
     Further columns are ignored; an empty table on either side gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
@@ -85,41 +104,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     n_items, widest, kinds = items.agg(F.count("*"), F.sum(F.size("item_shingles")), F.sort_array(F.collect_set("k"))).first()
     small = (widest or 0) <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
-    anchors = items.select("item_id", "size", "k", "item_words", F.posexplode("item_shingles").alias("at", "shingle"))
-    # The word before the shingle tells whether the match goes on to the left.
-    anchors = anchors.select("size", "k", "at", "shingle", F.when(F.col("at") > 0, F.element_at("item_words", F.greatest("at", F.lit(1)))).alias("before")).distinct()
+    anchors = items.select("size", "k", F.explode("item_shingles").alias("shingle")).distinct()
 
     # The outer form keeps Spark from computing the word list a second time, as a filter.
-    read = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    spots = read.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    read = plain.select("doc_id", "text_key", words(F.col("text")).alias("w"))
+    spots = read.select("doc_id", "text_key", "w", F.posexplode_outer("w").alias("pos", "word"))
     size = F.size("w")
     key = lambda n: F.xxhash64(*(F.get("w", F.col("pos") + i) for i in range(n)))
     wide = F.array(*(F.struct(F.lit(n).alias("k"), key(n).alias("shingle")) for n in kinds or [k]))
     spots = spots.where(F.col("pos") + min(kinds or [k]) <= size)
     if len(kinds or [k]) == 1:
-        spots = spots.select("doc_id", "w", "pos", F.lit((kinds or [k])[0]).alias("k"), key((kinds or [k])[0]).alias("shingle"))
+        spots = spots.select("doc_id", "text_key", size.alias("n"), "pos", F.lit((kinds or [k])[0]).alias("k"), key((kinds or [k])[0]).alias("shingle"))
     else:
-        spots = spots.select("doc_id", "w", "pos", F.inline(wide)).where(F.col("pos") + F.col("k") <= size)
-    hits = spots.join(hint(anchors), ["k", "shingle"])
-    hits = hits.where(F.col("before").isNull() | (F.col("pos") == 0) | (F.get("w", F.col("pos") - 1) != F.col("before")))
-    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-    windows = hits.select("doc_id", "size", "k", start.alias("start"), F.slice("w", start + 1, F.col("size")).alias("window")).where(F.size("window") >= F.col("k"))
-    windows = scratch.save(windows.groupBy("doc_id", "size", "k", "start").agg(F.first("window").alias("window")), "windows")
-    windows = windows.select("doc_id", "size", "start", weights(shingles(F.col("window"), F.col("k"))).alias("weighted"))
+        spots = spots.select("doc_id", "text_key", size.alias("n"), "pos", F.inline(wide)).where(F.col("pos") + F.col("k") <= F.col("n"))
+    hits = spots.join(hint(anchors), ["k", "shingle"]).groupBy("doc_id", "text_key", "n", "size", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    opened = hits.select("doc_id", "text_key", "size", "k", starts(F.col("at"), F.col("size") - F.col("k") + 1, F.col("n") - F.col("k") + 1, percent).alias("starts"))
+    opened = scratch.save(opened.where(F.size("starts") > 0), "starts").withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
+    # One and the same join at every size; the texts of all documents are shuffled once, without their words.
+    met = plain.join(opened.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    met = met.select("doc_id", "size", "k", "starts", words(F.col("text")).alias("w")).select("doc_id", "size", "k", "starts", shingles(F.col("w"), F.col("k")).alias("hashes"))
+    windows = met.select("doc_id", "size", "k", "hashes", F.explode("starts").alias("start"))
+    windows = windows.select("doc_id", "size", "start", F.slice("hashes", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
     # Written tables keep the joins below from evaluating fingerprints again for each condition.
-    windows = scratch.save(windows.withColumn("print", simhash(F.col("weighted"))), "prints")
-    windows = windows.select("doc_id", "size", "start", "weighted", "print", F.inline(blocks(F.col("print"), radius)))
+    windows = scratch.save(windows.distinct(), "windows")
+    windows = windows.select("doc_id", "size", "start", numbered(F.col("hashes")).alias("shingles"), simhash(F.col("hashes")).alias("print"))
+    windows = scratch.save(windows, "prints")
+    windows = windows.select("doc_id", "size", "start", "shingles", "print", F.inline(blocks(F.col("print"), radius)))
 
-    prints = items.select("item_id", "size", weights(F.col("item_shingles")).alias("item_weighted")).withColumn("item_print", simhash(F.col("item_weighted")))
+    prints = items.select("item_id", "size", numbered(F.col("item_shingles")).alias("item_bag"), simhash(F.col("item_shingles")).alias("item_print"))
     prints = scratch.save(prints, "item-prints")
-    prints = prints.select("item_id", "size", "item_weighted", "item_print", F.inline(blocks(F.col("item_print"), radius)))
+    prints = prints.select("item_id", "size", "item_bag", "item_print", F.inline(blocks(F.col("item_print"), radius)))
     near = windows.join(hint(prints), ["size", "block", "bits"])
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     near = near.where(F.bit_count(apart) <= radius)
     # A pair is met once for each block it agrees on; the first such block stands for them.
     agree = blocks(apart, radius)
     near = near.where(F.col("block") == F.element_at(F.filter(agree, lambda x: x["bits"] == 0), 1)["block"])
-    found = near.select("doc_id", "item_id", "start", similarity(F.col("weighted"), F.col("item_weighted")).alias("similarity"))
+    found = near.select("doc_id", "item_id", "start", similarity(F.col("shingles"), F.col("item_bag")).alias("similarity"))
     found = found.where(F.col("similarity") * 100 >= percent - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows")).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("first_word"), "n_windows")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -138,6 +139,35 @@ def test_decontamination(spark):
     assert kept.columns == docs.columns and {13, 14, 11}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_decontamination_against_all_windows(spark):
+    def bag(w, k):
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    r, items, docs = random.Random(9), [], []
+    for n, size in enumerate((3, 12, 40, 40, 60, 100)):
+        w = prose(500 + n, size).split() if n != 3 else ["so", "so", "so", "it", "is"] * 8
+        items.append((n, w))
+        half, quarter = size // 2, size // 4
+        kinds = [w, w[half:] + w[:half], w[quarter:] + w[:quarter], w[:half] + ["new"] + w[half:], w[:half] + w[half + 1 :], w[1:] + w[:1], w[: size - size // 8], w[size // 8 :], w * 2]
+        kinds += [[x if r.random() > 0.02 else "edit" for x in w] for _ in range(3)]
+        for x in kinds:
+            pre, post = prose(r.randrange(10**6), 30).split(), prose(r.randrange(10**6), 30).split()
+            docs += [pre + x + post, x, pre + x, x + post]
+    want = {}
+    for i, d in enumerate(docs):
+        for j, w in items:
+            k = min(5, len(w))
+            for at in range(max(len(d) - k + 1, 0)):
+                a, b = bag(d[at : at + len(w)], k), bag(w, k)
+                s = (a & b).total() / (a | b).total()
+                if s >= 0.8:
+                    best, first, n = want.get((i, j), (0, 0, 0))
+                    want[i, j] = (s, at, n + 1) if s > best else (best, first, n + 1)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = decontam.contaminated(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): (round(x.similarity, 9), x.first_word, x.n_windows) for x in got} == {p: (round(s, 9), at, n) for p, (s, at, n) in want.items()}
+
+
 def test_decontamination_blocks_meet_within_radius(spark):
     r = random.Random(5)
     rows = [(x := r.getrandbits(64), x ^ sum(1 << b for b in r.sample(range(64), 20))) for _ in range(50)]
