@@ -3,8 +3,9 @@
 A target model (trusted texts) and a background model (all texts) share one vocabulary, the ids of a
 public tokenizer, and one form: bigrams mixed with unigrams and the uniform distribution. A
 document's score is the mean over its tokens of background loss minus target loss: positive where it
-is more like the target. Bigrams are counted in a fixed number of hashed cells for both models, so
-the model's size is a parameter while its counts are of every document.
+is more like the target. Bigrams of both models are counted exactly: each block of documents names
+its distinct ones, a shuffle sums them over the corpus, and a second one brings the sums back to the
+blocks that asked. The model grows with the corpus and no process ever holds it.
 """
 
 from __future__ import annotations
@@ -13,47 +14,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .packing import words_of
 
-#: Cells of hashed bigrams; weights of bigram, unigram and uniform parts.
-CELLS = 1 << 21
+#: Documents and tokens after which a block ends; weights of bigram, unigram and uniform parts.
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 MIX = (0.5, 0.45, 0.05)
 
 
 def cells_of(ids: np.ndarray, cells: int) -> np.ndarray:
     """Cell of each bigram of a document, whose first one has the sentence start before it."""
-    before = np.concatenate([[0], ids[:-1].astype(np.uint64) + np.uint64(1)]).astype(np.uint64)
-    h = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return _cells(np.concatenate([[0], ids[:-1].astype(np.int64) + 1]), ids, cells)
+
+
+def _cells(before: np.ndarray, ids: np.ndarray, cells: int) -> np.ndarray:
+    h = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((h ^ (h >> np.uint64(32))) % np.uint64(cells)).astype(np.int64)
 
 
-def _counter(path: str, vocabulary: int, cells: int):
-    """Counts of a partition: unigrams at 0.., contexts at vocabulary.., bigram cells after them."""
+_BLOCK = "block long, doc_ids array<long>, lens array<int>, trusted array<boolean>, ids binary"
+
+
+def _blocks(path: str, vocabulary: int):
+    """Documents as blocks of token ids, one after the other."""
+    kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path)
-        total = np.zeros((2, 2 * vocabulary + 1 + cells), np.int64)
+        words, block, held = words_of(path), TaskContext.get().partitionId() << 32, []
+
+        def cut() -> pa.RecordBatch:
+            doc_ids, ids, trusted = zip(*held, strict=True)
+            lens = pa.array([[len(x) for x in ids]], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), lens, pa.array([trusted], pa.list_(pa.bool_())), pa.array([np.concatenate(ids).tobytes()], pa.binary())], ["block", "doc_ids", "lens", "trusted", "ids"])
+
+        tokens = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                kinds = {0: [], 1: []}
-                for t, trusted in zip(part.column(0), part.column(1), strict=True):
-                    ids = words.ids(t.as_py())
-                    if len(ids):
-                        kinds[1 if trusted.as_py() else 0].append(ids)
-                for kind, docs in kinds.items():
-                    if docs:
-                        at = np.concatenate([np.concatenate([d, vocabulary + np.concatenate([[0], d[:-1] + np.int64(1)]), 2 * vocabulary + 1 + cells_of(d, cells)]) for d in (x.astype(np.int64) for x in docs)])
-                        total[kind] += np.bincount(at, minlength=total.shape[1])
-        for kind in (0, 1):
-            slots = np.flatnonzero(total[kind])
-            for i in range(0, len(slots), 100_000):
-                own = slots[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(total[kind][own])], ["kind", "slot", "n"])
+            for doc_id, t, trusted in zip(*batch.columns, strict=True):
+                ids = words.ids(t.as_py()).astype(kind)
+                held.append((doc_id.as_py(), ids, trusted.as_py()))
+                tokens += len(ids)
+                if len(held) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
+                    yield cut()
+                    block, held, tokens = block + 1, [], 0
+        if held:
+            yield cut()
+
+    return run
+
+
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _opened(lens: np.ndarray, raw: bytes, vocabulary: int, cells: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its tokens, what stands before each (0 at a start, else id + 1), and its bigrams' keys."""
+    ids = np.frombuffer(raw, _kind(vocabulary)).astype(np.int64)
+    before = np.concatenate([[0], ids[:-1] + 1])[: len(ids)]
+    before[(np.cumsum(lens) - lens)[lens > 0]] = 0
+    return ids, before, before * vocabulary + ids if cells is None else _cells(before, ids, cells)
+
+
+def _asked(vocabulary: int, cells: int | None):
+    """Distinct bigrams of each block, with their numbers in all and in trusted documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lens, trusted, raw in zip(*batch.columns, strict=True):
+                lens = np.array(lens.as_py(), np.int64)
+                keys, at, n = np.unique(_opened(lens, raw.as_py(), vocabulary, cells)[2], return_inverse=True, return_counts=True)
+                good = np.bincount(at[np.repeat(np.array(trusted.as_py(), bool), lens)], minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], ["block", "key", "n", "good"])
+
+    return run
+
+
+def _counter(vocabulary: int):
+    """Counts of a partition in all and in trusted documents: unigrams at 0.., contexts at vocabulary.. ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2 * vocabulary + 1), np.int64)
+        for batch in batches:
+            for _, lens, trusted, raw in zip(*batch.columns, strict=True):
+                lens = np.array(lens.as_py(), np.int64)
+                ids, before, _ = _opened(lens, raw.as_py(), vocabulary, None)
+                good = np.repeat(np.array(trusted.as_py(), bool), lens)
+                for kind, own in ((0, slice(None)), (1, good)):
+                    total[kind] += np.bincount(np.concatenate([ids[own], vocabulary + before[own]]), minlength=total.shape[1])
+        slots = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[0][slots]), pa.array(total[1][slots])], ["slot", "n", "good"])
 
     return run
 
@@ -73,51 +126,57 @@ class Losses:
         """Losses in nats, background's then target's, of each token."""
         ids = ids.astype(np.int64)
         before = np.concatenate([[0], ids[:-1] + 1])
-        at = cells_of(ids, self.cells)
+        return self.mixed(ids, before, self.bigram[:, cells_of(ids, self.cells)])
+
+    def mixed(self, ids: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+        """The same from each token's context and its bigram's counts in both models."""
         a, b, c = self.mix
         out = np.empty((2, len(ids)))
         for kind in (0, 1):
             # A cell can hold several bigrams; no bigram can be more frequent than its context.
             context = self.context[kind][before]
             p = b * self.unigram[kind][ids] / self.total[kind] + c / self.vocabulary
-            p = p + a * np.where(context > 0, np.minimum(self.bigram[kind][at], context) / np.maximum(context, 1), self.unigram[kind][ids] / self.total[kind])
+            p = p + a * np.where(context > 0, np.minimum(bigram[kind], context) / np.maximum(context, 1), self.unigram[kind][ids] / self.total[kind])
             out[kind] = -np.log(p)
         return out
 
 
-def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary: int, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary: int, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     ``trusted`` has the ids of the target texts; they count in the background too. Losses are means
     over a document's tokens, and ``score`` is background_loss - target_loss; a document without
     tokens has losses and score 0. Null texts count as empty, repeated rows each, a null id is never
-    trusted; further columns are ignored. With no trusted text the target model is uniform.
+    trusted; further columns are ignored. With no trusted text the target model is uniform. Bigrams
+    are counted exactly; ``cells`` folds them into so many hashed cells instead.
     """
     spark = docs.sparkSession
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("trusted", F.lit(True))
     plain = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # One and the same join at every size of the trusted set, which may grow with the corpus.
-    marked = plain.join(ids.hint("merge"), "_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    parts = marked.mapInArrow(_counter(tokenizer_path, vocabulary, cells), "kind int, slot long, n long")
-    # At most two times (2 * vocabulary + 1 + cells) rows, whatever the corpus is.
-    summed = parts.groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, 2 * vocabulary + 1 + cells), np.int64)
+    marked = plain.join(ids.hint("merge"), "_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    blocks = Scratch(spark, "lm").save(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks")
+    plain_blocks = blocks.select("block", "lens", "trusted", "ids")
+    # At most 2 * vocabulary + 1 rows, whatever the corpus is.
+    summed = plain_blocks.mapInArrow(_counter(vocabulary), "slot long, n long, good long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    counts = np.zeros((2, 2 * vocabulary + 1))
     for batch in summed.toArrow().to_batches():
-        counts[batch.column("kind").to_numpy(), batch.column("slot").to_numpy()] = batch.column("n").to_numpy()
-    counts[0] += counts[1]
-    shared = spark.sparkContext.broadcast(counts.astype(np.float32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = words_of(tokenizer_path), Losses(shared.value, vocabulary, cells)
-        for batch in batches:
-            n, target, background = [], [], []
-            for t in batch.column(1):
-                ids = words.ids(t.as_py())
-                both = model.of(ids).mean(axis=1) if len(ids) else (0.0, 0.0)
-                n.append(len(ids))
-                background.append(both[0])
-                target.append(both[1])
-            score = np.array(background, np.float64) - np.array(target, np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return plain.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        counts[:, batch.column("slot").to_numpy()] = batch.column("n").to_numpy(), batch.column("good").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+    asked = plain_blocks.mapInArrow(_asked(vocabulary, cells), "block long, key long, n long, good long")
+    # A bigram has at most one row a block here, so a frequent one is no hot key.
+    every = Window.partitionBy("key")
+    known = asked.select("block", "key", F.sum("n").over(every).alias("n"), F.sum("good").over(every).alias("good"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, order = Losses(shared.value, vocabulary, 0), np.argsort(right.column("key").to_numpy())
+        keys, found = right.column("key").to_numpy()[order], np.stack([right.column(c).to_numpy()[order] for c in ("n", "good")])
+        doc_ids, lens = left.column("doc_ids").combine_chunks().flatten(), left.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
+        tokens, before, own = _opened(lens, left.column("ids")[0].as_py(), vocabulary, cells)
+        means = np.zeros((2, len(lens)))
+        if len(tokens):
+            some = lens > 0
+            means[:, some] = np.add.reduceat(model.mixed(tokens, before, found[:, np.searchsorted(keys, own)]), (np.cumsum(lens) - lens)[some], axis=1) / lens[some]
+        return pa.table([doc_ids, pa.array(lens), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return blocks.select("block", "doc_ids", "lens", "ids").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -319,6 +319,38 @@ def test_lm_against_direct_counts(spark):
     assert scores[13] > scores[12]
 
 
+def test_lm_counts_bigrams_exactly(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 3)
+    path, vocabulary = public_tokenizers.path("word_bpe_49k.json"), 49_408
+    docs, good, words = documents(spark), (1, 13), packing.words_of(path)
+    rows = [(r.doc_id, [-1, *map(int, words.ids(r.text))]) for r in docs.collect()]
+    pairs = [Counter(p for i, x in rows if not kind or i in good for p in zip(x, x[1:], strict=False)) for kind in (0, 1)]
+
+    def loss(kind, a, b):
+        contexts, unigrams = totals[kind]
+        one = unigrams[b] / max(unigrams.total(), 1)
+        return -np.log(0.45 * one + 0.05 / vocabulary + 0.5 * (pairs[kind][a, b] / contexts[a] if contexts[a] else one))
+
+    totals = []
+    for c in pairs:
+        contexts, unigrams = Counter(), Counter()
+        for (a, b), n in c.items():
+            contexts[a] += n
+            unigrams[b] += n
+        totals.append((contexts, unigrams))
+    want = sorted(((str(i), len(x) - 1, *(float(np.mean([loss(kind, *p) for p in zip(x, x[1:], strict=False)])) if len(x) > 1 else 0.0 for kind in (1, 0))) for i, x in rows))
+    trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.scored(docs, trusted, path, vocabulary).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
+    # More distinct bigrams than the 2^21 cells of before keep their own keys.
+    ids = np.arange(3_000_000) % 49_000
+    before = np.arange(3_000_000) // 49_000
+    raw = np.stack([before, ids], axis=1).astype("<u2").tobytes()
+    keys = lm._opened(np.full(3_000_000, 2), raw, vocabulary, None)[2]
+    assert len(np.unique(keys[1::2])) == 3_000_000
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
