@@ -59,6 +59,8 @@ def build(first: set[bytes], inner: set[bytes]) -> Automaton:
     for i, parent, _ in order:
         depth[i + 2] = depth[parent] + 1
     fail, popped = np.full(n, _NONE, np.int64), np.zeros(n, np.int64)
+    if b"" in first:  # the bare space: a piece of its own, left for the inner ones
+        fail[0], popped[0] = 1, 1
     # Parents come before children in depth order; a link always leads to a shorter string.
     for i, parent, b in sorted(order, key=lambda e: depth[e[0] + 2]):
         node = i + 2
@@ -110,10 +112,13 @@ class Counter(dict):
 
 
 def read_ranks(path: str) -> tuple[set[bytes], set[bytes]]:
-    """Pieces of a ranks file: those with a leading space begin a word, the others go on with one."""
+    """Pieces of a ranks file: those with a leading space begin a word, the others go on with one.
+
+    The space alone is the empty beginning, so a word that no longer one begins is still cut in pieces.
+    """
     with open(path, "rb") as f:
         pieces = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
-    first = {p[1:] for p in pieces if p[:1] == b" " and len(p) > 1}
+    first = {p[1:] for p in pieces if p[:1] == b" "}
     return first, {p for p in pieces if p[:1] != b" "}
 
 

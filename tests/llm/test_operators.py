@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on rows that hold every odd case."""
 
+import base64
 import hashlib
 import random
 import re
@@ -275,6 +276,25 @@ def test_token_counts(spark):
     assert collected(tokens.token_counts(docs, path), "doc_id", "n_words", "n_tokens") == want
 
 
+def test_token_counts_of_any_script(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+
+    def greedy(word):
+        n, at, word = 0, 0, b" " + word
+        while at < len(word):
+            at, n = next(e for e in range(len(word), at, -1) if word[at:e] in pieces), n + 1
+        return n
+
+    words = ["собака", "человек", "страна", "россия", "прекрасный", "한국어", "힣", "😀", "👩‍👩‍👧", "日本語" * 50, "с" * 300, "été", "plain", "a.b"]
+    words += [chr(c) + x for c in (*range(0xA1, 0x600), *range(0xAC00, 0xD7A4, 61), *range(0x1F300, 0x1F700, 7)) for x in ("", "x")]
+    words = [w for w in words if len(w.encode().split()) == 1]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, path).collect()} == {i: greedy(w.encode()) for i, w in enumerate(words)}
+    assert greedy("собака".encode()) > 1
+
+
 def test_token_automaton_small_vocabulary():
     first, inner = {b"a", b"abcdx", b"ab"}, {b"b", b"c", b"cd", b"cdy", b"dz", b"z"}
     c = tokens.Counter(tokens.build(first, inner))
