@@ -106,7 +106,7 @@ def document_files(spark, d):
 
 @query()
 def slugs(spark, d):
-    return W.table(spark, d, "pages").select("page_id", T.slug(F.substring("html", 60, 200)).alias("slug"))
+    return W.table(spark, d, "pages").select("page_id", T.slug(F.col("html")).alias("slug"))
 
 
 # ---- ledger

@@ -75,3 +75,10 @@ def test_weight_profiles():
     with pytest.raises(ValueError):
         S.resolve_weights("none")
     assert S.hybrid_weights(0, 0) == (1.0, 0.0) and S.hybrid_weights(-1, 0.5) == (0.0, 0.5)
+
+
+def test_slugs_read_whole_pages(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([(1, "Start " + "mid " * 100 + "End")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.slug for r in __spark_entry__.queries()["slugs"](spark, str(tmp_path)).collect()] == ["start-" + "mid-" * 100 + "end"]
