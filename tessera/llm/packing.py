@@ -7,7 +7,9 @@ sorted stream is cut into sequences. Only the last sequence of a corpus can need
 
 from __future__ import annotations
 
+import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,57 +24,86 @@ SEQUENCE = 4096
 #: Token that ends each document.
 END_ID = 2
 DIMS, BITS, BUCKETS = 4, 10, 256
-#: Words, and parts of words, whose ids a worker remembers at once.
-_WORDS_KEPT, _PARTS_KEPT = 200_000, 400_000
+#: Parts of texts, and words of other scripts, whose ids a worker remembers at once.
+_PARTS_KEPT, _WORDS_KEPT = 500_000, 100_000
 _MEMOS: dict[str, Words] = {}
 
 
+def _forget(memo: dict, kept: int) -> None:
+    """Drop the older half of a memo that is full."""
+    if len(memo) >= kept:
+        for key in list(itertools.islice(memo, kept // 2)):
+            del memo[key]
+
+
+class Parts(dict):
+    """Ids, as little-endian 32-bit bytes, of runs of letters or of signs, in lower case and Latin-1."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # Byte-level models name a byte by its printable character, and the other bytes from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = (b for b in range(256) if b not in set(plain))
+        names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.names = {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __missing__(self, part: bytes) -> bytes:
+        _forget(self, _PARTS_KEPT)
+        text = part.decode("latin-1")
+        found = [t.id for t in self.model.tokenize(text if part.isascii() else text.translate(self.names))]
+        self[part] = ids = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
+
 class Words(dict):
-    """Token ids, as little-endian 32-bit bytes, of words without ASCII white space.
+    """Token ids of texts, for a tokenizer that drops white space, lower-cases, and takes runs of letters,
+    digits, runs of other signs and English contractions apart.
 
-    For a tokenizer that drops white space, lower-cases, and takes runs of letters and runs of other
-    signs apart: a document's ids are then its words' ids in order. Words of Latin letters with
-    trailing signs go straight to the model, part by part; the others through the whole tokenizer.
+    A text of plain Latin signs is cut into parts by one expression, and each part's ids are looked up.
+    A text with other signs goes word by word through the whole tokenizer, since a document's ids are
+    its words' ids in order; its plain words are cut into parts too.
     """
 
-    SHAPE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|()\-]*)")
+    #: Latin-1 signs whose treatment the expression states: ASCII that prints, tab, line ends, letters.
+    SAFE = bytes([9, 10, 13, *range(32, 127), *range(0xC0, 0x100)])
+    LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+    PART = re.compile(rb"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts: dict[str, bytes] = {}
-        # Byte-level models name a byte by its printable character, and the other bytes from 256 on.
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        rest = (b for b in range(256) if b not in set(plain))
-        self.names = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
-
-    def part(self, text: str) -> bytes:
-        """Ids of one run of letters or of signs in lower case."""
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= _PARTS_KEPT:
-                self.parts.clear()
-            named = text.encode().decode("latin-1").translate(self.names)
-            found = self.parts[text] = np.array([t.id for t in self.tokenizer.model.tokenize(named)], "<u4").tobytes()
-        return found
+        self.parts = Parts(self.tokenizer.model)
+        # Strings of special tokens are found in the text as it stands, before anything else.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def plain(self, text: str) -> bytes | None:
+        """Ids of a text of plain Latin signs alone; None for others."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, self.SAFE) or any(s in raw for s in self.special):
+            return None
+        return b"".join(map(self.parts.__getitem__, self.PART.findall(raw.translate(self.LOWER))))
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
+        _forget(self, _WORDS_KEPT)
         text = word.decode("utf-8", "replace")
-        m = self.SHAPE.fullmatch(text)
-        if m:
-            ids = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
-        else:
+        ids = self.plain(text)
+        if ids is None:
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; null counts as empty."""
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split())), "<u4")
+        raw = self.plain(text or "")
+        if raw is None:
+            raw = b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        return np.frombuffer(raw, "<u4")
 
 
 def words_of(path: str) -> Words:

@@ -399,3 +399,22 @@ def test_hilbert_key_walks_neighbours():
     keys = packing.hilbert_key(grid, 3)
     assert sorted(keys.tolist()) == list(range(side**3))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_word_table_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words, r = Tokenizer.from_file(path), packing.Words(path), random.Random(7)
+    pieces = [*"abcXYZéÉÀßÿ×÷ñØ0129.,;\"'- \t\n\r\x0b\x0c\x1c\x85\xa0\xaa\xb5\xb2", "'s", "'S", "'ll", "'re", "don't", "<|endoftext|>", "<|ENDOFTEXT|>", "́", "İ", "漢字", "кот", "🙂"]
+    texts = ["", *("".join(r.choice(pieces[: 40 if i % 2 else None]) for _ in range(r.randrange(50))) for i in range(4000))]
+    assert [words.ids(t).tolist() for t in texts] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_memo_drops_its_older_half(monkeypatch):
+    monkeypatch.setattr(packing, "_PARTS_KEPT", 8)
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"))
+    names = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    once = [words.ids(n).tolist() for n in names]
+    assert len(words.parts) <= 8 and b"wordz" in words.parts
+    assert [words.ids(n).tolist() for n in names] == once
