@@ -104,20 +104,20 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
 
 def _probe(probe: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     out = probe[["digest", "winner", "copies"]].copy()
-    out["old_winner"], out["old_copies"] = -1, -1
+    out["old_winner"], out["old_copies"] = 0, 0
     if len(index) and len(probe):
         row = index.iloc[0]
         n, seeds = int(row["n"]), np.frombuffer(row["seeds"], "<u4")
         lanes = _lanes(probe["digest"].tolist())
         slot = _slots(lanes, seeds[_buckets(lanes, n)], n)
         same = (np.frombuffer(row["digests"], "<u8").reshape(-1, 4)[slot] == lanes).all(axis=1)
-        out["old_winner"] = np.where(same, np.frombuffer(row["winners"], "<i8")[slot], -1)
-        out["old_copies"] = np.where(same, np.frombuffer(row["copies"], "<i8")[slot], -1)
+        out["old_winner"] = np.where(same, np.frombuffer(row["winners"], "<i8")[slot], 0)
+        out["old_copies"] = np.where(same, np.frombuffer(row["copies"], "<i8")[slot], 0)
     return out
 
 
 def lookup(index: DataFrame, probes: DataFrame, shards: int) -> DataFrame:
-    """Each of ``probes(digest, winner, copies)`` with the index's winner and copies, or -1 and -1."""
+    """Each of ``probes(digest, winner, copies)`` with the index's winner and copies; old_copies is 0 where it has none."""
     dealt = probes.withColumn("shard", shard_of(F.col("digest"), shards))
     return dealt.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_probe, "digest binary, winner long, copies long, old_winner long, old_copies long")
 
@@ -137,9 +137,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when they are identical after ``normalised``; null counts as empty. Of equal
     texts the row with the smallest id is kept. Rows up to the ``history_share`` quantile of the
     ids form the history that is indexed; the others probe it. That split changes the work, never
-    the result. Rows with a null id come after all others (keep_id is null where a group has no id).
+    the result. Ids may be negative. Rows with a null id come after all others (keep_id is null where a group has no id).
     Repeated rows with one id are all kept, since nothing tells them apart; ``deduplicated``
-    leaves one. An empty table gives an empty result; further columns of ``docs`` are ignored.
+    leaves one. Texts of any length are read whole, and only their digests are shuffled. An empty
+    table gives an empty result; further columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -154,8 +155,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # History rows come before all probes, so the index's winner has the smaller id.
     settled = found.select(
         "digest",
-        F.when(F.col("old_winner") >= 0, F.col("old_winner")).otherwise(F.col("winner")).alias("winner"),
-        (F.col("copies") + F.greatest("old_copies", F.lit(0))).alias("copies"),
+        F.when(F.col("old_copies") > 0, F.col("old_winner")).otherwise(F.col("winner")).alias("winner"),
+        (F.col("copies") + F.col("old_copies")).alias("copies"),
     )
     settled = scratch.save(settled, "settled")
     groups = scratch.save(settled.unionByName(history.join(settled.select("digest"), "digest", "left_anti").select("digest", "winner", "copies")), "groups")
@@ -170,7 +171,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct text, with all their columns."""
+    """The rows of ``docs`` that stay, one per distinct text, with all their columns.
+
+    Null and empty texts are one text; of repeated rows one stays. An empty table gives an empty result.
+    """
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"), "group_size")
     kept = Scratch(docs.sparkSession, "kept").save(kept, "kept")
     # Rows that share one id and one text can't be told apart; only then is a second step needed.
