@@ -28,8 +28,8 @@ from .common import Scratch
 
 #: Bytes of payload from which equal payloads are written once; captures a block of the index holds.
 LEAST_REVISIT, BLOCK_LINES = 1000, 2000
-#: Bytes of a WARC file after which a task begins the next one.
-FILE_BYTES = 1 << 30
+#: Bytes of a WARC file after which a task begins the next one; bytes of records that a task reads back.
+FILE_BYTES, READ_BYTES = 1 << 30, 4 << 20
 _NO_ID = -(2**63)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _HOST = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:\d*)?([^#]*)")
@@ -167,9 +167,14 @@ def _indexer(root: str):
     return run
 
 
-def build_index(scratch: Scratch, captures: DataFrame, root: str) -> DataFrame:
+def parts_of(captures: DataFrame) -> int:
+    """Range partitions of the index: the records of each have about ``READ_BYTES`` bytes."""
+    return max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+
+
+def build_index(scratch: Scratch, captures: DataFrame, root: str, parts: int) -> DataFrame:
     """Write the captures as sorted compressed blocks under ``root``; the sparse block directory."""
-    ordered = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    ordered = captures.repartitionByRange(parts, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return scratch.save(ordered.mapInArrow(_indexer(root), DIRECTORY), "directory")
 
 
@@ -229,19 +234,22 @@ def _reader(warc_root: str, index_root: str):
     return run
 
 
-def lookup(probes: DataFrame, directory: DataFrame, warc_root: str, index_root: str) -> DataFrame:
-    """The records of ``probes(url_key, page_id)``, read through the index."""
+def lookup(probes: DataFrame, directory: DataFrame, warc_root: str, index_root: str, parts: int) -> DataFrame:
+    """The records of ``probes(url_key, page_id)``, read through the index in as many tasks as it has parts.
+
+    The number is stated, since a probe's few bytes stand for a whole page that its task reads.
+    """
     # One row per range partition of the index: where it begins.
     starts = sorted((r["k"].encode(), r["i"], r["part"]) for r in directory.groupBy("part").agg(F.min(F.struct(F.col("first_key").alias("k"), F.col("first_id").alias("i"))).alias("s")).select("part", "s.k", "s.i").collect())
-    firsts, parts = [s[:2] for s in starts], np.array([s[2] for s in starts] or [0], np.int32)
+    firsts, numbers = [s[:2] for s in starts], np.array([s[2] for s in starts] or [0], np.int32)
 
     @F.pandas_udf("int")
     def part_of(keys, ids):
         at = [bisect.bisect_right(firsts, (k.encode(), i)) - 1 for k, i in zip(keys, ids, strict=True)]
-        return pd.Series(parts[np.maximum(at, 0)])
+        return pd.Series(numbers[np.maximum(at, 0)])
 
-    dealt = probes.select("url_key", "page_id", part_of("url_key", "page_id").alias("part")).distinct()
-    return dealt.groupBy("part").cogroup(directory.groupBy("part")).applyInPandas(_reader(warc_root, index_root), READ)
+    dealt = probes.select("url_key", "page_id", part_of("url_key", "page_id").alias("part")).distinct().repartition(parts, "part")
+    return dealt.groupBy("part").cogroup(directory.repartition(parts, "part").groupBy("part")).applyInPandas(_reader(warc_root, index_root), READ)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -249,15 +257,17 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url_key, stated_digest. A revisit
     takes size and digest from the response that it refers to, as read. Null and empty pages have an
-    empty payload; a null id or URL is allowed; repeated rows are written and read each. Further
-    columns are ignored; an empty table gives an empty result.
+    empty payload; a page of any length is one record, held by its task; a null id or URL is allowed.
+    Of equal payloads the largest id is the response, and repeated rows with that id are responses each;
+    all are written and read. Further columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     warc_root, index_root = (_qualified(scratch, f"{scratch.root}/{x}") for x in ("archives", "index"))
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     captures = write_archives(scratch, plain, warc_root)
-    directory = build_index(scratch, captures, index_root)
-    read = scratch.save(lookup(captures.select("url_key", "page_id"), directory, warc_root, index_root), "read")
+    parts = parts_of(captures)
+    directory = build_index(scratch, captures, index_root, parts)
+    read = scratch.save(lookup(captures.select("url_key", "page_id"), directory, warc_root, index_root, parts), "read")
     whole = read.where("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.first("payload_bytes").alias("n"))
     whole = scratch.save(whole.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"), "n"), "whole")
     resolved = read.join(whole, ["refers_to", "stated_digest"], "left")
