@@ -3,9 +3,10 @@
 A target model (trusted texts) and a background model (all texts) share one vocabulary, the ids of a
 public tokenizer, and one form: bigrams mixed with unigrams and the uniform distribution. A
 document's score is the mean over its tokens of background loss minus target loss: positive where it
-is more like the target. Bigrams of both models are counted exactly: each block of documents names
-its distinct ones, a shuffle sums them over the corpus, and a second one brings the sums back to the
-blocks that asked. The model grows with the corpus and no process ever holds it.
+is more like the target. Every document is scored by the counts of all others: its own are taken off
+both models first, so a text can't speak for itself. Bigrams are counted exactly: each block of
+documents names its distinct ones, a shuffle sums them over the corpus, and a second one brings the
+sums back to the blocks that asked. The model grows with the corpus and no process ever holds it.
 """
 
 from __future__ import annotations
@@ -24,17 +25,8 @@ from .packing import words_of
 #: Documents and tokens after which a block ends; weights of bigram, unigram and uniform parts.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 MIX = (0.5, 0.45, 0.05)
-
-
-def cells_of(ids: np.ndarray, cells: int) -> np.ndarray:
-    """Cell of each bigram of a document, whose first one has the sentence start before it."""
-    return _cells(np.concatenate([[0], ids[:-1].astype(np.int64) + 1]), ids, cells)
-
-
-def _cells(before: np.ndarray, ids: np.ndarray, cells: int) -> np.ndarray:
-    h = (before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(cells)).astype(np.int64)
+#: Trusted ids up to which they are broadcast (32 MB); more are met by a shuffle join.
+BROADCAST_IDS = 4_000_000
 
 
 _BLOCK = "block long, doc_ids array<long>, lens array<int>, trusted array<boolean>, ids binary"
@@ -71,22 +63,33 @@ def _kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _opened(lens: np.ndarray, raw: bytes, vocabulary: int, cells: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its tokens, what stands before each (0 at a start, else id + 1), and its bigrams' keys."""
+def _opened(lens: np.ndarray, raw: bytes, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block: its tokens, and what stands before each (0 at a document's start, else id + 1)."""
     ids = np.frombuffer(raw, _kind(vocabulary)).astype(np.int64)
     before = np.concatenate([[0], ids[:-1] + 1])[: len(ids)]
     before[(np.cumsum(lens) - lens)[lens > 0]] = 0
-    return ids, before, before * vocabulary + ids if cells is None else _cells(before, ids, cells)
+    return ids, before
+
+
+def _own(doc: np.ndarray, values: np.ndarray, n_values: int) -> np.ndarray:
+    """How often each place's value occurs in its own document."""
+    key = doc * n_values + values
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]])) if len(key) else np.empty(0, np.int64)
+    out = np.empty(len(key), np.int64)
+    out[order] = np.repeat(np.diff(np.append(new, len(key))), np.diff(np.append(new, len(key))))
+    return out
 
 
-def _asked(vocabulary: int, cells: int | None):
+def _asked(vocabulary: int):
     """Distinct bigrams of each block, with their numbers in all and in trusted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lens, trusted, raw in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py(), np.int64)
-                keys, at, n = np.unique(_opened(lens, raw.as_py(), vocabulary, cells)[2], return_inverse=True, return_counts=True)
+                ids, before = _opened(lens, raw.as_py(), vocabulary)
+                keys, at, n = np.unique(before * vocabulary + ids, return_inverse=True, return_counts=True)
                 good = np.bincount(at[np.repeat(np.array(trusted.as_py(), bool), lens)], minlength=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], ["block", "key", "n", "good"])
 
@@ -101,7 +104,7 @@ def _counter(vocabulary: int):
         for batch in batches:
             for _, lens, trusted, raw in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py(), np.int64)
-                ids, before, _ = _opened(lens, raw.as_py(), vocabulary, None)
+                ids, before = _opened(lens, raw.as_py(), vocabulary)
                 good = np.repeat(np.array(trusted.as_py(), bool), lens)
                 for kind, own in ((0, slice(None)), (1, good)):
                     total[kind] += np.bincount(np.concatenate([ids[own], vocabulary + before[own]]), minlength=total.shape[1])
@@ -112,71 +115,77 @@ def _counter(vocabulary: int):
 
 
 class Losses:
-    """Per-token losses of both models from their dense counts."""
+    """Per-token losses of both models from their counts; row 0 is the background, row 1 the target."""
 
-    def __init__(self, counts: np.ndarray, vocabulary: int, cells: int, mix: tuple[float, float, float] = MIX):
-        self.vocabulary, self.cells = vocabulary, cells
+    def __init__(self, counts: np.ndarray, vocabulary: int, mix: tuple[float, float, float] = MIX):
+        self.vocabulary = vocabulary
         self.unigram = counts[:, :vocabulary]
         self.context = counts[:, vocabulary : 2 * vocabulary + 1]
-        self.bigram = counts[:, 2 * vocabulary + 1 :]
-        self.total = np.maximum(self.unigram.sum(axis=1), 1)
+        self.total = self.unigram.sum(axis=1)
         self.mix = mix
 
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        """Losses in nats, background's then target's, of each token."""
-        ids = ids.astype(np.int64)
-        before = np.concatenate([[0], ids[:-1] + 1])
-        return self.mixed(ids, before, self.bigram[:, cells_of(ids, self.cells)])
+    def of(self, lens: np.ndarray, ids: np.ndarray, before: np.ndarray, bigram: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+        """Losses in nats of each token of documents of ``lens`` tokens, by the counts of all other documents.
 
-    def mixed(self, ids: np.ndarray, before: np.ndarray, bigram: np.ndarray) -> np.ndarray:
-        """The same from each token's context and its bigram's counts in both models."""
+        ``bigram`` has the counts of each token's bigram in both models, the document's own included;
+        ``trusted`` says of each document whether the target counts it.
+        """
         a, b, c = self.mix
+        doc = np.repeat(np.arange(len(lens)), lens)
+        own = [_own(doc, v, n) for v, n in ((ids, self.vocabulary), (before, self.vocabulary + 1), (before * self.vocabulary + ids, (self.vocabulary + 1) * self.vocabulary))]
         out = np.empty((2, len(ids)))
-        for kind in (0, 1):
-            # A cell can hold several bigrams; no bigram can be more frequent than its context.
-            context = self.context[kind][before]
-            p = b * self.unigram[kind][ids] / self.total[kind] + c / self.vocabulary
-            p = p + a * np.where(context > 0, np.minimum(bigram[kind], context) / np.maximum(context, 1), self.unigram[kind][ids] / self.total[kind])
-            out[kind] = -np.log(p)
+        for kind, counted in ((0, 1), (1, trusted[doc].astype(np.int64))):
+            total = self.total[kind] - counted * lens[doc]
+            unigram = (self.unigram[kind][ids] - counted * own[0]) / np.maximum(total, 1)
+            context = self.context[kind][before] - counted * own[1]
+            # A context that no other document has leaves the next token to the unigrams.
+            follows = np.where(context > 0, (bigram[kind] - counted * own[2]) / np.maximum(context, 1), unigram)
+            # Without any counts the model is uniform.
+            out[kind] = -np.log(np.where(total > 0, a * follows + b * unigram + c / self.vocabulary, 1 / self.vocabulary))
         return out
 
 
-def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary: int, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     ``trusted`` has the ids of the target texts; they count in the background too. Losses are means
-    over a document's tokens, and ``score`` is background_loss - target_loss; a document without
-    tokens has losses and score 0. Null texts count as empty, repeated rows each, a null id is never
-    trusted; further columns are ignored. With no trusted text the target model is uniform. Bigrams
-    are counted exactly; ``cells`` folds them into so many hashed cells instead.
+    over a document's tokens, by the counts of all other rows, and ``score`` is background_loss -
+    target_loss; a document without tokens has losses and score 0. Null texts count as empty, texts of
+    any length are read whole, repeated rows count and are scored each (so each has the other's
+    counts), a null id is never trusted; further columns are ignored. A model without any other text is
+    uniform. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("trusted", F.lit(True))
+    scratch = Scratch(spark, "lm")
+    ids = scratch.save(trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "trusted").withColumn("trusted", F.lit(True))
     plain = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # One and the same join at every size of the trusted set, which may grow with the corpus.
-    marked = plain.join(ids.hint("merge"), "_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    blocks = Scratch(spark, "lm").save(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks")
+    # Few ids go to the texts; only where they are too many, the texts are shuffled to meet them.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    marked = plain.join(ids, "_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    blocks = scratch.save(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks")
     plain_blocks = blocks.select("block", "lens", "trusted", "ids")
     # At most 2 * vocabulary + 1 rows, whatever the corpus is.
     summed = plain_blocks.mapInArrow(_counter(vocabulary), "slot long, n long, good long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    counts = np.zeros((2, 2 * vocabulary + 1))
+    counts = np.zeros((2, 2 * vocabulary + 1), np.int64)
     for batch in summed.toArrow().to_batches():
         counts[:, batch.column("slot").to_numpy()] = batch.column("n").to_numpy(), batch.column("good").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    asked = plain_blocks.mapInArrow(_asked(vocabulary, cells), "block long, key long, n long, good long")
+    asked = plain_blocks.mapInArrow(_asked(vocabulary), "block long, key long, n long, good long")
     # A bigram has at most one row a block here, so a frequent one is no hot key.
     every = Window.partitionBy("key")
     known = asked.select("block", "key", F.sum("n").over(every).alias("n"), F.sum("good").over(every).alias("good"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, order = Losses(shared.value, vocabulary, 0), np.argsort(right.column("key").to_numpy())
+        model, order = Losses(shared.value, vocabulary), np.argsort(right.column("key").to_numpy())
         keys, found = right.column("key").to_numpy()[order], np.stack([right.column(c).to_numpy()[order] for c in ("n", "good")])
         doc_ids, lens = left.column("doc_ids").combine_chunks().flatten(), left.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
-        tokens, before, own = _opened(lens, left.column("ids")[0].as_py(), vocabulary, cells)
+        good = left.column("trusted").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+        tokens, before = _opened(lens, left.column("ids")[0].as_py(), vocabulary)
         means = np.zeros((2, len(lens)))
         if len(tokens):
             some = lens > 0
-            means[:, some] = np.add.reduceat(model.mixed(tokens, before, found[:, np.searchsorted(keys, own)]), (np.cumsum(lens) - lens)[some], axis=1) / lens[some]
+            losses = model.of(lens, tokens, before, found[:, np.searchsorted(keys, before * vocabulary + tokens)], good)
+            means[:, some] = np.add.reduceat(losses, (np.cumsum(lens) - lens)[some], axis=1) / lens[some]
         return pa.table([doc_ids, pa.array(lens), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return blocks.select("block", "doc_ids", "lens", "ids").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return blocks.select("block", "doc_ids", "lens", "trusted", "ids").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
