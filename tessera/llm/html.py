@@ -1,15 +1,20 @@
 """HTML main-text extraction by consensus host paths.
 
-Every page scores its containers by the text of their blocks outside links, and votes for the
+Every page scores its containers by the text in them outside boilerplate and links, and votes for the
 generalised tag-class path of the best one. Spark counts the votes per host. Each page is then
-extracted again from the containers on its host's winning path; a page that has none of them uses
-its own best.
+extracted again from the containers on its host's winning path; a page without text there uses its
+own best.
+
+Boilerplate is told by the element (``nav``, ``aside``, forms, ...) or by its class, id and role.
+Inside the article only names that say nothing else count (``ad-slot``, ``comments``); of others
+(``related-work``) the content decides: mostly links, or hardly any text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,56 +28,104 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("nav footer aside form button select textarea script style noscript template iframe svg math canvas video audio object head title dialog menu datalist label input option".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var img input label button select".split())
+DROPPED = frozenset("nav footer aside button select textarea script style noscript template iframe svg canvas video audio object head title dialog menu datalist label input option".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+#: Elements that begin and end a block; all others run on in their line.
+BLOCK = CLOSES_P | frozenset("html body br li dt dd caption col colgroup tbody thead tfoot tr td th legend optgroup option".split())
 CONTAINERS = frozenset("body main article section div td center".split())
-CLOSES_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Words of class, id or role that mark boilerplate, and those that mark main text.
-BOILERPLATE = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice popup "
-    "promo promoted promotion related search share sharing sidebar social sponsor sponsored subscribe toolbar widget alert contentinfo complementary".split()
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+SIBLINGS = frozenset("li td th tr dt dd option".split())
+
+#: Words of class, id or role that mark boilerplate wherever it stands, and those that may also name a part of an article.
+HARD = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer masthead menu modal nav navbar navigation "
+    "newsletter notice notices popup promo promos promoted sidebar sponsor sponsored subscribe".split()
 )
+SOFT = frozenset("copyright disclaimer header promotion related search share sharing social toolbar widget widgets".split())
+#: Words that say where or how large a part is, not what it is.
+LAYOUT = frozenset("area bar block body bottom box col column container count floating form group head holder id inner item items large left link links list meta mobile outer panel place placeholder reply respond right row section slot small text thread title top unit wrap wrapper".split())
 MAIN = frozenset("article content entry main post story text body".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. A quote opens a value only after "=", and one that never closes is an
+#: ordinary sign; a tag that never closes takes the rest of the page. Nothing is tried twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
+#: What an element's tag and names say: nothing, boilerplate, perhaps boilerplate, the same by a name of several meanings.
+PLAIN, GONE, PURE, MIXED = range(4)
+#: Share of a page's text from which a container that is named as main text, or any container, can stand for the page; least text of a part with a name like boilerplate.
+NAMED_SHARE, ANY_SHARE, KEPT_SHARE, LEAST_PART = 0.5, 0.8, 0.9, 200
 
-class Element:
-    __slots__ = ("boiler", "parent", "path", "score", "tag", "texts")
 
-    def __init__(self, tag: str, path: str, parent: Element | None, boiler: bool):
-        self.tag, self.path, self.parent, self.boiler = tag, path, parent, boiler
-        self.score = 0.0
-        self.texts: list[str] = []
+class Element:
+    __slots__ = ("gone", "has_h1", "has_p", "inside", "kind", "level", "linked", "mass", "name", "parent", "tag", "title", "top", "total", "wraps")
+
+    def __init__(self, tag: str, name: str, parent: Element | None, kind: int, level: int):
+        self.tag, self.name, self.parent, self.kind, self.level = tag, name, parent, kind, level
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.has_h1 = self.has_p = self.wraps = self.title = self.gone = False
+        self.total = self.linked = self.mass = 0
+        self.top: Element | None = None
+
+    def dull(self) -> bool:
+        """Whether a part that is named like boilerplate is it, by its content."""
+        if self.has_h1:
+            return False
+        return 3 * self.linked >= self.total or self.kind == PURE and self.total < LEAST_PART and not self.has_p
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """Class and id words, and whether the element is hidden."""
-    names, hidden = [], False
+def _attributes(raw: str) -> tuple[list[str], list[str], bool]:
+    """Class and id names, roles, and whether the element is hidden."""
+    names, roles, hidden = [], [], False
     for m in ATTRIBUTE.finditer(raw):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if kind in ("class", "id", "role"):
-            names.append(value)
-        elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if kind in ("class", "id"):
+            names += value.split()
+        elif kind == "role":
+            roles += value.split()
+        elif kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and HIDING.search(value):
             hidden = True
-    return " ".join(names), hidden
+    return names, roles, hidden
+
+
+def _kind(names: list[str], roles: list[str]) -> int:
+    found = PLAIN
+    if not HARD.isdisjoint(roles):
+        return GONE
+    for name in (*names, *roles):
+        words = WORD.findall(name)
+        hard = not HARD.isdisjoint(words)
+        if hard or not SOFT.isdisjoint(words):
+            pure = all(w in HARD or w in SOFT or w in LAYOUT for w in words)
+            if hard and pure:
+                return GONE
+            found = PURE if pure else found or MIXED
+    return found
+
+
+def parse(source: str) -> tuple[list[Element], list[tuple[Element, str, bool, bool]]]:
+    """The page's elements, outer ones first, and its text runs in order: (innermost element, text, within a link, starts a block)."""
+    root = Element("", "", None, PLAIN, 0)
+    stack, elements, open_tags = [root], [root], Counter()
+    runs: list[tuple[Element, str, bool, bool]] = []
+    fresh, at, n = True, 0, len(source)
 
+    def close(to: int) -> None:
+        for e in stack[to:]:
+            open_tags[e.tag] -= 1
+        del stack[to:]
 
-def parse(source: str) -> list[tuple[Element, str, bool, bool]]:
-    """The page's text runs in order: (innermost element, text, within a link, starts a block)."""
-    root = Element("", "", None, False)
-    stack = [root]
-    runs: list[tuple[Element, str, bool, bool]] = []
-    links, fresh, at, n = 0, True, 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
         if text:
-            runs.append((stack[-1], text, links > 0, fresh))
+            # References are decoded run by run: none reaches over a tag.
+            runs.append((stack[-1], html.unescape(text) if "&" in text else text, open_tags["a"] > 0, fresh))
             fresh = False
         if not m:
             break
@@ -80,98 +133,156 @@ def parse(source: str) -> list[tuple[Element, str, bool, bool]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag in BLOCK:
             fresh = True
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    links -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
+            if open_tags[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in CLOSES_P and stack[-1].tag == "p" or tag == stack[-1].tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            stack.pop()
+        if stack[-1].tag == "p" and tag in CLOSES_P or stack[-1].tag == tag and tag in SIBLINGS or stack[-1].tag == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag in VOID:
             continue
-        names, hidden = _attributes(m[3]) if m[3] else ("", False)
-        words = WORD.findall(names) if names else ()
-        parent = stack[-1]
-        inside = any(e.tag in ("article", "main") for e in stack) if tag == "header" else False
-        boiler = parent.boiler or hidden or tag in DROPPED or tag == "header" and not inside or tag not in ("body", "html", "article", "main") and not BOILERPLATE.isdisjoint(words)
-        path = parent.path if tag in INLINE else f"{parent.path}>{tag}" + "".join(sorted("." + DIGITS.sub("#", x) for x in names.split()))
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = RAW_END[tag].search(source, at)
             at = end.end() if end else n
             continue
-        stack.append(Element(tag, path, parent, boiler))
-        links += tag == "a"
-    return runs
-
-
-def best_container(runs: list[tuple[Element, str, bool, bool]]) -> tuple[str, float]:
-    """Generalised path of the container with the most text of its own, and its score."""
-    scores: dict[str, float] = {}
+        names, roles, hidden = _attributes(m[3]) if m[3] else ([], [], False)
+        parent = stack[-1]
+        kind = PLAIN if tag in ("body", "html", "article", "main") or not (names or roles) else _kind(names, roles)
+        if hidden or tag in DROPPED or tag == "header" and not (parent.inside or parent.tag in ("article", "main")):
+            kind = GONE
+        name = tag + "".join(sorted("." + DIGITS.sub("#", x) for x in (*names, *roles))) if tag in BLOCK else ""
+        level = {"article": 3, "main": 2}.get(tag, int(any(not MAIN.isdisjoint(WORD.findall(x)) for x in names)) if tag in CONTAINERS and tag != "body" else 0)
+        element = Element(tag, name, parent, kind, level)
+        stack.append(element)
+        elements.append(element)
+        open_tags[tag] += 1
+    _weigh(elements, runs)
+    return elements, runs
+
+
+def _weigh(elements: list[Element], runs: list[tuple[Element, str, bool, bool]]) -> None:
+    """Text of each element, and whether it is boilerplate, as long as no container is chosen."""
+    sizes = []
     for element, text, linked, _ in runs:
-        if element.boiler or linked:
+        size = len(text) if not text[:1].isspace() and not text[-1:].isspace() else len(text.strip())
+        sizes.append(size)
+        element.total += size
+        element.linked += linked * size
+    for e in reversed(elements[1:]):
+        up = e.parent
+        up.total += e.total
+        up.linked += e.linked
+        up.has_p |= e.has_p or e.tag == "p"
+        up.has_h1 |= e.has_h1 or e.tag == "h1"
+        up.wraps |= e.wraps or e.tag in ("article", "main", "h1")
+    for e in elements[1:]:
+        e.gone = e.parent.gone or _boilerplate(e, e.inside)
+    for (element, _, linked, _), size in zip(runs, sizes, strict=True):
+        if not element.gone:
+            element.mass += size / 4 if linked else size
+    holder: dict[int, Element] = {}
+    for e in elements:
+        holder[id(e)] = e if e.parent is None or e.tag in CONTAINERS else holder[id(e.parent)]
+    for e in reversed(elements[1:]):
+        e.parent.mass += e.mass
+        e.parent.title |= e.title or e.tag == "h1" and not e.gone
+        if e.tag in CONTAINERS and not e.gone and e.mass:
+            outer = holder[id(e.parent)]
+            if outer.top is None or e.mass >= outer.top.mass:
+                outer.top = e
+
+
+def _boilerplate(e: Element, inside: bool) -> bool:
+    if e.kind == GONE or e.tag == "form" and not e.wraps:
+        return True
+    return e.kind in (PURE, MIXED) and (not inside or e.dull())
+
+
+def path_of(e: Element) -> str:
+    """Generalised tag-class path, from the page's root on."""
+    names = []
+    up: Element | None = e
+    while up is not None:
+        if up.name:
+            names.append(up.name)
+        up = up.parent
+    return ">".join(reversed(names))
+
+
+def best_container(elements: list[Element]) -> tuple[str | None, float]:
+    """Generalised path of the container that stands for the page, and its score; no path without text.
+
+    The heaviest containers are followed inwards. An article goes before other elements that are named
+    as main text, and these before others; the innermost stands for the page that loses little. A
+    title just outside it is taken in.
+    """
+    root = elements[0]
+    if not root.mass:
+        return None, 0.0
+    chain = [root]
+    while chain[-1].top is not None and chain[-1].top.mass >= NAMED_SHARE * root.mass:
+        chain.append(chain[-1].top)
+    level = max(e.level for e in chain)
+    if level:
+        named = [e for e in chain if e.level == level]
+    else:
+        named = [e for e in chain if e.mass >= ANY_SHARE * root.mass]
+    best = named[0]
+    if level < 2:
+        best = [e for e in named if e.mass >= (KEPT_SHARE if level else ANY_SHARE) * best.mass][-1]
+        titled = [e for e in chain if e.title and best.mass >= ANY_SHARE * e.mass]
+        if titled and not best.title:
+            best = titled[-1]
+    return path_of(best), float(best.mass)
+
+
+def text_on(elements: list[Element], runs: list[tuple[Element, str, bool, bool]], path: str) -> str:
+    """Text of the containers on ``path``, blocks apart by one space; empty if the page has none of them."""
+    names = path.split(">") if path else []
+    # Of each element: how many names of the path its own path agrees with, -1 once it left it; whether it is within a container, and left out there.
+    agreed: dict[int, int] = {}
+    state: dict[int, tuple[bool, bool]] = {}
+    for e in elements:
+        if e.parent is None:
+            agreed[id(e)], state[id(e)] = 0, (not names, False)
             continue
-        size = len(text.strip())
-        share, levels = float(size), 0
-        e: Element | None = element
-        while e is not None and size and levels < 3:
-            if e.tag in CONTAINERS:
-                main = e.tag in ("article", "main") or not MAIN.isdisjoint(WORD.findall(e.path.rpartition(">")[2].partition(".")[2]))
-                scores[e.path] = scores.get(e.path, 0.0) + share * (2.5 if main else 1.0)
-                share /= 2
-                levels += 1
-            e = e.parent
-    if not scores:
-        return "", 0.0
-    # Of equal scores the deepest path, then the first in order.
-    return max(scores.items(), key=lambda x: (x[1], x[0].count(">"), x[0]))
-
-
-def text_on(runs: list[tuple[Element, str, bool, bool]], path: str) -> str | None:
-    """Text of the containers on ``path``; None if the page has none of them."""
-    found, blocks = False, []
-    within: dict[int, bool] = {}
-
-    def on(e: Element | None) -> bool:
-        if e is None:
-            return False
-        key = id(e)
-        if key not in within:
-            within[key] = e.path == path and e.tag not in INLINE or on(e.parent)
-        return within[key]
-
+        up, (within, out) = agreed[id(e.parent)], state[id(e.parent)]
+        if e.name:
+            up = up + 1 if 0 <= up < len(names) and names[up] == e.name else -1
+        agreed[id(e)] = up
+        if within:
+            state[id(e)] = (True, out or _boilerplate(e, True))
+        else:
+            state[id(e)] = (bool(e.name) and up == len(names) and not e.gone, False)
+    pieces: list[str] = []
+    last: bool | None = None
     for element, text, _, fresh in runs:
-        if not on(element):
-            continue
-        found = True
-        if element.boiler:
-            if blocks:
-                blocks.append("\n")
+        within, out = state[id(element)]
+        if not within or out:
+            last = False if pieces else None
             continue
-        if fresh and blocks:
-            blocks.append("\n")
-        blocks.append(text)
-    if not found:
-        return None
-    return " ".join(html.unescape("".join(blocks)).split())
+        if pieces and (fresh or last is False):
+            pieces.append("\n")
+        pieces.append(text)
+        last = True
+    return " ".join("".join(pieces).split())
 
 
 def extract(source: str | None, path: str | None) -> str:
     """Main text of one page, given its host's winning path."""
-    runs = parse(source or "")
-    got = text_on(runs, path) if path else None
-    if got is None:
-        own, score = best_container(runs)
-        got = text_on(runs, own) if score else ""
-    return got or ""
+    elements, runs = parse(source or "")
+    got = text_on(elements, runs, path) if path is not None else ""
+    if not got:
+        own, _ = best_container(elements)
+        got = text_on(elements, runs, own) if own is not None and own != path else ""
+    return got
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [best_container(parse(t.as_py() or "")) for t in batch.column(1)]
+        got = [best_container(parse(t.as_py() or "")[0]) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["host", "path", "score"])
 
 
@@ -184,7 +295,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(host, path, votes)``: each host's winning path, by votes, then by score, then by name."""
     votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_votes, "host string, path string, score double")
-    counted = votes.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+    counted = votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
     return counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best")).select("host", "best.path", "best.votes")
 
 
@@ -196,9 +307,10 @@ def host_of(url):
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
-    Null and empty pages, and pages without text of their own, give an empty text. Repeated rows
-    vote and are extracted each; pages without a host vote together. Ids and URLs may be null;
-    further columns are ignored, and an empty table gives an empty result.
+    Null and empty pages, and pages without text of their own, give an empty text; a page of any length
+    is read whole, in time in proportion to it, whatever is left unclosed in it. Repeated rows vote and
+    are extracted each; pages without a host vote together; of equal votes the larger text wins. Ids
+    and URLs may be null; further columns are ignored, and an empty table gives an empty result.
     """
     winners = Scratch(pages.sparkSession, "html").save(host_paths(pages, url_col, html_col), "winners")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))

@@ -4,8 +4,10 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +48,7 @@ def test_empty_tables(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     frames = [
         decontam.contaminated(docs, none), quality.classified(docs, labels), suffix.without_repeats(docs), html.extracted(pages), exact.exact_dedup(docs), exact.deduplicated(docs),
-        tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), warc.archived(pages), lm.scored(docs, labels, path, 49_408, 1 << 12), near.near_duplicates(docs), packing.pack(docs, path),
+        tokens.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), warc.archived(pages), lm.scored(docs, labels, path, 49_408), near.near_duplicates(docs), packing.pack(docs, path),
     ]
     for df in frames:
         assert df.collect() == []
@@ -69,6 +71,16 @@ def test_exact(spark):
     assert sorted(norm(r.text) for r in kept.collect()) == sorted({t for _, t in rows})
 
 
+@pytest.mark.parametrize("share", [0.01, 0.5, 0.99])
+def test_exact_with_negative_ids(spark, share):
+    texts = {-5: "a", 4: "a", -1: "b", 0: "b", 7: "c", -9: "c", -2**63: "d", None: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    least = {t: min(i for i, x in texts.items() if x == t and i is not None) for t in texts.values()}
+    got = exact.exact_dedup(docs, history_share=share).collect()
+    assert {r.doc_id: (r.keep_id, r.kept, r.group_size) for r in got} == {i: (least[t], i == least[t], list(texts.values()).count(t)) for i, t in texts.items()}
+    assert collected(exact.deduplicated(docs), "doc_id") == sorted(((i,) for i in least.values()), key=str)
+
+
 def test_perfect_hash_has_distinct_slots():
     lanes = np.random.default_rng(1).integers(0, 2**63, (5000, 4), dtype=np.uint64)
     seeds = exact.perfect_seeds(lanes)
@@ -251,10 +263,49 @@ def test_html(spark):
     assert {r.page_id: r.text for r in got}[3] == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p title=\"it's>quoted text</p><p>second</p></article>", "quoted text second"),
+        ("<article><p data-x=\"a>b\">one</p><p alt='c>d'>two</p></article>", "one two"),
+        ("<article>AT&am<b>p;T</b> and AT&amp;T&nbsp;x &lt;b&gt;</article>", "AT&amp;T and AT&T x <b>"),
+        ("<article><h1>T</h1><div class='related-work'><p>Earlier work.</p></div><section class='search methods'><p>We searched.</p></section><div class='ad-slot'>buy</div><section id=comments><p>nice post</p></section><div class=related><ul><li><a href=1>Other</a></li></ul></div></article>", "T Earlier work. We searched."),
+        ("<nav>menu</nav><article><h1>Title</h1><p class=lead>The lead.</p><div class='article-body'>" + "<p>many words here.</p>" * 40 + "</div></article>", "Title The lead. " + " ".join(["many words here."] * 40)),
+        ("<p>hello <i>w</i>orld", "hello world"),
+        ("only text &amp; more", "only text & more"),
+        ("<body><form><h1>Page</h1><div class=content><p>All of it in a form.</p><input value=3><button>Go</button></div></form><form>Name <input></form>", "Page All of it in a form."),
+        ("<head><title>x</title><p>body is implied", "body is implied"),
+        ("<body><p>super<wbr>cali <x-y>cus</x-y>tom<br>next</p><table><tr><td>a<td>b</table>", "supercali custom next a b"),
+        ("<p>before</p><b unclosed at the end", "before"),
+        ("<!-- <p>no</p> --><p>a < b and 1 <2</p><!-- open", "a < b and 1 <2"),
+    ],
+)
+def test_html_of_odd_pages(page, text):
+    assert html.extract(page, None) == text
+    # A host path without text on the page leaves it to the page's own.
+    assert html.extract(page, "html>body>div.elsewhere") == text
+
+
+def test_html_takes_time_in_proportion():
+    for page in ("<a b " * 200_000, '<a b="' * 150_000, "<" * 500_000, "<div>" * 50_000 + "x" + "</q>" * 50_000, "<p>" + "<a href=1>x" * 50_000):
+        began = time.process_time()
+        html.extract(page, None)
+        assert time.process_time() - began < 20
+
+
+def test_html_against_the_article_of_each_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        plain = re.sub(r"<[^>]+>", "", re.sub(r"<(?:/?p|br|/?h1)>", " ", inner))
+        assert got[r.page_id] == " ".join(unescape(plain).split())
+
+
 def test_host_path_wins_over_the_page():
     long_notice = "<div class='box'>" + "words of a long notice " * 30 + "</div>"
     page = f"<body>{long_notice}<div class='post-12'><p>short main text</p></div></body>"
-    assert html.extract(page, ">body>div.post-#") == "short main text"
+    assert html.extract(page, "body>div.post-#") == "short main text"
 
 
 def test_token_counts(spark):
@@ -316,59 +367,42 @@ def test_warc(spark):
     assert warc.url_key("http://www.a.example/x?q=1") == "example,a,www)/x?q=1"
 
 
-def test_lm_against_direct_counts(spark):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    docs = documents(spark)
-    trusted = spark.createDataFrame([(1,), (13,), (13,), (None,), (999,)], "doc_id long")
-    cells, vocabulary = 1 << 14, 49_408
-    words = packing.words_of(path)
-    counts = np.zeros((2, 2 * vocabulary + 1 + cells))
-    rows = [(r.doc_id, words.ids(r.text).astype(np.int64)) for r in docs.collect()]
-    for i, ids in rows:
-        for kind in (0, 1) if i in (1, 13) else (0,):
-            for a, b, c in zip(ids, [0, *(ids[:-1] + 1)], lm.cells_of(ids, cells) if len(ids) else [], strict=False):
-                counts[kind, a] += 1
-                counts[kind, vocabulary + b] += 1
-                counts[kind, 2 * vocabulary + 1 + c] += 1
-    model = lm.Losses(counts, vocabulary, cells)
-    want = sorted((str(i), len(ids), round(float(np.diff(-model.of(ids).mean(axis=1))[0]) if len(ids) else 0.0, 6)) for i, ids in rows)
-    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.scored(docs, trusted, path, vocabulary, cells).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-5)
-    scores = {r.doc_id: r.score for r in lm.scored(docs, trusted, path, vocabulary, cells).collect()}
-    assert scores[13] > scores[12]
-
-
-def test_lm_counts_bigrams_exactly(spark, monkeypatch):
+def test_lm_by_the_counts_of_all_other_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_DOCS", 3)
     path, vocabulary = public_tokenizers.path("word_bpe_49k.json"), 49_408
     docs, good, words = documents(spark), (1, 13), packing.words_of(path)
     rows = [(r.doc_id, [-1, *map(int, words.ids(r.text))]) for r in docs.collect()]
-    pairs = [Counter(p for i, x in rows if not kind or i in good for p in zip(x, x[1:], strict=False)) for kind in (0, 1)]
-
-    def loss(kind, a, b):
-        contexts, unigrams = totals[kind]
-        one = unigrams[b] / max(unigrams.total(), 1)
-        return -np.log(0.45 * one + 0.05 / vocabulary + 0.5 * (pairs[kind][a, b] / contexts[a] if contexts[a] else one))
-
-    totals = []
-    for c in pairs:
-        contexts, unigrams = Counter(), Counter()
-        for (a, b), n in c.items():
-            contexts[a] += n
-            unigrams[b] += n
-        totals.append((contexts, unigrams))
-    want = sorted(((str(i), len(x) - 1, *(float(np.mean([loss(kind, *p) for p in zip(x, x[1:], strict=False)])) if len(x) > 1 else 0.0 for kind in (1, 0))) for i, x in rows))
-    trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
-    got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.scored(docs, trusted, path, vocabulary).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
-    # More distinct bigrams than the 2^21 cells of before keep their own keys.
-    ids = np.arange(3_000_000) % 49_000
-    before = np.arange(3_000_000) // 49_000
-    raw = np.stack([before, ids], axis=1).astype("<u2").tobytes()
-    keys = lm._opened(np.full(3_000_000, 2), raw, vocabulary, None)[2]
-    assert len(np.unique(keys[1::2])) == 3_000_000
+    pairs = lambda x: list(zip(x, x[1:], strict=False))
+    want = []
+    for at, (i, x) in enumerate(rows):
+        means = []
+        for kind in (1, 0):
+            counts = Counter(p for j, (k, y) in enumerate(rows) if j != at and (not kind or k in good) for p in pairs(y))
+            contexts, unigrams = Counter(), Counter()
+            for (a, b), n in counts.items():
+                contexts[a] += n
+                unigrams[b] += n
+            n = unigrams.total()
+
+            def chance(a, b):
+                one = unigrams[b] / n
+                return 0.45 * one + 0.05 / vocabulary + 0.5 * (counts[a, b] / contexts[a] if contexts[a] else one)
+
+            if at == 0:
+                # It is a probability in every context, a frequent one, a rare one and an unseen one.
+                for a in (-1, *(c for c, _ in contexts.most_common(2)), 12_345):
+                    assert abs(sum(chance(a, b) for b in unigrams) + 0.05 * (vocabulary - len(unigrams)) / vocabulary - 1) < 1e-9
+            means.append(float(np.mean([-np.log(chance(*p)) for p in pairs(x)])) if len(x) > 1 else 0.0)
+        want.append((str(i), len(x) - 1, *means))
+    trusted = spark.createDataFrame([(1,), (13,), (13,), (None,), (999,)], "doc_id long")
+    for most in (lm.BROADCAST_IDS, 0):
+        monkeypatch.setattr(lm, "BROADCAST_IDS", most)
+        got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.scored(docs, trusted, path, vocabulary).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(want)], atol=1e-9)
+    # Without a trusted text the target is uniform.
+    none = lm.scored(docs, trusted.where("doc_id = 0"), path, vocabulary).where("n_tokens > 0").select("target_loss").collect()
+    assert all(abs(r.target_loss - np.log(vocabulary)) < 1e-9 for r in none)
 
 
 def test_packing(spark):
