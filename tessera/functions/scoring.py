@@ -37,10 +37,16 @@ def hybrid_weights(vector: float = VECTOR_WEIGHT, lexical: float = LEXICAL_WEIGH
 
 def lexical_score(query: Column, *texts: Column) -> Column:
     """Mean over distinct query terms: 1 for a token, 0.5 where one holds the other, else 0."""
-    terms, tokens = lexical_tokens(query), lexical_tokens(F.concat_ws(" ", *texts))
-    part = lambda t: F.exists(tokens, lambda x: F.contains(x, t) | F.contains(t, x))
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(tokens, t), 1.0).when(part(t), 0.5).otherwise(0.0))
-    return F.when((F.size(terms) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.least(F.lit(1.0), total / F.size(terms)))
+
+    def share(both: Column) -> Column:
+        terms, tokens = both["terms"], both["tokens"]
+        part = lambda t: F.exists(tokens, lambda x: F.contains(x, t) | F.contains(t, x))
+        total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(tokens, t), 1.0).when(part(t), 0.5).otherwise(0.0))
+        return F.when((F.size(terms) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.least(F.lit(1.0), total / F.size(terms)))
+
+    # The lambda binds both token lists once, where a plain expression would cut the text again for each term.
+    both = F.struct(lexical_tokens(query).alias("terms"), lexical_tokens(F.concat_ws(" ", *texts)).alias("tokens"))
+    return F.get(F.transform(F.array(both), share), F.lit(0))
 
 
 def base_score(vector: Column, lexical: Column, vector_weight: float = VECTOR_WEIGHT, lexical_weight: float = LEXICAL_WEIGHT) -> Column:

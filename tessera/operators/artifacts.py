@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -27,10 +32,15 @@ def describe(files: DataFrame, prefixes: list[str]) -> DataFrame:
     )
 
 
+@F.pandas_udf(StringType())
+def _translated(patterns: pd.Series) -> pd.Series:
+    # Java's mark of the very end is the one in lower case.
+    return patterns.map(lambda p: None if p is None else re.sub(r"\\[Zz]\Z", r"\\z", fnmatch.translate(p)))
+
+
 def glob_regex(pattern: Column) -> Column:
-    """A shell pattern as a regular expression of the whole text."""
-    quoted = F.regexp_replace(pattern, r"([\\.^$+{}()|])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
+    """A shell pattern, with ``*``, ``?``, ``[abc]`` and ``[!abc]``, as a regular expression of the whole text."""
+    return F.concat(F.lit("^"), _translated(pattern))
 
 
 def attach_catalog(artifacts: DataFrame, catalog: DataFrame) -> DataFrame:

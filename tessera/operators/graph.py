@@ -1,7 +1,6 @@
 """Property graph of artifacts, subsystems, messages, telemetry channels and chunks.
 
-Nodes are ``(id, label, key, name, path, subsystem, criticality, description, git_timestamp)`` with
-``id = label:key``; edges are distinct ``(src, type, dst)``.
+Nodes have the columns of ``NODE`` with ``id = label:key``; edges are distinct ``(src, type, dst)``.
 """
 
 from __future__ import annotations
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import node_label, normalise_name
 from ..sources.stores import cut_lineage
 
-NODE = ("id", "label", "key", "name", "path", "subsystem", "criticality", "description", "git_timestamp")
+NODE = ("id", "label", "key", "name", "path", "subsystem", "criticality", "description", "git_timestamp", "owner", "domain", "tags", "labels")
+_KINDS = {"git_timestamp": "long", "tags": "array<string>", "labels": "array<string>"}
 #: Edge types that tie an artifact to its subsystem.
 OWNING = ("BELONGS_TO", "DESCRIBES", "VALIDATES")
 ORPHAN_LABELS = ("DesignDoc", "SourceFile", "TestCase", "ConfigFile", "Artifact", "Chunk", "IntegrationMessage", "TelemetryChannel")
@@ -20,7 +20,7 @@ ORPHAN_LABELS = ("DesignDoc", "SourceFile", "TestCase", "ConfigFile", "Artifact"
 
 def _nodes(df: DataFrame, label: Column, key: Column, **values: Column) -> DataFrame:
     cols = {"label": label, "key": key} | values
-    rows = df.select(*(cols[c].alias(c) if c in cols else F.lit(None).cast("long" if c == "git_timestamp" else "string").alias(c) for c in NODE if c != "id"))
+    rows = df.select(*(cols[c].alias(c) if c in cols else F.lit(None).cast(_KINDS.get(c, "string")).alias(c) for c in NODE if c != "id"))
     return rows.where("key is not null").withColumn("id", F.concat_ws(":", "label", "key")).select(*NODE)
 
 
@@ -32,8 +32,12 @@ def subsystem_nodes(artifacts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Subsystems of artifacts and of catalog dependencies, with the catalog's properties."""
     names = artifacts.select(F.col("subsystem").alias("name")).unionByName(dependency_pairs(artifacts, catalog).select(F.col("dependency").alias("name")))
     names = names.where("name is not null").distinct().withColumn("key_lower", F.lower("name"))
-    known = catalog.groupBy("key_lower").agg(F.min_by("criticality", "ord").alias("criticality"), F.min_by("description", "ord").alias("description"))
-    return _nodes(names.join(known, "key_lower", "left"), F.lit("Subsystem"), F.col("name"), name=F.col("name"), criticality=F.col("criticality"), description=F.col("description"))
+    # An empty property is no property.
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    listed = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    given = {c: filled(c) for c in ("criticality", "description", "owner", "domain") if c in catalog.columns} | {c: F.when(F.size(listed(c)) > 0, listed(c)) for c in ("tags", "labels") if c in catalog.columns}
+    known = catalog.groupBy("key_lower").agg(F.min_by(F.struct(*(v.alias(c) for c, v in given.items())), "ord").alias("p"))
+    return _nodes(names.join(known, "key_lower", "left"), F.lit("Subsystem"), F.col("name"), name=F.col("name"), **{c: F.col(f"p.{c}") for c in given})
 
 
 def dependency_pairs(artifacts: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -158,8 +162,10 @@ def path_depth(nodes: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFr
 
 
 def page(df: DataFrame, keys: list[Column], offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """A page in order of the first present key, then the others; and one row with the total."""
-    return df.orderBy(F.coalesce(*keys), *keys).offset(offset).limit(limit), df.agg(F.count("*").alias("total"))
+    """A page in order of the first present key, then the others; and one row: total, next_offset (null after a page that isn't full)."""
+    full = F.count("*") - offset >= limit
+    info = df.agg(F.count("*").alias("total"), F.when(full, offset + limit).cast("long").alias("next_offset"))
+    return df.orderBy(F.coalesce(*keys), *keys).offset(offset).limit(limit), info
 
 
 def entity_search(terms: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.values import to_double
 from ..sources.stores import RankingModel, cut_lineage
 
+# Features of the ranking model, in order.
 FEATURES = (
     "vector_score", "signal_subsystem_affinity", "signal_relationship_count", "signal_supporting_bonus",
     "signal_coverage_missing", "graph_context_present", "metadata_graph_context_included", "metadata_warnings_count",

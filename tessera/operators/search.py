@@ -18,7 +18,9 @@ from .graph import both_ways
 MAX_K = 25
 #: Queries of one batch; more are taken in further passes, so the matrix that tasks hold is bounded.
 QUERY_BLOCK = 4096
+# Artifact types that a query may ask for.
 TYPES = ("code", "doc", "test", "proto", "config")
+# Names of the features that a model may use.
 FEATURES = (
     "vector_score", "lexical_score", "weighted_vector_score", "weighted_lexical_score", "signal_subsystem_affinity", "signal_relationship_count",
     "signal_supporting_bonus", "signal_coverage_missing", "signal_coverage_ratio", "signal_criticality_score", "signal_path_depth",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as SC
@@ -80,7 +80,9 @@ def estimated_chunks(spark, d):
     return W.files(spark, d).select("path", T.estimate_chunks(F.col("content"), 64, 10).alias("n_chunks"))
 
 
-@query()
+@query(f"""WITH {_CHUNKS_SQL}, k AS (SELECT *, sha256(path || ':' || sequence || ':' || text) AS content_digest, greatest(CAST(list_sum(list_transform(string_split(text, ''), lambda x: unicode(x))) AS BIGINT), 1) AS seed FROM chunks)
+SELECT path || '::' || sequence AS chunk_id, substr(content_digest, 1, 8) || '-' || substr(content_digest, 9, 4) || '-' || substr(content_digest, 13, 4) || '-' || substr(content_digest, 17, 4) || '-' || substr(content_digest, 21, 12) AS point_id,
+  {', '.join(f"round(CAST(CAST(seed % {i + 2} AS DOUBLE) / {i + 2} AS FLOAT)::DOUBLE, 6) AS v{i}" for i in range(8))} FROM k""")
 def chunk_embeddings(spark, d):
     e = A.embed(A.chunk(W.files(spark, d)))
     return e.select("chunk_id", "point_id", *(F.round(F.col("vector")[i].cast("double"), 6).alias(f"v{i}") for i in range(8)))
@@ -92,11 +94,24 @@ def tags(spark, d):
     return W.artifacts(spark, d).select("path", F.array_join(T.build_tags(F.col("message_entities"), F.col("telemetry_signals"), F.col("catalog_tags")), ",").alias("tags"))
 
 
-@query(f"WITH {W.FILES_SQL} SELECT path, 'c' || doc_id || '-1' AS git_commit, git_timestamp + 1000 AS git_timestamp FROM files WHERE doc_id % 2 >= 0")
+#: Time up to which commits count: some files have all of theirs by then, some one or two, some none.
+_AS_OF = 1_700_000_000 + 3600 * 300 + 1500
+
+
+@query(f"""WITH {W.FILES_SQL}, c AS (SELECT path, 'c' || doc_id || '-' || j AS git_commit, git_timestamp + 1000 * j AS ts FROM files, (VALUES (0), (1), (2)) t(j)),
+l AS (SELECT * FROM c WHERE ts <= {_AS_OF} QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, git_commit DESC) = 1)
+SELECT path, git_commit, ts AS git_timestamp FROM files LEFT JOIN l USING (path)""")
 def last_commits(spark, d):
-    commits = W.commits(spark, d)
-    # Commits of the third step come after every file's as-of time of the second.
-    return A.attach_commits(W.files(spark, d).select("path"), commits.where("commit not like '%-2'")).select("path", "git_commit", "git_timestamp")
+    return A.attach_commits(W.files(spark, d).select("path"), W.commits(spark, d), _AS_OF).select("path", "git_commit", "git_timestamp")
+
+
+@query("""WITH f AS (SELECT 'src/' || source || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' || lang ELSE '/' || lang || '/x' END || '.py' AS path FROM documents)
+SELECT 'src' AS prefix UNION SELECT 'src/' || split_part(path, '/', 2) FROM f WHERE len(string_split(path, '/')) > 2""")
+def source_prefixes(spark, d):
+    kind = F.col("doc_id") % 3
+    tail = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("/"), "lang")).otherwise(F.concat(F.lit("/"), "lang", F.lit("/x")))
+    found = A.source_prefixes(W.table(spark, d, "documents").select(F.concat(F.lit("src/"), "source", tail, F.lit(".py")).alias("path")))
+    return spark.createDataFrame([(p,) for p in found], "prefix string")
 
 
 @query(f"WITH {W.FILES_SQL} SELECT path FROM files WHERE path LIKE '%.md' AND split_part(path, '/', 1) <> 'src'")
@@ -104,7 +119,7 @@ def document_files(spark, d):
     return W.files(spark, d).select("path").where(T.is_document_file(F.col("path"), "src"))
 
 
-@query()
+@query(r"SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(regexp_replace(strip_accents(html), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'document') AS slug FROM pages")
 def slugs(spark, d):
     return W.table(spark, d, "pages").select("page_id", T.slug(F.col("html")).alias("slug"))
 
@@ -152,7 +167,9 @@ def coverage(spark, d):
     return RP.coverage_report(arts, A.removed_artifacts(old, f))[0]
 
 
-@query()
+@query(f"""WITH {W.ARTIFACTS_SQL}, {W.LEDGER_SQL.replace(W.FILES_SQL + ',', '')} SELECT path, artifact_type, subsystem, digest, CAST(CASE WHEN state = 'skipped' THEN chunk_count WHEN regexp_matches(content, '\\S') THEN ceil(length(content) / 800.0) ELSE 0 END AS BIGINT) AS chunk_count,
+  CASE WHEN state = 'skipped' THEN coalesce(coverage_ratio, CASE WHEN chunk_count > 0 THEN 1.0 ELSE 0.0 END) WHEN regexp_matches(content, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS coverage_ratio
+FROM states JOIN (SELECT path, artifact_type, subsystem FROM art) USING (path)""")
 def incremental_ingest(spark, d):
     out = workloads.ingest(W.artifacts(spark, d), W.catalog(spark), W.prior_ledger(spark, d), None, W.NOW)
     return out["ledger"].select("path", "artifact_type", "subsystem", "digest", "chunk_count", "coverage_ratio")
@@ -171,10 +188,38 @@ def graph_edges(spark, d):
     return W.graph(spark, d)[1]
 
 
-@query(f"""WITH {W.EDGES_SQL} SELECT 'duplicate node' AS violation, id FROM nodes GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'missing node', id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM nodes)""")
+_PROPS = ", ".join(f"('{n}', 'Part {n}', {'NULL' if c is None else repr(c)}, {'NULL' if c is None else repr(f'team-{c}')}, 'domain-{o % 2}', 'tag-{n.lower()}')" for o, n, c, _, _ in W.CATALOG)
+
+
+@query(f"""WITH {W.EDGES_SQL}, props(name, description, criticality, owner, domain, tags) AS (VALUES {_PROPS})
+SELECT n.name, p.description, p.criticality, p.owner, p.domain, p.tags, NULL::VARCHAR AS labels FROM nodes n LEFT JOIN props p USING (name) WHERE label = 'Subsystem'""")
+def subsystem_properties(spark, d):
+    nodes = W.graph(spark, d)[0].where("label = 'Subsystem'")
+    return nodes.select("name", "description", "criticality", "owner", "domain", *(F.when(F.col(c).isNotNull(), F.array_join(c, ",")).alias(c) for c in ("tags", "labels")))
+
+
+_CHUNK_EDGES_SQL = f"""{W.EDGES_SQL}, pieces AS (SELECT label, path, path || '::' || unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS chunk_id FROM art WHERE regexp_matches(content, '\\S'))"""
+
+
+@query(f"WITH {_CHUNK_EDGES_SQL} SELECT label || ':' || path AS src, 'HAS_CHUNK' AS type, 'Chunk:' || chunk_id AS dst FROM pieces UNION ALL SELECT src, type, dst FROM edges")
+def chunk_edges(spark, d):
+    return W.chunked_graph(spark, d)[1]
+
+
+@query(f"WITH {_CHUNK_EDGES_SQL} SELECT 'Chunk:' || chunk_id AS id, 'Chunk' AS label, chunk_id AS key FROM pieces UNION ALL SELECT id, label, key FROM nodes")
+def chunk_nodes(spark, d):
+    return W.chunked_graph(spark, d)[0].select("id", "label", "key")
+
+
+@query(f"""WITH {W.EDGES_SQL}, bad AS (SELECT id FROM nodes WHERE path NOT IN (SELECT path FROM files WHERE doc_id % 7 = 0) OR path IS NULL UNION ALL SELECT id FROM nodes WHERE path IN (SELECT path FROM files WHERE doc_id % 10 = 1 AND doc_id % 7 <> 0))
+SELECT 'duplicate node' AS violation, id FROM bad GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'missing node', id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id NOT IN (SELECT id FROM bad)""")
 def graph_violations(spark, d):
-    return G.check_graph(*W.graph(spark, d))
+    """A graph in which every seventh file's node is missing and every tenth's there twice."""
+    nodes, edges = W.graph(spark, d)
+    ids = W.files(spark, d).select("path", "doc_id")
+    some = nodes.join(ids.where("doc_id % 7 = 0").select("path"), "path", "left_anti")
+    return G.check_graph(some.unionByName(some.join(ids.where("doc_id % 10 = 1").select("path"), "path", "left_semi")), edges)
 
 
 _OWN = "type IN ('BELONGS_TO', 'DESCRIBES', 'VALIDATES')"
@@ -199,6 +244,15 @@ def node_neighbours(spark, d):
     return G.node_relationships(nodes.select("id"), nodes, edges, "all", 10).select("id", "type", "direction", "other", "place")
 
 
+@query(f"""WITH {W.EDGES_SQL}, {_WAYS} SELECT id, direction, type, other, CAST(row_number() OVER (PARTITION BY id, direction ORDER BY type, other) AS INTEGER) AS place FROM ways
+WHERE id IN (SELECT id FROM nodes WHERE label IN ('Subsystem', 'DesignDoc')) QUALIFY place <= 5""")
+def directed_neighbours(spark, d):
+    nodes, edges = W.graph(spark, d)
+    ids = nodes.where("label in ('Subsystem', 'DesignDoc')").select("id")
+    out = G.node_relationships(ids, nodes, edges, "outgoing", 5).unionByName(G.node_relationships(ids, nodes, edges, "incoming", 5))
+    return out.select("id", "direction", "type", "other", "place")
+
+
 @query(f"""WITH {W.EDGES_SQL} SELECT n.name, a.path, e.src AS artifact_id, e.type AS relation, CAST(row_number() OVER (PARTITION BY n.name ORDER BY a.path, e.src, e.type) AS INTEGER) AS place
 FROM nodes n JOIN edges e ON e.dst = n.id AND {_OWN} JOIN nodes a ON a.id = e.src WHERE n.label = 'Subsystem' QUALIFY place <= 200""")
 def subsystem_artifacts(spark, d):
@@ -206,15 +260,16 @@ def subsystem_artifacts(spark, d):
     return G.subsystem_artifacts(nodes.where("label = 'Subsystem'").select("name"), nodes, edges)
 
 
-@query(f"""WITH {W.EDGES_SQL}, {_WAYS}, w AS (SELECT DISTINCT id, other FROM ways),
-d0 AS (SELECT name, id, 0 AS hops FROM nodes WHERE label = 'Subsystem'),
-d1 AS (SELECT DISTINCT d0.name, w.other AS id FROM d0 JOIN w ON w.id = d0.id),
-d2 AS (SELECT DISTINCT d1.name, w.other AS id FROM d1 JOIN w ON w.id = d1.id),
-r AS (SELECT name, id, 0 AS hops FROM d0 UNION ALL SELECT name, id, 1 FROM d1 UNION ALL SELECT name, id, 2 FROM d2)
-SELECT name, id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY name, id HAVING min(hops) > 0""")
+@query(f"""WITH {W.EDGES_SQL}, {_WAYS}, d0 AS (SELECT name, id FROM nodes WHERE label = 'Subsystem'),
+d1 AS (SELECT d0.name, w.other AS id, w.type AS first_type, w.direction AS first_direction, d0.id || ' > ' || w.other AS path FROM d0 JOIN ways w ON w.id = d0.id WHERE w.other <> d0.id
+  QUALIFY row_number() OVER (PARTITION BY d0.name, w.other ORDER BY w.type, w.direction) = 1),
+d2 AS (SELECT d1.name, w.other AS id, d1.first_type, d1.first_direction, d1.path || ' > ' || w.other AS path FROM d1 JOIN ways w ON w.id = d1.id
+  WHERE NOT EXISTS (SELECT 1 FROM d1 x WHERE x.name = d1.name AND x.id = w.other) AND w.other <> 'Subsystem:' || d1.name
+  QUALIFY row_number() OVER (PARTITION BY d1.name, w.other ORDER BY d1.path || ' > ' || w.other, d1.first_type, d1.first_direction) = 1)
+SELECT name, id, 1 AS hops, first_type, first_direction, path FROM d1 UNION ALL SELECT name, id, 2, first_type, first_direction, path FROM d2""")
 def subsystem_neighbourhood(spark, d):
     nodes, edges = W.graph(spark, d)
-    return G.subsystem_neighbourhood(nodes.where("label = 'Subsystem'").select("name"), edges, 2).select("name", "id", "hops")
+    return G.subsystem_neighbourhood(nodes.where("label = 'Subsystem'").select("name"), edges, 2)
 
 
 @query(f"""WITH RECURSIVE {W.EDGES_SQL}, w AS (SELECT src AS a, dst AS b FROM edges WHERE {_OWN} UNION SELECT dst, src FROM edges WHERE {_OWN}),
@@ -231,6 +286,13 @@ def graph_page(spark, d):
     return G.page(nodes, [F.col("name"), F.col("path"), F.col("id")], 50, 25)[0].select("id", "label")
 
 
+@query(f"WITH {W.EDGES_SQL}, t AS (SELECT count(*) AS total FROM nodes) SELECT asked, total, CASE WHEN total - asked >= 25 THEN asked + 25 END AS next_offset FROM t, (VALUES (50), (1000000000)) a(asked)")
+def graph_page_info(spark, d):
+    nodes, _ = W.graph(spark, d)
+    info = [G.page(nodes, [F.col("id")], at, 25)[1].withColumn("asked", F.lit(at)) for at in (50, 1_000_000_000)]
+    return info[0].unionByName(info[1]).select("asked", "total", "next_offset")
+
+
 @query(f"""WITH {W.EDGES_SQL}, terms AS (SELECT DISTINCT lower(source) AS term FROM documents),
 t AS (SELECT id, label, CASE WHEN label = 'Subsystem' THEN name ELSE path END AS text, CASE label WHEN 'Subsystem' THEN 0.95 WHEN 'DesignDoc' THEN 0.85 ELSE 0.80 END::DOUBLE AS score FROM nodes WHERE label IN ('Subsystem', 'DesignDoc', 'SourceFile'))
 SELECT term, id, label, score, CAST(row_number() OVER (PARTITION BY term ORDER BY score DESC, id) AS INTEGER) AS place FROM t JOIN terms ON contains(lower(text), term) QUALIFY place <= 20""")
@@ -252,8 +314,7 @@ def edges_after_removal(spark, d):
 # ---- search
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20 AND vec_id IN (SELECT item_id FROM benchmark)),
-s AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS v FROM q, embeddings e)
+@query(f"""WITH {W.SEARCH_SQL}, s AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS v FROM qs q, embeddings e)
 SELECT query_id, chunk_id, round(v, 6) AS vector_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS INTEGER) AS vec_rank FROM s QUALIFY vec_rank <= 10""")
 def vector_topk(spark, d):
     queries, chunks_ = W.search_batch(spark, d)
@@ -263,30 +324,31 @@ def vector_topk(spark, d):
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the batch with their artifacts: the chunk of vector n is document n."""
     queries, vectors = W.search_batch(spark, d)
-    arts = W.artifacts(spark, d).select(F.col("doc_id").alias("chunk_id"), "path", "artifact_type", "subsystem", "subsystem_criticality", "git_timestamp", F.substring("content", 1, 400).alias("text"), T.namespace(F.col("path")).alias("namespace"), T.build_tags(F.col("message_entities"), F.col("telemetry_signals")).alias("tags"))
+    arts = W.artifacts(spark, d).select(F.col("doc_id").alias("chunk_id"), "path", "artifact_type", "subsystem", "subsystem_criticality", "git_timestamp", F.col("content").alias("text"), T.namespace(F.col("path")).alias("namespace"), T.build_tags(F.col("message_entities"), F.col("telemetry_signals")).alias("tags"))
     arts = arts.withColumns({"coverage_ratio": F.when(F.col("chunk_id") % 4 != 0, F.col("chunk_id") % 10 / F.lit(10.0)), "coverage_missing": (F.col("chunk_id") % 8 == 0).cast("double")})
     hits = S.vector_topk(queries, vectors, 10).join(arts, "chunk_id").join(queries.drop("vector"), "query_id")
     none = F.array().cast("array<string>")
-    even = F.col("query_id") % 2 == 0
+    even = F.col("query_id") % 40 == 0
     return hits.withColumns(
         {
-            "q_artifact_types": F.when(even, F.array(F.lit("Code"), F.lit("doc"))).otherwise(none), "q_namespaces": F.when(F.col("query_id") % 3 == 0, F.array(F.lit(" APP "), F.lit("docs"), F.lit("tests"))).otherwise(none), "q_tags": none,
-            "q_subsystems": F.when(F.col("query_id") % 5 == 0, F.array(F.lit("src1"), F.lit("src2"), F.lit("archive"))).otherwise(none),
-            "q_updated_after": F.when(F.col("query_id") % 7 == 0, F.lit("2023-11-15T00:00:00Z")), "q_max_age_days": F.when(F.col("query_id") % 4 == 0, F.lit(30)),
+            "q_tags": F.when(F.col("query_id") % 60 == 0, F.array(*(F.lit(t) for t in (" TELEMETRYSRC1 ", "msgsrc2message", "Telemetrysrc5", "")))).otherwise(none),
+            "q_artifact_types": F.when(even, F.array(F.lit("Code"), F.lit("doc"))).otherwise(none), "q_namespaces": F.when(F.col("query_id") % 3 == 0, F.array(F.lit(" APP "), F.lit("docs"), F.lit("tests"))).otherwise(none),
+            "q_subsystems": F.when(F.col("query_id") % 100 == 0, F.array(F.lit(" Src1"), F.lit("src2"), F.lit("archive"))).otherwise(none),
+            "q_updated_after": F.when(F.col("query_id") % 7 == 0, F.lit("2023-11-15T00:00:00Z")), "q_max_age_days": F.when(F.col("query_id") % 40 == 0, F.lit(30)),
         }
     )
 
 
-_HITS_SQL = f"""{W.EDGES_SQL}, qs AS (SELECT vec_id AS query_id, embedding, b.text AS query FROM embeddings JOIN benchmark b ON vec_id = item_id WHERE vec_id < 20),
+_HITS_SQL = f"""{W.EDGES_SQL}, {W.SEARCH_SQL},
 sim AS (SELECT qs.query_id, qs.query, e.vec_id AS chunk_id, list_cosine_similarity(qs.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS vector_score FROM qs, embeddings e),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) AS vec_rank FROM sim QUALIFY vec_rank <= 10),
-hit AS (SELECT top.*, art.path, art.label, art.artifact_type, art.subsystem, art.subsystem_criticality, art.git_timestamp, art.source, substring(art.content, 1, 400) AS text,
+hit AS (SELECT top.*, art.path, art.label, art.artifact_type, art.subsystem, art.subsystem_criticality, art.git_timestamp, art.source, art.content AS text,
   CASE WHEN art.path LIKE 'src/%' THEN 'app' ELSE split_part(art.path, '/', 1) END AS namespace,
   CASE WHEN chunk_id % 4 <> 0 THEN chunk_id % 10 / 10.0 WHEN chunk_id % 8 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS ratio FROM top JOIN art ON art.doc_id = top.chunk_id)
 """
 
 
-@query(f"WITH {_HITS_SQL} SELECT query_id, chunk_id FROM hit WHERE (query_id % 2 <> 0 OR artifact_type IN ('code', 'doc')) AND (query_id % 3 <> 0 OR namespace IN ('app', 'docs', 'tests'))")
+@query(f"WITH {_HITS_SQL} SELECT query_id, chunk_id FROM hit WHERE (query_id % 40 <> 0 OR artifact_type IN ('code', 'doc')) AND (query_id % 3 <> 0 OR namespace IN ('app', 'docs', 'tests')) AND (query_id % 60 <> 0 OR (label = 'SourceFile' AND source IN ('src1', 'src2', 'src5')))")
 def payload_filtered(spark, d):
     return S.payload_filters(_hits(spark, d)).select("query_id", "chunk_id")
 
@@ -310,9 +372,15 @@ def _scored(spark: SparkSession, d: str, weights: dict[str, float]) -> DataFrame
     return S.score(hits.join(context, "path", "left"), weights, W.NOW)
 
 
-_SCORE_SQL = f"""{_LEX_SQL}, {_WAYS}, rel AS (SELECT id, type, other, row_number() OVER (PARTITION BY id ORDER BY type, other, direction) AS place FROM ways QUALIFY place <= 10),
-ctx AS (SELECT rel.id, count(*) AS n_rel, min_by(c.criticality, place) FILTER (c.criticality IS NOT NULL) AS crit FROM rel LEFT JOIN cat c ON rel.other = 'Subsystem:' || c.name GROUP BY rel.id),
-aff AS (SELECT l.*, coalesce(x.n_rel, 0) AS n_rel, coalesce(subsystem_criticality, x.crit) AS criticality, lower(coalesce(subsystem, '')) AS sub, list_filter(string_split_regex(lower(query), '[^a-zA-Z0-9]+'), lambda t: t <> '') AS qt
+_CTX_SQL = f"""{_WAYS}, rel AS (SELECT id, type, other, row_number() OVER (PARTITION BY id ORDER BY type, other, direction) AS place FROM ways QUALIFY place <= 10),
+ctx AS (SELECT rel.id, count(*) AS n_rel, list_sort(list_distinct(list(substr(other, 11)) FILTER (other LIKE 'Subsystem:%'))) AS near,
+  list_sort(list(other) FILTER (type IN ('DESCRIBES', 'VALIDATES'))) AS related, min_by(c.criticality, place) FILTER (c.criticality IS NOT NULL) AS crit, bool_or(type = 'BELONGS_TO') AS belongs
+  FROM rel LEFT JOIN cat c ON rel.other = 'Subsystem:' || c.name GROUP BY rel.id)
+"""
+
+
+_SCORE_SQL = f"""{_LEX_SQL}, {_CTX_SQL},
+aff AS (SELECT l.*, coalesce(x.n_rel, 0) AS n_rel, coalesce(subsystem_criticality, x.crit) AS criticality, lower(coalesce(subsystem, '')) AS sub, list_filter(string_split_regex(lower(coalesce(query, '')), '[^a-zA-Z0-9]+'), lambda t: t <> '') AS qt
   FROM lexed l LEFT JOIN ctx x ON x.id = l.label || ':' || l.path),
 sc AS (SELECT *, vector_score + 0.25 * lexical_score AS base_score,
   CASE WHEN sub = '' THEN 0.0 WHEN list_contains(qt, sub) THEN 1.0 WHEN len(list_filter(qt, lambda t: contains(t, sub) OR contains(sub, t))) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS affinity,
@@ -327,12 +395,55 @@ def heuristic_scores(spark, d):
     return out.select("query_id", "chunk_id", F.round("adjusted_score", 6).alias("adjusted_score"), F.round("signal_subsystem_affinity", 6).alias("affinity"), F.col("signal_relationship_count").cast("long").alias("n_relationships"), F.round("signal_criticality_score", 6).alias("criticality"))
 
 
-@query(f"WITH {_SCORE_SQL} SELECT query_id, chunk_id, round(0.1 + 0.5 * vector_score - 0.02 * n_rel, 6) AS model_score FROM adj")
+def _featured(spark: SparkSession, d: str) -> DataFrame:
+    """Scored hits; every ninth artifact has no node, and every second source describes the document before it."""
+    hits = ST.cut_lineage(_hits(spark, d))
+    nodes, edges = W.graph(spark, d)
+    f = W.files(spark, d)
+    nodes = nodes.join(f.where("doc_id % 9 = 0").select("path"), "path", "left_anti")
+    pairs = f.where("doc_id % 5 = 1").select("doc_id", F.col("path").alias("code")).join(f.select((F.col("doc_id") + 1).alias("doc_id"), F.col("path").alias("doc")), "doc_id")
+    edges = ST.cut_lineage(edges.unionByName(pairs.select(F.concat(F.lit("SourceFile:"), "code").alias("src"), F.lit("DESCRIBES").alias("type"), F.concat(F.lit("DesignDoc:"), "doc").alias("dst"))))
+    context = S.graph_context(hits.select("path", "artifact_type").distinct(), nodes, edges).join(G.path_depth(nodes, edges).select(F.col("id").alias("node_id"), "depth"), "node_id", "left")
+    return S.score(hits.join(context, "path", "left"), SC.resolve_weights()[1], W.NOW)
+
+
+_FEATURE_SQL = f"""{_LEX_SQL}, pairs AS (SELECT a.path AS code, b.path AS doc, b.doc_id FROM files a JOIN files b ON a.doc_id = b.doc_id + 1 WHERE a.doc_id % 5 = 1),
+edges2 AS (SELECT * FROM edges UNION ALL SELECT 'SourceFile:' || code, 'DESCRIBES', 'DesignDoc:' || doc FROM pairs),
+{_CTX_SQL.replace("FROM edges", "FROM edges2")}, ft AS (
+  SELECT query_id, chunk_id, vec_rank, l.vector_score, lexical_score, 0.25 * lexical_score AS weighted_lexical_score, chunk_id % 9 <> 0 AS has,
+    CASE WHEN chunk_id % 9 <> 0 THEN coalesce(n_rel, 0) ELSE 0 END::DOUBLE AS rels,
+    CASE WHEN chunk_id % 9 <> 0 THEN 0.2 * least(len(list_filter(coalesce(related, []), lambda x: x LIKE 'DesignDoc:%')), 2) + 0.1 * least(len(list_filter(coalesce(related, []), lambda x: x LIKE 'TestCase:%')), 2) ELSE 0 END::DOUBLE AS bonus,
+    CASE WHEN chunk_id % 8 = 0 THEN 1 ELSE 0 END::DOUBLE AS missing, ratio,
+    CASE coalesce(subsystem_criticality, CASE WHEN chunk_id % 9 <> 0 THEN crit END) WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.8 WHEN 'critical' THEN 1.0 ELSE 0.0 END::DOUBLE AS criticality,
+    CASE WHEN chunk_id % 9 = 0 THEN NULL WHEN subsystem IS NOT NULL AND label <> 'ConfigFile' THEN 1 WHEN chunk_id IN (SELECT doc_id FROM pairs) THEN 2 ELSE 0 END::DOUBLE AS depth,
+    CASE WHEN chunk_id % 9 = 0 OR subsystem IS NULL THEN 0.0 WHEN list_contains(qt, lower(subsystem)) THEN 1.0 WHEN len(list_filter(qt, lambda t: contains(t, lower(subsystem)) OR contains(lower(subsystem), t))) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS affinity,
+    sum(CASE WHEN chunk_id % 9 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY vec_rank) AS warnings
+  FROM (SELECT *, list_filter(string_split_regex(lower(coalesce(query, '')), '[^a-zA-Z0-9]+'), lambda t: t <> '') AS qt FROM lexed) l LEFT JOIN ctx ON ctx.id = l.label || ':' || l.path)
+"""
+
+
+@query(f"""WITH {_FEATURE_SQL} SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score, round(vector_score, 6) AS weighted_vector_score, round(weighted_lexical_score, 6) AS weighted_lexical_score,
+affinity AS signal_subsystem_affinity, rels AS signal_relationship_count, round(bonus, 6) AS signal_supporting_bonus, missing AS signal_coverage_missing, ratio AS signal_coverage_ratio, criticality AS signal_criticality_score,
+depth AS signal_path_depth, has::INT::DOUBLE AS graph_context_present, 1.0::DOUBLE AS metadata_graph_context_included, warnings::DOUBLE AS metadata_warnings_count FROM ft""")
+def feature_vectors(spark, d):
+    return _featured(spark, d).select("query_id", "chunk_id", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in S.FEATURES))
+
+
+_COEFFICIENTS = (0.5, 0.2, 0.1, 0.3, 0.4, -0.02, 0.6, -0.3, 0.25, 0.15, -0.05, 0.08, 0.01, -0.07)
+
+
+@query(f"""WITH {_FEATURE_SQL} SELECT query_id, chunk_id, round(0.1 + 0.6 * vector_score + 0.2 * lexical_score + 0.3 * weighted_lexical_score + 0.4 * affinity - 0.02 * rels + 0.6 * bonus - 0.3 * missing + 0.25 * ratio
+  + 0.15 * criticality - 0.05 * coalesce(depth, 0) + 0.08 * has::INT + 0.01 - 0.07 * warnings, 6) AS model_score FROM ft""")
 def model_scores(spark, d):
-    out = S.model_score(_scored(spark, d, SC.resolve_weights()[1]), ["vector_score", "signal_relationship_count"], [0.5, -0.02], 0.1)
+    out = S.model_score(_featured(spark, d), list(S.FEATURES), list(_COEFFICIENTS), 0.1)
     return out.select("query_id", "chunk_id", F.round("adjusted_score", 6).alias("model_score"))
 
 
+@query(f"WITH {_FEATURE_SQL} SELECT query_id, chunk_id, CAST(warnings AS BIGINT) AS warnings FROM ft")
+def running_warnings(spark, d):
+    return _featured(spark, d).select("query_id", "chunk_id", F.col("metadata_warnings_count").alias("warnings"))
+
+
 @query(f"WITH {_SCORE_SQL} SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(adjusted_score, 9) DESC, vec_rank) AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) AS result_count FROM adj")
 def ranked_results(spark, d):
     out = _scored(spark, d, SC.resolve_weights()[1]).withColumn("adjusted_score", F.round("adjusted_score", 9))
@@ -345,7 +456,11 @@ def score_drift(spark, d):
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean_delta", "min_delta", "max_delta")), "outside_band")
 
 
-@query()
+@query(f"""WITH {_SCORE_SQL}, f AS (SELECT adj.*, base_score + 0.22 * affinity + 0.08 * least(adj.n_rel, 5) + 0.10 * crit_score - 0.28 * (1.0 - ratio) AS final FROM adj LEFT JOIN ctx ON ctx.id = adj.label || ':' || adj.path
+  WHERE (query_id % 40 <> 0 OR artifact_type IN ('code', 'doc')) AND (query_id % 3 <> 0 OR namespace IN ('app', 'docs', 'tests')) AND (query_id % 60 <> 0 OR (label = 'SourceFile' AND source IN ('src1', 'src2', 'src5')))
+    AND (query_id % 100 <> 0 OR lower(coalesce(subsystem, '')) IN ('src1', 'src2', 'archive') OR list_has_any(list_transform(near, lambda x: lower(x)), ['src1', 'src2', 'archive']))
+    AND git_timestamp >= greatest(CASE WHEN query_id % 7 = 0 THEN 1700006400 ELSE 0 END, CASE WHEN query_id % 40 = 0 THEN {W.NOW} - 30 * 86400 ELSE 0 END))
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, vec_rank) AS INTEGER) AS rank, round(final, 6) AS adjusted_score FROM f""")
 def hybrid_search(spark, d):
     queries, vectors = W.search_batch(spark, d)
     h = ST.cut_lineage(_hits(spark, d))
@@ -356,12 +471,32 @@ def hybrid_search(spark, d):
     return out.select("query_id", "chunk_id", "rank", F.round("adjusted_score", 6).alias("adjusted_score"))
 
 
-@query(f"WITH {_HITS_SQL} SELECT query_id, chunk_id FROM hit WHERE git_timestamp >= greatest(CASE WHEN query_id % 7 = 0 THEN 1700006400 ELSE 0 END, CASE WHEN query_id % 4 = 0 THEN {W.NOW} - 30 * 86400 ELSE 0 END)")
+@query(f"""WITH {_HITS_SQL} SELECT query_id, chunk_id FROM hit WHERE CASE WHEN chunk_id % 3 = 0 THEN git_timestamp - 500 ELSE git_timestamp END
+  >= greatest(CASE WHEN query_id % 7 = 0 THEN 1700006400 ELSE 0 END, CASE WHEN query_id % 40 = 0 THEN {W.NOW} - 30 * 86400 ELSE 0 END)""")
 def recent_hits(spark, d):
-    hits = _hits(spark, d).withColumn("node_timestamp", F.lit(None).cast("long"))
+    """Every third hit has no commit time of its own, but its graph node has one."""
+    third = F.col("chunk_id") % 3 == 0
+    hits = _hits(spark, d).withColumn("node_timestamp", F.when(third, F.col("git_timestamp") - 500)).withColumn("git_timestamp", F.when(~third, F.col("git_timestamp")))
     return S.recency_filter(hits, W.NOW).select("query_id", "chunk_id")
 
 
+@query(f"""WITH {W.EDGES_SQL}, {_CTX_SQL} SELECT a.path, a.label || ':' || a.path AS node_id, a.subsystem AS node_subsystem, CAST(coalesce(n_rel, 0) AS BIGINT) AS n_relationships,
+coalesce(array_to_string(near, ','), '') AS neighbours, coalesce(array_to_string(related, ','), '') AS related, crit AS graph_criticality, coalesce(belongs, false) AS belongs FROM art a LEFT JOIN ctx ON ctx.id = a.label || ':' || a.path""")
+def graph_contexts(spark, d):
+    out = S.graph_context(W.artifacts(spark, d).select("path", "artifact_type"), *W.graph(spark, d))
+    return out.select("path", "node_id", "node_subsystem", F.col("n_relationships").cast("long").alias("n_relationships"), F.array_join("neighbour_subsystems", ",").alias("neighbours"), F.array_join("related_ids", ",").alias("related"), "graph_criticality", "belongs")
+
+
+@query(f"""WITH {_HITS_SQL}, {_CTX_SQL} SELECT query_id, chunk_id FROM hit LEFT JOIN ctx ON ctx.id = hit.label || ':' || hit.path
+WHERE query_id % 100 <> 0 OR lower(coalesce(subsystem, '')) IN ('src1', 'src2', 'archive') OR list_has_any(list_transform(near, lambda x: lower(x)), ['src1', 'src2', 'archive'])""")
+def subsystem_filtered(spark, d):
+    hits = ST.cut_lineage(_hits(spark, d).drop("text"))
+    context = S.graph_context(hits.select("path", "artifact_type").distinct(), *W.graph(spark, d))
+    # A hit's own subsystem is hidden from every second one, so that its context must tell it.
+    hits = hits.withColumn("subsystem", F.when(F.col("chunk_id") % 2 == 0, F.col("subsystem")))
+    return S.subsystem_filter(hits.join(context, "path", "left")).select("query_id", "chunk_id")
+
+
 @query(f"WITH {W.FILES_SQL} SELECT path, round(greatest(0.0, {W.NOW} - git_timestamp) / 86400.0, 9) AS freshness_days FROM files")
 def freshness(spark, d):
     return W.files(spark, d).select("path", F.round(V.freshness_days(F.col("git_timestamp"), W.NOW), 9).alias("freshness_days"))
@@ -390,10 +525,53 @@ def rejected_queries(spark, d):
 # ---- feedback and ranking
 
 
-@query(f"WITH {W.FEEDBACK_SQL} SELECT count(*) AS total, count(feedback_vote) AS written, count(*) - count(feedback_vote) AS skipped FROM fb")
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback as nested events: strings, with lists, texts and nothing for the warnings."""
+    fb, kind = W.feedback(spark, d), F.col("rank") % 3
+    return fb.select(
+        "seq", "request_id", "timestamp", F.col("rank").cast("string").alias("rank"), "query", F.lit("1").alias("result_count"), "chunk_id", F.lit(None).cast("string").alias("artifact_path"), F.lit(None).cast("string").alias("artifact_type"), "subsystem",
+        F.col("vector_score").cast("string").alias("vector_score"), F.col("adjusted_score").cast("string").alias("adjusted_score"),
+        F.struct(F.col("signal_subsystem_affinity").cast("string").alias("subsystem_affinity"), F.lit("1").alias("relationship_count"), F.lit("0").alias("supporting_bonus"), F.lit("0").alias("coverage_missing")).alias("signals"),
+        F.lit("true").alias("graph_context_present"), F.col("feedback_vote").cast("string").alias("feedback_vote"), "feedback_note",
+        F.struct(F.col("request_id").alias("request_id"), F.lit("true").alias("graph_context_included"), F.when(kind == 0, '["a","b"]').when(kind == 2, "late").alias("warnings")).alias("metadata"), F.col("context_json").alias("context"),
+    )
+
+
+@query(f"WITH {W.FEEDBACK_SQL} SELECT count(*) AS total, least(count(feedback_vote), 100) AS written, count(*) - count(feedback_vote) AS skipped FROM fb")
 def export_stats(spark, d):
-    fb = W.feedback(spark, d)
-    return fb.agg(F.count("*").alias("total"), F.count_if(F.col("feedback_vote").isNotNull()).alias("written"), F.count_if(F.col("feedback_vote").isNull()).alias("skipped"))
+    return FB.export_dataset(_nested(spark, d), with_vote=True, limit=100, seq="seq")[1].select("total", F.col("written").cast("long").alias("written"), "skipped")
+
+
+@query(f"""WITH {W.FEEDBACK_SQL} SELECT chunk_id, request_id, feedback_vote, CASE rank % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS n_warnings FROM (SELECT * FROM fb WHERE feedback_vote IS NOT NULL ORDER BY seq LIMIT 100)""")
+def exported_rows(spark, d):
+    rows = FB.export_dataset(_nested(spark, d), with_vote=True, limit=100, seq="seq")[0]
+    return rows.select("chunk_id", "request_id", V.to_double(F.col("feedback_vote")).alias("feedback_vote"), F.col("metadata_warnings_count").cast("int").alias("n_warnings"))
+
+
+@query(f"WITH {W.FEEDBACK_SQL} SELECT chunk_id, feedback_vote FROM fb WHERE feedback_vote IS NOT NULL")
+def voted_rows(spark, d):
+    return FB.require_vote(W.feedback(spark, d)).select("chunk_id", "feedback_vote")
+
+
+@query(f"""WITH {W.FEEDBACK_SQL}, raw AS (SELECT chunk_id, CASE rank % 5 WHEN 0 THEN ' ' || rank || '.5 ' WHEN 1 THEN 'true' WHEN 2 THEN 'great' WHEN 3 THEN '' END AS vote, CASE rank % 2 WHEN 0 THEN '' ELSE role END AS note, role || '!' AS comment
+  FROM (SELECT *, subsystem AS role FROM fb))
+SELECT chunk_id, CASE WHEN vote = 'true' THEN 1.0 ELSE try_cast(trim(vote) AS DOUBLE) END AS feedback_vote, coalesce(nullif(note, ''), comment) AS feedback_note FROM raw""")
+def parsed_feedback(spark, d):
+    kind, role = F.col("rank") % 5, F.col("subsystem")
+    vote = F.when(kind == 0, F.concat(F.lit(" "), "rank", F.lit(".5 "))).when(kind == 1, "true").when(kind == 2, "great").when(kind == 3, "")
+    raw = W.feedback(spark, d).select("chunk_id", vote.alias("vote"), F.when(F.col("rank") % 2 == 0, "").otherwise(role).alias("note"), F.concat(role, F.lit("!")).alias("comment"))
+    return FB.parse_feedback(raw).select("chunk_id", "feedback_vote", "feedback_note")
+
+
+@query(f"""WITH {W.FEEDBACK_SQL}, r AS (SELECT request_id, arg_min(epoch, seq) AS ts FROM fb GROUP BY 1), k AS (SELECT least(count(*), 50) AS n FROM r WHERE ts >= epoch_ms(TIMESTAMP '2023-11-14 23:00:00') // 1000)
+SELECT (SELECT count(*) FROM r) AS total_requests, n AS retained_requests, (SELECT count(*) FROM r) - n AS removed_requests FROM k""")
+def prune_stats(spark, d):
+    return FB.prune_feedback(W.feedback(spark, d), "2023-11-24T23:00:00Z", max_age_days=10, max_requests=50)[1]
+
+
+@query(f"WITH {W.FEEDBACK_SQL} SELECT count(*) AS total_rows, count(*) FILTER (query <> '' OR feedback_note <> '') AS redacted_rows FROM fb")
+def redaction_stats(spark, d):
+    return FB.redact(W.feedback(spark, d), drop_context=False, drop_note=True)[1]
 
 
 @query(f"""WITH {W.FEEDBACK_SQL}, first AS (SELECT request_id, min(epoch) AS ts, min(seq) AS first_seq FROM fb WHERE epoch >= epoch_ms(TIMESTAMP '2023-11-14 23:00:00') // 1000 GROUP BY request_id ORDER BY ts DESC, first_seq LIMIT 50)
@@ -410,16 +588,7 @@ def redacted(spark, d):
 
 @query(f"""WITH {W.FEEDBACK_SQL} SELECT chunk_id, request_id, round(signal_subsystem_affinity, 9) AS affinity, CASE WHEN turn_kind = 0 THEN 2 WHEN turn_kind = 1 THEN 0 ELSE 1 END AS n_warnings FROM (SELECT *, rank % 3 AS turn_kind FROM fb)""")
 def flattened_events(spark, d):
-    fb = W.feedback(spark, d)
-    kind = F.col("rank") % 3
-    nested = fb.select(
-        "request_id", "timestamp", F.col("rank").cast("string").alias("rank"), "query", F.lit("1").alias("result_count"), "chunk_id", F.lit(None).cast("string").alias("artifact_path"), F.lit(None).cast("string").alias("artifact_type"), "subsystem",
-        F.col("vector_score").cast("string").alias("vector_score"), F.col("adjusted_score").cast("string").alias("adjusted_score"),
-        F.struct(F.col("signal_subsystem_affinity").cast("string").alias("subsystem_affinity"), F.lit("1").alias("relationship_count"), F.lit("0").alias("supporting_bonus"), F.lit("0").alias("coverage_missing")).alias("signals"),
-        F.lit("true").alias("graph_context_present"), F.col("feedback_vote").cast("string").alias("feedback_vote"), "feedback_note",
-        F.struct(F.col("request_id").alias("request_id"), F.lit("true").alias("graph_context_included"), F.when(kind == 0, '["a","b"]').when(kind == 2, "late").alias("warnings")).alias("metadata"), F.col("context_json").alias("context"),
-    )
-    flat = FB.flatten_events(nested)
+    flat = FB.flatten_events(_nested(spark, d))
     return flat.select("chunk_id", "request_id", F.round(V.to_double(F.col("signal_subsystem_affinity")), 9).alias("affinity"), F.col("metadata_warnings_count").cast("int").alias("n_warnings"))
 
 
@@ -461,9 +630,21 @@ def one_feature_model(spark, d):
     return spark.createDataFrame([(round(m.coefficients[0], 6), round(m.intercept, 6), m.training_rows)], "slope double, intercept double, training_rows long")
 
 
+@query(f"""WITH {W.FEEDBACK_SQL}, n AS (SELECT count(feedback_vote) AS n FROM fb) SELECT feature, 0.0::DOUBLE AS residual_product, n AS training_rows FROM n, (VALUES ('intercept'), {', '.join(f"('{f}')" for f in R.FEATURES)}) t(feature)""")
+def normal_equations(spark, d):
+    """A least-squares fit leaves residuals that are orthogonal to every feature."""
+    fb = W.feedback(spark, d)
+    model = R.train_model(fb)
+    pred = R.predict(fb.where("feedback_vote is not null"), model).withColumn("intercept", F.lit(1.0))
+    names = ["intercept", *model.feature_names]
+    got = pred.agg(*(F.avg((F.col("feedback_vote") - F.col("prediction")) * F.col(n)).alias(n) for n in names))
+    near = lambda n: F.round(F.col(n), 6) + F.lit(0.0)
+    return got.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), near(n).alias("residual_product")) for n in names)))).withColumn("training_rows", F.lit(model.training_rows))
+
+
 @query()
 def train_and_evaluate(spark, d):
-    _, metrics = workloads.train_and_evaluate(W.feedback(spark, d), "2024-01-01T00:00:00Z", max_requests=100_000)
+    _, metrics = workloads.train_and_evaluate(W.feedback(spark, d), "2024-01-01T00:00:00Z")
     return metrics.select("n", *(F.round(c, 6).alias(c) for c in metrics.columns if c != "n"))
 
 
@@ -544,19 +725,18 @@ def counter_rollup(spark, d):
 
 
 @query("""SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(count(*) FILTER (event_type = 'view') / greatest(count(*) FILTER (event_type IN ('view', 'click')), 1), 9) AS hit_ratio,
-round(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS failure_ratio FROM events GROUP BY 1""")
+round(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS failure_ratio, list_sort(list(value))[CAST(ceil(0.95 * count(value)) AS BIGINT)] AS p95_latency FROM events GROUP BY 1""")
 def search_health(spark, d):
     e, kind = W.table(spark, d, "events"), F.col("event_type")
     out = TM.search_health(e, "1 hour", kind == "view", kind == "click", kind == "purchase", F.col("value"))
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("hit_ratio", 9).alias("hit_ratio"), F.round("failure_ratio", 9).alias("failure_ratio"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("hit_ratio", 9).alias("hit_ratio"), F.round("failure_ratio", 9).alias("failure_ratio"), "p95_latency")
 
 
-@query(f"WITH {W.FEEDBACK_SQL} SELECT DISTINCT request_id, epoch FROM fb")
+@query(f"WITH {W.FEEDBACK_SQL} SELECT chunk_id, CASE rank % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE epoch END AS epoch FROM fb")
 def parsed_times(spark, d):
-    return W.feedback(spark, d).select("request_id", V.epoch_seconds(V.parse_ts(F.col("timestamp"))).cast("long").alias("epoch")).distinct()
-
-
-@query(f"WITH {W.FEEDBACK_SQL} SELECT request_id, chunk_id, CAST(sum(CASE WHEN rank % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY rank) AS BIGINT) AS warnings FROM fb")
-def running_warnings(spark, d):
-    w = Window.partitionBy("request_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return W.feedback(spark, d).select("request_id", "chunk_id", F.sum(F.when(F.col("rank") % 2 == 0, 1).otherwise(0)).over(w).alias("warnings"))
+    """ISO times with Z, with an offset, with a blank around, epoch seconds, nothing, and what isn't a time."""
+    fb, kind = W.feedback(spark, d), F.col("rank") % 6
+    at = F.to_timestamp("timestamp")
+    east = F.date_format(at + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
+    text = F.when(kind == 0, F.col("timestamp")).when(kind == 1, east).when(kind == 2, F.concat(F.lit(" "), "timestamp", F.lit(" "))).when(kind == 3, F.unix_seconds(at).cast("string")).when(kind == 4, "").otherwise("yesterday")
+    return fb.select("chunk_id", V.epoch_seconds(V.parse_ts(text)).cast("long").alias("epoch"))

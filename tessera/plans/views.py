@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    rows = [(o, n, n.lower(), f"Part {n}", c, [f"tag-{n.lower()}"], [], p, d) for o, n, c, p, d in CATALOG]
-    return spark.createDataFrame(rows, "ord int, name string, key_lower string, description string, criticality string, tags array<string>, labels array<string>, patterns array<string>, dependencies array<string>")
+    rows = [(o, n, n.lower(), f"Part {n}", c, f"team-{c}" if c else "", f"domain-{o % 2}", [f"tag-{n.lower()}"], [" "], p, d) for o, n, c, p, d in CATALOG]
+    return spark.createDataFrame(rows, "ord int, name string, key_lower string, description string, criticality string, owner string, domain string, tags array<string>, labels array<string>, patterns array<string>, dependencies array<string>")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +102,14 @@ nodes AS (
 """
 
 
+def chunked_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with chunks."""
+    a, c = artifacts(spark, sf_dir), catalog(spark)
+    chunks = cut_lineage(A.chunk(a.select("path", "artifact_type", "content")).select("path", "artifact_type", "chunk_id"))
+    a = cut_lineage(a.drop("content"))
+    return cut_lineage(G.build_nodes(a, c, chunks)), cut_lineage(G.build_edges(a, c, chunks))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without chunks, each built once."""
     a, c = cut_lineage(artifacts(spark, sf_dir).drop("content")), catalog(spark)
@@ -146,7 +154,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("request_id"),
         F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("conv_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         F.col("turn").alias("rank"),
-        F.substring("text", 1, 20).alias("query"),
+        F.col("text").alias("query"),
         F.concat_ws(":", "conv_id", "turn").alias("chunk_id"),
         F.col("role").alias("subsystem"),
         (n % 100 / F.lit(100.0)).alias("vector_score"),
@@ -168,7 +176,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEEDBACK_SQL = """
 votes AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 fb AS (
-  SELECT CAST(conv_id AS VARCHAR) AS request_id, turn AS rank, substr(text, 1, 20) AS query, conv_id || ':' || turn AS chunk_id, role AS subsystem,
+  SELECT CAST(conv_id AS VARCHAR) AS request_id, turn AS rank, text AS query, conv_id || ':' || turn AS chunk_id, role AS subsystem,
     1700000000 + 60 * conv_id AS epoch, length(text) % 100 / 100.0::DOUBLE AS vector_score, length(text) % 90 / 100.0::DOUBLE AS adjusted_score,
     length(text) % 3 / 2.0::DOUBLE AS signal_subsystem_affinity, (length(text) % 7)::DOUBLE AS signal_relationship_count,
     length(text) % 5 / 10.0::DOUBLE AS signal_supporting_bonus, (length(text) % 2)::DOUBLE AS signal_coverage_missing,
@@ -179,9 +187,12 @@ fb AS (
 """
 
 
-def search_batch(spark: SparkSession, sf_dir: str, n: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Queries (the first vectors, with benchmark texts) and chunks (documents that have a vector)."""
+def search_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (every vector whose id is divisible by 20, with a text of ``benchmark`` where there is one) and all vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    b = table(spark, sf_dir, "benchmark")
-    queries = e.where(F.col("vec_id") < n).join(b, F.col("vec_id") == F.col("item_id")).select(F.col("vec_id").alias("query_id"), "vector", F.col("text").alias("query"))
+    texts = table(spark, sf_dir, "benchmark").select((20 * F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
+    queries = e.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id").join(texts, "query_id", "left")
     return queries, e.withColumnRenamed("vec_id", "chunk_id")
+
+
+SEARCH_SQL = "qs AS (SELECT vec_id AS query_id, embedding, b.text AS query FROM embeddings LEFT JOIN benchmark b ON vec_id = 20 * b.item_id WHERE vec_id % 20 = 0)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Suffixes that are text whatever the bytes say.
-TEXT_SUFFIXES = (".c", ".cfg", ".cpp", ".css", ".go", ".h", ".html", ".ini", ".java", ".js", ".json", ".md", ".proto", ".py", ".rs", ".rst", ".sh", ".sql", ".toml", ".ts", ".txt", ".yaml", ".yml")
+TEXT_SUFFIXES = (".md", ".txt", ".py", ".proto", ".yml", ".yaml", ".json", ".ini", ".cfg", ".toml", ".sql")
 # Columns of a training set, in order.
 FIELDS = (
     "request_id", "timestamp", "rank", "query", "result_count", "chunk_id", "artifact_path", "artifact_type", "subsystem",
@@ -26,25 +26,35 @@ metadata struct<request_id: string, graph_context_included: string, warnings: st
 CATALOG_ENTRY = "struct<description: string, criticality: string, owner: string, domain: string, tags: array<string>, labels: array<string>, paths: array<string>, includes: array<string>, dependencies: array<string>, depends_on: array<string>, depends_on_subsystems: array<string>>"
 
 
-def textual(files: DataFrame) -> DataFrame:
-    """``files(path, bytes)`` that are text in UTF-8, as ``(path, content)`` with plain line ends."""
+#: Prefixes of the paths that are read.
+INCLUDE = ("docs", "src", "tests", ".codacy")
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def textual(files: DataFrame, *keep: str) -> DataFrame:
+    """``files(path, bytes)`` that are text in UTF-8, as ``(path, content)`` with plain line ends, and the columns ``keep``."""
     suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     plain = suffix.isin(*TEXT_SUFFIXES) | ~F.contains(F.substring("bytes", 1, 1024), F.lit(b"\x00"))
     content = F.regexp_replace(F.decode("bytes", "UTF-8"), "\r\n?", "\n")
-    return files.where(plain & F.is_valid_utf8(F.col("bytes").cast("string"))).select("path", content.alias("content"))
+    return files.where(plain & F.is_valid_utf8(F.col("bytes").cast("string"))).select("path", content.alias("content"), *keep)
 
 
-def read_artifacts(spark: SparkSession, root: str, include: tuple[str, ...] = ("docs", "src", "tests", ".codacy")) -> DataFrame:
-    """Text files of a tree whose relative path begins with one of the prefixes: (path, content)."""
+def relative(files: DataFrame, root: str, include: tuple[str, ...], modified: str | None = None) -> DataFrame:
+    """``binaryFile`` rows whose path below ``root`` begins with one of the prefixes: (path, bytes), and the time as modified."""
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     at = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     start = "/" + base.partition("://")[2].lstrip("/") if "://" in base else base
-    rows = files.select(F.substr(at, F.lit(len(start) + 1)).alias("path"), F.col("content").alias("bytes"))
+    rows = files.select(F.substr(at, F.lit(len(start) + 1)).alias("path"), F.col("content").alias("bytes"), *([F.col(modified).alias("modified")] if modified else []))
     keep = F.lit(False)
     for prefix in include:
         keep = keep | F.startswith("path", F.lit(prefix))
-    return textual(rows.where(keep))
+    return rows.where(keep)
+
+
+def read_artifacts(spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE) -> DataFrame:
+    """Text files of a tree whose relative path begins with one of the prefixes: (path, content)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root.rstrip("/") + "/")
+    return textual(relative(files, root, include))
 
 
 def read_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Name of a new folder that driver and executors share, below the one that ``spark.checkpoint.dir`` names."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        base = _LOCAL_DIRS[app]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as read from a checkpoint in the folder that ``spark.checkpoint.dir`` names.
 

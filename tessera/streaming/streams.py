@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import artifacts as A
 from ..operators.feedback import flatten_events
 from ..operators.telemetry import health_aggregates
-from ..sources.readers import parse_feedback_lines
-from ..sources.stores import replace_paths
+from ..sources.readers import BINARY_FILES, INCLUDE, parse_feedback_lines, relative, textual
+from ..sources.stores import cut_lineage
 
 
 def stream_feedback(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:
@@ -22,32 +23,60 @@ def stream_feedback(spark: SparkSession, path: str, late: str = "1 day") -> Data
     return flatten_events(once)
 
 
-def ingest_batch(store: str, window: int = 1000, overlap: int = 200) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps chunks and ledger snapshots under ``store``.
+STORED_LEDGER = "path string, digest string, chunk_count long, coverage_ratio double, epoch int"
 
-    Each batch reads the snapshot before it and writes its own, so a batch that runs again gives the
-    same tables.
+
+def stored_ledger(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """The last ledger row of each path, of all batches or of those before one."""
+    rows = spark.read.schema(STORED_LEDGER).parquet(f"{store}/ledger")
+    if before is not None:
+        rows = rows.where(F.col("epoch") < before)
+    last = rows.groupBy("path").agg(F.max(F.struct("epoch", "digest", "chunk_count", "coverage_ratio")).alias("r"))
+    return last.select("path", "r.digest", "r.chunk_count", "r.coverage_ratio", "r.epoch")
+
+
+def stored_chunks(spark: SparkSession, store: str) -> DataFrame:
+    """The chunks of each path's last ingest, one for each point id."""
+    chunks = spark.read.parquet(f"{store}/chunks")
+    return chunks.join(stored_ledger(spark, store).select("path", "epoch"), ["path", "epoch"], "left_semi").dropDuplicates(["point_id"])
+
+
+def ingest_batch(store: str, window: int = 1000, overlap: int = 200, embedder=None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds changed files' chunks, vectors and ledger rows to ``store``.
+
+    A batch writes what it changes and no more, in folders of its own, so a batch that runs again gives
+    the same tables; ``stored_chunks`` and ``stored_ledger`` read the state. A store belongs to one
+    checkpoint. ``batch`` has path, content and modified; of rows of one path the last counts.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         files = batch.groupBy("path").agg(F.max_by("content", "modified").alias("content"))
-        before = f"{store}/{epoch - 1}"
-        if epoch:
-            ledger, chunks = spark.read.parquet(f"{before}/ledger"), spark.read.parquet(f"{before}/chunks")
-        else:
-            ledger, chunks = spark.createDataFrame([], "path string, digest string, chunk_count long, coverage_ratio double"), None
-        states = A.classify(files, ledger)
-        fresh = A.chunk(states.where("state <> 'skipped'").select("path", "content"), window, overlap)
-        touched = states.where("state <> 'skipped'").select("path")
-        kept = fresh if chunks is None else replace_paths(chunks.join(touched, "path", "left_anti"), fresh)
-        kept.write.mode("overwrite").parquet(f"{store}/{epoch}/chunks")
-        done = A.merge_ledger(states, A.chunk_counts(fresh), float(epoch)).select("path", "digest", "chunk_count", "coverage_ratio")
-        ledger.select(*done.columns).join(done.select("path"), "path", "left_anti").unionByName(done).write.mode("overwrite").parquet(f"{store}/{epoch}/ledger")
+        ledger = stored_ledger(spark, store, epoch) if epoch else spark.createDataFrame([], STORED_LEDGER)
+        # Two jobs read what changed, so it is written once for both.
+        states = cut_lineage(A.classify(files, ledger.drop("epoch")).where("state <> 'skipped'"))
+        fresh = A.embed(A.chunk(states.select("path", "content"), window, overlap), embedder)
+        fresh.write.mode("overwrite").parquet(f"{store}/chunks/epoch={epoch}")
+        counts = A.chunk_counts(spark.read.schema(fresh.schema).parquet(f"{store}/chunks/epoch={epoch}"))
+        done = A.merge_ledger(states, counts, float(epoch)).select("path", "digest", "chunk_count", "coverage_ratio")
+        done.write.mode("overwrite").parquet(f"{store}/ledger/epoch={epoch}")
 
     return run
 
 
+def stream_ingest(spark: SparkSession, root: str, store: str, checkpoint: str, include: tuple[str, ...] = INCLUDE, window: int = 1000, overlap: int = 200, embedder=None, trigger: dict | None = None) -> StreamingQuery:
+    """Watch a tree of files and keep ``store`` up to date with new and changed ones; the running query.
+
+    ``trigger`` is that of ``DataStreamWriter.trigger``; by default the query ends when all files are read.
+    Spark tells files by path and time, so a changed file is read again; an unchanged text is skipped by
+    its digest. Removed files need a batch run: a stream doesn't see them.
+    """
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("recursiveFileLookup", "true").load(root)
+    texts = textual(relative(files, root, include, "modificationTime"), "modified").select("path", "content", "modified")
+    writer = texts.writeStream.foreachBatch(ingest_batch(store, window, overlap, embedder)).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def stream_search_health(events: DataFrame, hit, miss, failed, latency, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Sliding search health; rows later than ``late`` are left out."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))

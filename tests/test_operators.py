@@ -223,3 +223,23 @@ def test_read_tree_and_catalog(spark, tmp_path):
     (tmp_path / "cat.json").write_text(json.dumps({"Core": {"criticality": "high", "paths": ["gateway/"], "depends_on": ["Obs"]}, "Obs": {}}))
     cat = readers.read_catalog(spark, [str(tmp_path / "bad.json"), str(tmp_path / "cat.json")]).collect()
     assert [(r.ord, r.name, r.criticality, r.patterns, r.dependencies) for r in cat] == [(0, "Core", "high", ["gateway/"], ["Obs"]), (1, "Obs", None, [], [])]
+
+
+def test_shell_patterns(spark):
+    cases = {"docs/[ab]*.md": ("docs/a1.md", "docs/c1.md"), "docs/[!ab]?.md": ("docs/c1.md", "docs/a1.md"), "x[*]y": ("x*y", "xzy"), "a[b": ("a[b", "ab"), "p.d+": ("p.d+", "pxdd"), "*/end": ("a/b/end", "a/end/b"), "line*": ("line\nmore", "a line")}
+    df = spark.createDataFrame([(p, t) for p, ts in cases.items() for t in ts], "p string, t string")
+    got = {(r.p, r.t): r.hit for r in df.withColumn("glob", A.glob_regex(F.col("p"))).withColumn("hit", F.expr("t rlike glob")).collect()}
+    assert got == {(p, t): t == ts[0] for p, ts in cases.items() for t in ts}
+
+
+def test_page_offsets(spark):
+    df = spark.range(10).select(F.col("id").alias("k"))
+    info = lambda at, n: G.page(df, [F.col("k")], at, n)[1].first()
+    assert [tuple(info(*x)) for x in ((0, 4), (4, 4), (8, 4), (6, 4), (20, 4))] == [(10, 4), (10, 8), (10, None), (10, 10), (10, None)]
+
+
+def test_lexical_score_reads_the_whole_text(spark):
+    df = spark.createDataFrame([("needle", "x " * 5000 + "needle"), ("needle", "x " * 5000), (None, "a"), ("a", None)], "q string, t string")
+    from tessera.functions.scoring import lexical_score
+
+    assert [r.s for r in df.select(lexical_score(F.col("q"), F.col("t")).alias("s")).collect()] == [1.0, 0.0, 0.0, 0.0]

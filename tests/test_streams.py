@@ -53,10 +53,30 @@ def test_feedback_replay_counts_once(spark, tmp_path):
 
 
 def test_ingest_batches(spark, tmp_path):
-    step = streams.ingest_batch(str(tmp_path / "store"))
+    store = str(tmp_path / "store")
+    step = streams.ingest_batch(store)
     schema = "path string, content string, modified long"
     step(spark.createDataFrame([("a", "x" * 1500, 1), ("b", "short", 1)], schema), 0)
-    step(spark.createDataFrame([("a", "x" * 100, 2), ("b", "short", 1)], schema), 1)
-    assert spark.read.parquet(str(tmp_path / "store/0/chunks")).count() == 3
-    assert sorted(r.chunk_id for r in spark.read.parquet(str(tmp_path / "store/1/chunks")).collect()) == ["a::0", "b::0"]
-    assert spark.read.parquet(str(tmp_path / "store/1/ledger")).count() == 2
+    assert sorted(r.chunk_id for r in streams.stored_chunks(spark, store).collect()) == ["a::0", "a::1", "b::0"]
+    second = spark.createDataFrame([("a", "x" * 100, 2), ("b", "short", 1), ("c", " ", 1)], schema)
+    for _ in range(2):  # a batch that runs again changes nothing
+        step(second, 1)
+        got = streams.stored_chunks(spark, store).collect()
+        assert sorted((r.chunk_id, r.epoch, len(r.vector)) for r in got) == [("a::0", 1, 8), ("b::0", 0, 8)]
+        assert sorted((r.path, r.chunk_count, r.epoch) for r in streams.stored_ledger(spark, store).collect()) == [("a", 1, 1), ("b", 1, 0), ("c", 0, 1)]
+
+
+def test_stream_ingest_follows_a_tree(spark, tmp_path):
+    root, store = tmp_path / "tree", str(tmp_path / "store")
+    (root / "docs").mkdir(parents=True)
+    (root / "docs/a.md").write_text("one\r\ntwo")
+    (root / "docs/b.bin").write_bytes(b"x\x00y")
+    (root / "other.md").write_text("not asked for")
+    watch = lambda: streams.stream_ingest(spark, str(root), store, str(tmp_path / "cp")).awaitTermination(120)
+    watch()
+    assert [(r.path, r.text) for r in streams.stored_chunks(spark, store).collect()] == [("docs/a.md", "one\ntwo")]
+    (root / "docs/c.md").write_text("three")
+    watch()
+    got = streams.stored_chunks(spark, store).collect()
+    assert sorted((r.path, r.epoch) for r in got) == [("docs/a.md", 0), ("docs/c.md", 1)]
+    assert len({r.point_id for r in got}) == 2
