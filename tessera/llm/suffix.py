@@ -1,14 +1,19 @@
 """Removal of repeated byte strings by merging shard Burrows-Wheeler transforms.
 
-A byte goes when a ``length``-byte string that covers it also starts earlier. The decision is exact:
+A byte goes when a ``length``-byte string that covers it also starts earlier.
 
 1. *Anchors.* The leftmost smallest ``gram``-byte hash in a window of ``length`` bytes is its anchor;
    equal windows have equal anchors. A run is the stretch of windows that share an anchor. Windows
    whose anchor occurs once can't repeat and are left out.
-2. *Whole runs.* Of runs with one anchor and equal bytes, all but the first repeat as a whole. Copies
+2. *Hot anchors.* A passage in many documents has, at its edges, a different run in each of them. Runs
+   of such anchors are cut into pairs of neighbouring windows, dealt by the bytes that both windows
+   have. Only two bytes of a pair are outside these, so a group has at most 65,536 different runs,
+   however many documents there are.
+3. *Whole runs.* Of runs with one anchor and equal bytes, all but the first repeat as a whole. Copies
    within a map task collapse before the shuffle, so a passage in a third of all documents costs one
-   record a task.
-3. *Merge.* The first occurrences of the different runs of an anchor meet in one task. Shards of them
+   record a task. Runs count as equal on 128 bits of two independent hashes: of 10^13 runs, two
+   different ones agree with a probability of about 10^-13.
+4. *Merge.* The first occurrences of the different runs of an anchor meet in one task. Shards of them
    get suffix arrays and Burrows-Wheeler transforms; the transforms are merged by refining their
    interleaving, two bytes a round, until it is in order to ``length`` bytes. Its blocks are the
    repeated intervals; in each, all but the earliest start repeat.
@@ -19,7 +24,7 @@ Records travel as column blobs, so Spark moves bytes by target and Python works
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +34,18 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LENGTH, GRAM = 100, 40
-#: Bytes of text hashed at once, runs collapsed at once, bytes of a shard's text.
-BATCH_BYTES, FLUSH_RUNS, SHARD_BYTES = 1 << 18, 1_500_000, 1 << 18
+#: Bytes of text hashed at once, bytes after which a text is cut, runs collapsed at once, bytes of a shard's text, bytes of text a target has.
+BATCH_BYTES, PIECE_BYTES, FLUSH_RUNS, SHARD_BYTES, TARGET_BYTES = 1 << 18, 4 << 20, 1_500_000, 1 << 18, 4 << 20
+#: Different runs from which an anchor is hot, as told from one document in ``SAMPLE``; most anchors that are taken for hot (8 MB).
+#: The sample decides how runs are dealt, never what is removed.
+HOT_RUNS, SAMPLE, MOST_HOT = 4096, 64, 1_000_000
 _U = np.uint64
 _LAST = 2**63 - 1
 _BASE = 0x5851F42D4C957F2D
 #: A byte that no UTF-8 text holds.
 _GAP = 255
 
-RUN = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("lo", "<i4"), ("extra", "u1"), ("before", "u1")])
+RUN = np.dtype([("anchor", "<u8"), ("run", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("lo", "<i4"), ("extra", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("lo", "<i4"), ("extra", "<i4")])
 FLAG, HEAD = 0, 1
 
@@ -60,26 +68,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Hasher:
     """Anchors and runs of documents, by hashes of any substring from prefix sums."""
 
-    def __init__(self, length: int, gram: int):
+    def __init__(self, length: int, gram: int, hot: np.ndarray | None = None):
         self.length, self.gram = length, gram
-        self.values = np.random.default_rng(3).integers(1, 2**63, 256, dtype=_U) * _U(2) + _U(1)
+        self.hot = np.sort(hot) if hot is not None else np.empty(0, _U)
+        self.values = np.random.default_rng(3).integers(1, 2**63, (2, 256), dtype=_U) * _U(2) + _U(1)
         self.up = self.down = np.empty(0, _U)
 
-    def runs(self, docs: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(document number, anchor, run hash, first start, further starts, anchor's offset) of each run."""
+    def runs(self, docs: list[bytes]) -> np.ndarray:
+        """Records of the documents' runs; ``doc`` is the number in the list, ``tie`` is 0."""
         length, gram = self.length, self.gram
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         buf = np.frombuffer(b"".join(docs), np.uint8)
         n = len(buf)
         if n < length:
-            return tuple(np.empty(0, t) for t in (np.int64, _U, _U, np.int64, np.int64, np.int64))
+            return np.empty(0, RUN)
         if len(self.up) <= n:
             self.up, self.down = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1)
-        sums = np.empty(n + 1, _U)
-        sums[0] = 0
-        np.cumsum(self.values[buf] * self.up[:n], out=sums[1:])
-        h = (sums[gram:] - sums[:-gram]) * self.down[: n - gram + 1]
-        h = _mix(h)
+        sums = np.zeros((2, n + 1), _U)
+        for values, out in zip(self.values, sums, strict=True):
+            np.cumsum(values[buf] * self.up[:n], out=out[1:])
+        h = _mix((sums[0, gram:] - sums[0, :-gram]) * self.down[: n - gram + 1])
         # The low bits hold the position, so the smallest key is the leftmost smallest hash.
         low = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
         wide, step = length - gram + 1, 1
@@ -90,17 +98,40 @@ class Hasher:
             low = np.minimum(low[: len(low) - wide + step], low[wide - step :])
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(docs)), sizes)[: len(low)]
-        inside = np.arange(len(low)) + length <= ends[doc]
-        at = np.flatnonzero(inside)
+        at = np.flatnonzero(np.arange(len(low)) + length <= ends[doc])
         if not len(at):
-            return tuple(np.empty(0, t) for t in (np.int64, _U, _U, np.int64, np.int64, np.int64))
+            return np.empty(0, RUN)
         place, doc = (low[at] & _U(0xFFFFFFFF)).astype(np.int64), doc[at]
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
         last = np.concatenate([first[1:], [len(at)]]) - 1
         lo, hi, place, doc = at[first], at[last], place[first], doc[first]
-        run = (sums[hi + length] - sums[lo]) * self.down[lo]
-        run = _mix(run + (place - lo).astype(_U) * _U(0x9E3779B97F4A7C15) + (hi - lo).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-        return doc, h[place], run, lo - (ends - sizes)[doc], hi - lo, place - lo
+        anchor = h[place]
+        if len(self.hot):
+            hot = self.hot[np.minimum(np.searchsorted(self.hot, anchor), len(self.hot) - 1)] == anchor
+            if hot.any():
+                parts = self._pairs(lo[hot], hi[hot], place[hot], doc[hot], anchor[hot], sums[0])
+                lo, hi, place, doc, anchor = (np.concatenate([a[~hot], b]) for a, b in zip((lo, hi, place, doc, anchor), parts, strict=True))
+        out = np.zeros(len(lo), RUN)
+        shape = (place - lo).astype(_U) * _U(0x9E3779B97F4A7C15) + (hi - lo).astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+        for name, one in zip(("run", "check"), sums, strict=True):
+            out[name] = _mix((one[hi + length] - one[lo]) * self.down[lo] + shape)
+        out["doc"], out["anchor"], out["lo"], out["extra"] = doc, anchor, lo - (ends - sizes)[doc], hi - lo
+        return out
+
+    def _pairs(self, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, doc: np.ndarray, anchor: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs cut into pairs of windows, with the bytes that both windows have as their anchor.
+
+        Pairs are counted from the anchor backwards, so equal windows are in pairs of one number.
+        """
+        from_, to = (place - hi) // 2, (place - lo) // 2
+        n = to - from_ + 1
+        of = np.repeat(np.arange(len(n)), n)
+        pair = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + from_[of]
+        place, doc, anchor = place[of], doc[of], anchor[of]
+        core = place - 2 * pair
+        shared = (sums[core + self.length - 1] - sums[core]) * self.down[core]
+        key = _mix(_mix(shared) + anchor * _U(0x9E3779B97F4A7C15) + pair.astype(_U))
+        return np.maximum(core - 1, lo[of]), np.minimum(core, hi[of]), place, doc, key
 
 
 def _packed(records: np.ndarray) -> bytes:
@@ -158,51 +189,79 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "target", "blob"])
 
 
-def _first_of(records: np.ndarray) -> np.ndarray:
+def _first_of(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by anchor and run, then place; a mark at the first of each run."""
-    order = np.lexsort((records["lo"], records["tie"], records["doc"], records["run"], records["anchor"]))
+    order = np.lexsort((records["lo"], records["tie"], records["doc"], records["check"], records["run"], records["anchor"]))
     got = records[order]
     new = np.ones(len(got), bool)
-    new[1:] = (got["anchor"][1:] != got["anchor"][:-1]) | (got["run"][1:] != got["run"][:-1])
+    new[1:] = (got["anchor"][1:] != got["anchor"][:-1]) | (got["run"][1:] != got["run"][:-1]) | (got["check"][1:] != got["check"][:-1])
     return got, new
 
 
-def _anchored(length: int, gram: int, targets: int):
+def _sampled(length: int, gram: int):
+    """Distinct (anchor, run) of a task's documents, and their bytes in rows without anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, size = Hasher(length, gram), 0
+        for batch in batches:
+            for _, texts in _pieces([x.as_py() for x in batch.column(0)], length):
+                got = hasher.runs(texts)
+                _, one = np.unique(_mix(got["anchor"] + got["run"] * _U(0x9E3779B97F4A7C15)), return_index=True)
+                size += sum(map(len, texts))
+                yield pa.RecordBatch.from_arrays([pa.array(got[c][one].view(np.int64)) for c in ("anchor", "run")], ["anchor", "run"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([size], pa.int64())], ["anchor", "run"])
+
+    return run
+
+
+def _pieces(texts: Iterable[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Lists of texts of about ``BATCH_BYTES``, with each one's (number, offset): longer ones in pieces that share no window."""
+    where, out, size = [], [], 0
+    for i, raw in enumerate(texts):
+        for lo in range(0, len(raw) - length + 1, PIECE_BYTES):
+            out.append(raw if len(raw) <= PIECE_BYTES else raw[lo : lo + PIECE_BYTES + length - 1])
+            where.append((i, lo))
+            size += len(out[-1])
+            if size >= BATCH_BYTES:
+                yield where, out
+                where, out, size = [], [], 0
+    if out:
+        yield where, out
+
+
+def surveyed(scratch: Scratch, texts: DataFrame, length: int, gram: int, hot_runs: int, sample: int) -> tuple[np.ndarray, int]:
+    """Hot anchors and the corpus' bytes, from one document in ``sample``, chosen by a hash of its id."""
+    some = texts.where(F.pmod(F.xxhash64("doc", "tie"), F.lit(sample)) == 0).select("text")
+    pairs = scratch.save(some.mapInArrow(_sampled(length, gram), "anchor long, run long"), "sampled")
+    n, size = pairs.agg(F.count("anchor"), F.sum(F.when(F.col("anchor").isNull(), F.col("run")))).first()
+    least = max(2, hot_runs // sample, -(-n // MOST_HOT))
+    # At most MOST_HOT anchors have so many of the pairs.
+    hot = pairs.where("anchor is not null").distinct().groupBy("anchor").count().where(F.col("count") >= least).select("anchor").toArrow()
+    return hot.column("anchor").to_numpy().view(_U), (size or 0) * sample
+
+
+def _anchored(length: int, gram: int, targets: int, hot: np.ndarray):
     """Runs of a task's documents: one of equal ones goes on as a head, the others are flagged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(length, gram)
+        hasher = Hasher(length, gram, hot)
         held: list[np.ndarray] = []
         n_held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 got, new = _first_of(np.concatenate(held))
-                yield _batch([*_dealt(got[new], got["anchor"][new], targets, HEAD), *_dealt_by_doc(_spans(got[~new]), targets, FLAG)])
-
-        def hashed(ids: list[int], ties: list[int], texts: list[bytes]) -> np.ndarray:
-            doc, anchor, run, lo, extra, before = hasher.runs(texts)
-            out = np.empty(len(doc), RUN)
-            out["doc"], out["tie"] = np.array(ids, np.int64)[doc], np.array(ties, np.int64)[doc]
-            out["anchor"], out["run"], out["lo"], out["extra"], out["before"] = anchor, run, lo, extra, before
-            return out
+                yield _batch([*_dealt(got[new], got["anchor"][new], targets, HEAD), *_dealt_by_doc(_joined(_spans(got[~new])), targets, FLAG)])
 
         for batch in batches:
-            ids, ties, texts, size = [], [], [], 0
-            for i, t, x in zip(*batch.columns, strict=True):
-                raw = x.as_py()
-                if len(raw) >= length:
-                    ids.append(i.as_py())
-                    ties.append(t.as_py())
-                    texts.append(raw)
-                    size += len(raw)
-                if size >= BATCH_BYTES:
-                    held.append(hashed(ids, ties, texts))
-                    n_held += len(held[-1])
-                    ids, ties, texts, size = [], [], [], 0
-            if texts:
-                held.append(hashed(ids, ties, texts))
-                n_held += len(held[-1])
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for where, texts in _pieces((x.as_py() for x in batch.column(2)), length):
+                got = hasher.runs(texts)
+                number, offset = np.array(where).T[:, got["doc"]]
+                got["doc"], got["tie"] = ids[number], ties[number]
+                got["lo"] += offset
+                held.append(got)
+                n_held += len(got)
             if n_held >= FLUSH_RUNS:
                 yield from flush()
                 held, n_held = [], 0
@@ -221,7 +280,7 @@ def _met(targets: int):
         records = _unpacked([b for k, b in zip(kinds, blobs, strict=True) if k == HEAD], RUN)
         if len(records):
             got, new = _first_of(records)
-            rows += _dealt_by_doc(_spans(got[~new]), targets, FLAG)
+            rows += _dealt_by_doc(_joined(_spans(got[~new])), targets, FLAG)
             got = got[new]
             fresh = np.concatenate([[True], got["anchor"][1:] != got["anchor"][:-1]])
             group_of = np.cumsum(fresh) - 1
@@ -361,15 +420,16 @@ def _repeats(length: int, targets: int):
 
 
 def _joined(spans: np.ndarray) -> np.ndarray:
-    """Spans of consecutive starts as one."""
+    """Spans whose starts follow on each other as one; no start is in two spans."""
     if not len(spans):
         return spans
     spans = spans[np.lexsort((spans["lo"], spans["tie"], spans["doc"]))]
     new = np.ones(len(spans), bool)
-    new[1:] = (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tie"][1:] != spans["tie"][:-1]) | (spans["lo"][1:] > spans["lo"][:-1] + 1)
+    new[1:] = (spans["doc"][1:] != spans["doc"][:-1]) | (spans["tie"][1:] != spans["tie"][:-1]) | (spans["lo"][1:] > spans["lo"][:-1] + spans["extra"][:-1] + 1)
     first = np.flatnonzero(new)
     out = spans[first].copy()
-    out["extra"] = spans["lo"][np.concatenate([first[1:], [len(spans)]]) - 1] - out["lo"]
+    last = np.concatenate([first[1:], [len(spans)]]) - 1
+    out["extra"] = spans["lo"][last] + spans["extra"][last] - out["lo"]
     return out
 
 
@@ -406,29 +466,32 @@ def _removed(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, targets: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, targets: int | None = None, hot_runs: int = HOT_RUNS, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept.
 
     Every byte goes that is covered by a ``length``-byte string which also starts earlier: in a
     document with a smaller id, or in the same one at a smaller offset. Strings are judged on the
     input and never cross documents; ``kept`` has the remaining bytes. Null texts count as empty;
-    shorter ones have no strings. Rows that repeat an id are ordered by a hash of the text, and
-    repeated rows get one and the same result; rows with a null id come after all others. Further
-    columns are ignored; an empty table gives an empty result.
-
-    ``targets`` is the number of groups that runs and documents are dealt to, four times the
-    session's shuffle partitions by default; a group is held in memory by one task at a time.
+    shorter ones have no strings, texts of any length are read whole. Rows that repeat an id are
+    ordered by a hash of the text, and repeated rows get one and the same result; rows with a null id
+    come after all others. Further columns are ignored; an empty table gives an empty result.
+
+    ``targets`` is the number of groups that runs and documents are dealt to, one for about
+    ``TARGET_BYTES`` of text by default; a group is held in memory by one task at a time. Anchors with
+    about ``hot_runs`` different runs, as told from one document in ``sample``, are dealt by more of
+    their bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    targets = targets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     unique = docs.select(ids.alias("doc")).groupBy("doc").count().where("count > 1").limit(1).count() == 0
     tie = F.lit(0).cast("long") if unique else F.xxhash64(raw)
     texts = docs.select(ids.alias("doc"), tie.alias("tie"), raw.alias("text"))
 
-    runs = texts.mapInArrow(_anchored(length, gram, targets), BLOBS)
+    hot, size = surveyed(scratch, texts, length, gram, hot_runs, sample)
+    targets = targets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TARGET_BYTES))
+    runs = texts.mapInArrow(_anchored(length, gram, targets, hot), BLOBS)
     met = scratch.save(runs.groupBy("target").applyInArrow(_met(targets), BLOBS), "met")
     placed = texts.mapInArrow(_placed(targets), "target int, doc long, tie long, text binary")
     heads = met.where(F.col("kind") == HEAD).select("target", "blob")
