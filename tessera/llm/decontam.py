@@ -96,8 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     hundredths; ``similarity`` and ``first_word`` (offset in words) are those of the best window, the
     first among equals. Words are runs of letters and digits in lower case. Null, empty or
     punctuation-only texts and items match nothing; a document shorter than an item is compared as a
-    whole, and windows that the document's end cuts short count too. Repeated rows give one result per id; rows with a null id are reported under a null id.
+    whole, and windows that the document's end cuts short count too. Texts of any length are read
+    whole. Repeated rows give one result per id; rows with a null id are reported under a null id.
     Further columns are ignored; an empty table on either side gives an empty result.
+
+    Beyond ``BROADCAST_ROWS`` item shingles the joins with the benchmark are shuffle joins, of the same
+    rows: places and fingerprints, never texts.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     items = scratch.save(_items(benchmark, item_col, item_text_col, k), "items")
@@ -126,29 +130,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     met = met.select("doc_id", "size", "k", "starts", words(F.col("text")).alias("w")).select("doc_id", "size", "k", "starts", shingles(F.col("w"), F.col("k")).alias("hashes"))
     windows = met.select("doc_id", "size", "k", "hashes", F.explode("starts").alias("start"))
     windows = windows.select("doc_id", "size", "start", F.slice("hashes", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
-    # Written tables keep the joins below from evaluating fingerprints again for each condition.
-    windows = scratch.save(windows.distinct(), "windows")
+    # Few bytes make much work here, so the number of tasks is stated; the written table keeps the joins
+    # below from evaluating fingerprints again for each condition.
+    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "size", "start").distinct()
     windows = windows.select("doc_id", "size", "start", numbered(F.col("hashes")).alias("shingles"), simhash(F.col("hashes")).alias("print"))
     windows = scratch.save(windows, "prints")
     windows = windows.select("doc_id", "size", "start", "shingles", "print", F.inline(blocks(F.col("print"), radius)))
 
-    prints = items.select("item_id", "size", numbered(F.col("item_shingles")).alias("item_bag"), simhash(F.col("item_shingles")).alias("item_print"))
-    prints = scratch.save(prints, "item-prints")
-    prints = prints.select("item_id", "size", "item_bag", "item_print", F.inline(blocks(F.col("item_print"), radius)))
+    bags = items.select(F.monotonically_increasing_id().alias("item_row"), "item_id", "size", numbered(F.col("item_shingles")).alias("item_bag"), simhash(F.col("item_shingles")).alias("item_print"))
+    bags = scratch.save(bags, "item-prints")
+    # An item's shingles wait until the fingerprints have met.
+    prints = bags.select("item_row", "size", "item_print", F.inline(blocks(F.col("item_print"), radius)))
     near = windows.join(hint(prints), ["size", "block", "bits"])
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
     near = near.where(F.bit_count(apart) <= radius)
     # A pair is met once for each block it agrees on; the first such block stands for them.
     agree = blocks(apart, radius)
     near = near.where(F.col("block") == F.element_at(F.filter(agree, lambda x: x["bits"] == 0), 1)["block"])
+    near = near.select("doc_id", "start", "shingles", "item_row").join(hint(bags.select("item_row", "item_id", "item_bag")), "item_row")
     found = near.select("doc_id", "item_id", "start", similarity(F.col("shingles"), F.col("item_bag")).alias("similarity"))
     found = found.where(F.col("similarity") * 100 >= percent - 1e-9)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows")).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("first_word"), "n_windows")
+    return found.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count_distinct("start").alias("n_windows")).select("doc_id", "item_id", "best.similarity", (-F.col("best.start")).alias("first_word"), "n_windows")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found, with all their columns."""
+    """The rows of ``docs`` in which no benchmark item was found, with all their columns.
+
+    Null and empty texts stay; rows that share an id stay or go together. An empty benchmark keeps all.
+    """
     bad = contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("_bad_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_row_id"))
     return rows.join(bad, F.col("_row_id").eqNullSafe(F.col("_bad_id")), "left_anti").select("_row.*")
