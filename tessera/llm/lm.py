@@ -25,8 +25,10 @@ from .packing import words_of
 #: Documents and tokens after which a block ends; weights of bigram, unigram and uniform parts.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
 MIX = (0.5, 0.45, 0.05)
-#: Trusted ids up to which they are broadcast (32 MB); more are met by a shuffle join.
-BROADCAST_IDS = 4_000_000
+#: Trusted ids up to which they are broadcast (about 120 MB); more are met by a shuffle join.
+BROADCAST_IDS = 1_000_000
+#: Tokens whose losses are computed at once.
+STEP_TOKENS = 1 << 17
 
 
 _BLOCK = "block long, doc_ids array<long>, lens array<int>, trusted array<boolean>, ids binary"
@@ -181,11 +183,17 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
         doc_ids, lens = left.column("doc_ids").combine_chunks().flatten(), left.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
         good = left.column("trusted").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
         tokens, before = _opened(lens, left.column("ids")[0].as_py(), vocabulary)
-        means = np.zeros((2, len(lens)))
-        if len(tokens):
-            some = lens > 0
-            losses = model.of(lens, tokens, before, found[:, np.searchsorted(keys, before * vocabulary + tokens)], good)
-            means[:, some] = np.add.reduceat(losses, (np.cumsum(lens) - lens)[some], axis=1) / lens[some]
+        means, ends = np.zeros((2, len(lens))), np.cumsum(lens)
+        a = 0
+        while a < len(lens):
+            # Whole documents of some tokens at a time.
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_TOKENS, "right")))
+            own, some = slice(ends[a] - lens[a], ends[b - 1]), lens[a:b] > 0
+            if some.any():
+                bigram = found[:, np.searchsorted(keys, before[own] * vocabulary + tokens[own])]
+                losses = model.of(lens[a:b], tokens[own], before[own], bigram, good[a:b])
+                means[:, a:b][:, some] = np.add.reduceat(losses, (ends[a:b] - lens[a:b])[some] - own.start, axis=1) / lens[a:b][some]
+            a = b
         return pa.table([doc_ids, pa.array(lens), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return blocks.select("block", "doc_ids", "lens", "trusted", "ids").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
