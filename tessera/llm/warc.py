@@ -29,7 +29,7 @@ from .common import Scratch
 #: Bytes of payload from which equal payloads are written once; captures a block of the index holds.
 LEAST_REVISIT, BLOCK_LINES = 1000, 2000
 #: Bytes of a WARC file after which a task begins the next one; bytes of records that a task reads back.
-FILE_BYTES, READ_BYTES = 1 << 30, 4 << 20
+FILE_BYTES, READ_BYTES = 1 << 30, 16 << 20
 _NO_ID = -(2**63)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _HOST = re.compile(r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:\d*)?([^#]*)")
