@@ -207,7 +207,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id:
     ``ids`` (with ``with_ids``) holds the piece's token ids as little-endian 32-bit integers. A document is the ids of
     its text and ``end_id``; null and empty texts are that token alone. The order is by curve key,
     then id, then place in the input, so repeated rows are packed once each. Rows with a null id are
-    packed like others. Further columns are ignored; an empty table gives no pieces.
+    packed like others, a text of any length is cut into as many pieces as it needs. Further columns
+    are ignored; an empty table gives no pieces.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -175,8 +175,10 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 if score >= 0.5).
 
-    Labels are learned from outside the held-out fold only. Repeated rows are scored each; with no
-    usable positive or no documents every score is 0.5. Further columns are ignored.
+    Labels are learned from outside the held-out fold only. Null and empty texts are scored as empty
+    ones, texts of any length whole, repeated rows each; a null id belongs to the held-out fold. With no
+    usable positive or no documents every score is 0.5. Ids that are labelled both ways are no
+    positives. Further columns are ignored; an empty table gives an empty result.
     """
     model = train(docs, labels, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, **sizes)
     out = scored(docs, model, id_col, text_col)
@@ -184,7 +186,11 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """The rows of ``docs`` that score at least ``least``, with all their columns."""
+    """The rows of ``docs`` that score at least ``least``, with all their columns.
+
+    Null and empty texts are scored as empty ones; repeated rows stay or go together. Without a usable
+    positive every score is 0.5. An empty table gives an empty result.
+    """
     model = train(docs, labels, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, **sizes)
 
     @F.pandas_udf("double")

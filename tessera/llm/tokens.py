@@ -126,8 +126,10 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """One row per row of ``docs``: doc_id, n_words, n_tokens.
 
     Words are the runs of anything but ASCII white space, pieces the greedy longest ones of the
-    vocabulary, in UTF-8 bytes. Null, empty and blank texts count 0 and 0. Repeated rows are counted
-    each; further columns are ignored. The automaton is as large as the vocabulary, whatever the
+    vocabulary, in UTF-8 bytes; no two pieces tie, since of those that fit the longest is taken. Null,
+    empty and blank texts count 0 and 0, texts of any length are counted whole, in time in proportion
+    to it. Repeated rows and rows with a null id are counted each; further columns are ignored; an
+    empty table gives an empty result. The automaton is as large as the vocabulary, whatever the
     corpus is, and is built once, on the driver.
     """
     spark = docs.sparkSession

@@ -129,8 +129,11 @@ def test_near(spark, k):
     assert kept.columns == docs.columns
 
 
-def test_near_blocks_compare_all(spark, monkeypatch):
+@pytest.mark.parametrize("split", [4096, 2])
+def test_near_blocks_compare_all(spark, monkeypatch, split):
     monkeypatch.setattr(near, "BLOCK", 3)
+    monkeypatch.setattr(near, "SPLIT", split)
+    monkeypatch.setattr(near, "BROADCAST_IDS", split)
     rows = [(i, " ".join(f"w{(i // 4) * 7 + j}" for j in range(30))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     _, part = jaccard_components(rows, 2, 80)
@@ -236,6 +239,38 @@ def test_suffix(spark):
     assert suffix.without_repeats(documents(spark)).count() == documents(spark).count()
 
 
+@pytest.mark.parametrize("hot_runs", [1, 10**9])
+def test_suffix_of_a_passage_in_many_documents(spark, hot_runs, monkeypatch):
+    passage, again = prose(8, 60), prose(9, 25)
+    texts = [prose(100 + i, 8) + passage[i % 3 :] + " " + prose(200 + i, 8) + (again + prose(300 + i, 5) if i % 4 == 0 else "") for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats(list(enumerate(texts)))
+    for r in suffix.without_repeats(docs, targets=7, hot_runs=hot_runs, sample=1).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
+
+
+def test_hot_anchors_have_bounded_groups():
+    texts = [(prose(100 + i, 8) + prose(8, 60) + prose(200 + i, 8)).encode() for i in range(300)]
+    plain = suffix.Hasher(100, 40).runs(texts)
+    most = lambda got: np.unique(np.unique(got[["anchor", "run"]])["anchor"], return_counts=True)[1].max()
+    anchors, n = np.unique(np.unique(plain[["anchor", "run"]])["anchor"], return_counts=True)
+    cut = suffix.Hasher(100, 40, anchors[n > 100]).runs(texts)
+    # All windows are there, each once; the runs at the passage's edges no longer meet in one group.
+    starts = lambda got: sorted((r["doc"], r["lo"] + i) for r in got for i in range(int(r["extra"]) + 1))
+    assert starts(cut) == starts(plain)
+    assert most(plain) > 250 and most(cut) < 100
+
+
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffix, "PIECE_BYTES", 150)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", 400)
+    texts = [prose(1, 100).encode(), b"x" * 99, prose(2, 30).encode(), b"", b"y" * 100]
+    got = [(i, lo, t) for where, out in suffix._pieces(texts, 100) for (i, lo), t in zip(where, out, strict=True)]
+    windows = [(i, lo + k) for i, lo, t in got for k in range(len(t) - 99)]
+    assert sorted(windows) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 99)]
+    assert all(texts[i][lo : lo + len(t)] == t for i, lo, t in got)
+
+
 def test_merged_transforms_order_all_suffixes():
     rng = np.random.default_rng(4)
     shards = [rng.integers(97, 100, n).astype(np.uint8) for n in (300, 41, 500)]
@@ -369,6 +404,7 @@ def test_warc(spark):
 
 def test_lm_by_the_counts_of_all_other_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(lm, "STEP_TOKENS", 150)
     path, vocabulary = public_tokenizers.path("word_bpe_49k.json"), 49_408
     docs, good, words = documents(spark), (1, 13), packing.words_of(path)
     rows = [(r.doc_id, [-1, *map(int, words.ids(r.text))]) for r in docs.collect()]
