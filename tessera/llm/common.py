@@ -34,7 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; every one survives a lost executor."""
+    """Parquet tables in the shared folder that cut lineage; every one survives a lost executor.
+
+    Results are lazy and read these tables, so an operator deletes only those that nothing reads any
+    more. Who owns the folder empties it when no result is in use.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark

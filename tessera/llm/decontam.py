@@ -125,8 +125,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percen
     hits = spots.join(hint(anchors), ["k", "shingle"]).groupBy("doc_id", "text_key", "n", "size", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     opened = hits.select("doc_id", "text_key", "size", "k", starts(F.col("at"), F.col("size") - F.col("k") + 1, F.col("n") - F.col("k") + 1, percent).alias("starts"))
     opened = scratch.save(opened.where(F.size("starts") > 0), "starts").withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
-    # One and the same join at every size; the texts of all documents are shuffled once, without their words.
-    met = plain.join(opened.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    # Starts are a table of known size: Spark broadcasts it where it is small, else the texts are shuffled once, without their words.
+    met = plain.join(opened, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     met = met.select("doc_id", "size", "k", "starts", words(F.col("text")).alias("w")).select("doc_id", "size", "k", "starts", shingles(F.col("w"), F.col("k")).alias("hashes"))
     windows = met.select("doc_id", "size", "k", "hashes", F.explode("starts").alias("start"))
     windows = windows.select("doc_id", "size", "start", F.slice("hashes", F.col("start") + 1, F.col("size") - F.col("k") + 1).alias("hashes"))
