@@ -27,16 +27,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as read from a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+    """``df`` as read from a new Parquet table in the shared folder: computed once, and columns can still be pruned.
 
-    Only a local session without that setting gets a folder of its own.
+    The table outlives the executors. Nothing here deletes it, since later plans read it lazily; who
+    owns the folder empties it when no result is in use.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert_chunks(current: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
