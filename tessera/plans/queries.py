@@ -314,7 +314,7 @@ def edges_after_removal(spark, d):
 # ---- search
 
 
-@query(f"""WITH {W.SEARCH_SQL}, s AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS v FROM qs q, embeddings e)
+@query(f"""WITH {W.SEARCH_SQL}, s AS (SELECT q.query_id, e.vec_id AS chunk_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS v FROM qs q, vecs e)
 SELECT query_id, chunk_id, round(v, 6) AS vector_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, chunk_id) AS INTEGER) AS vec_rank FROM s QUALIFY vec_rank <= 10""")
 def vector_topk(spark, d):
     queries, chunks_ = W.search_batch(spark, d)
@@ -340,7 +340,7 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HITS_SQL = f"""{W.EDGES_SQL}, {W.SEARCH_SQL},
-sim AS (SELECT qs.query_id, qs.query, e.vec_id AS chunk_id, list_cosine_similarity(qs.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS vector_score FROM qs, embeddings e),
+sim AS (SELECT qs.query_id, qs.query, e.vec_id AS chunk_id, list_cosine_similarity(qs.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS vector_score FROM qs, vecs e),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) AS vec_rank FROM sim QUALIFY vec_rank <= 10),
 hit AS (SELECT top.*, art.path, art.label, art.artifact_type, art.subsystem, art.subsystem_criticality, art.git_timestamp, art.source, art.content AS text,
   CASE WHEN art.path LIKE 'src/%' THEN 'app' ELSE split_part(art.path, '/', 1) END AS namespace,
