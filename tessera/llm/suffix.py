@@ -191,7 +191,12 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _first_of(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by anchor and run, then place; a mark at the first of each run."""
-    order = np.lexsort((records["lo"], records["tie"], records["doc"], records["check"], records["run"], records["anchor"]))
+    doc, tie, lo = (records[c] for c in ("doc", "tie", "lo"))
+    later = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & ((tie[1:] > tie[:-1]) | (tie[1:] == tie[:-1]) & (lo[1:] > lo[:-1]))
+    if not later.all():
+        records = records[np.lexsort((lo, tie, doc))]
+    # Runs stay in the order of their places, since the sort is stable.
+    order = np.lexsort((_mix(records["run"] + records["check"] * _U(0xC2B2AE3D27D4EB4F)), records["anchor"]))
     got = records[order]
     new = np.ones(len(got), bool)
     new[1:] = (got["anchor"][1:] != got["anchor"][:-1]) | (got["run"][1:] != got["run"][:-1]) | (got["check"][1:] != got["check"][:-1])
