@@ -93,6 +93,61 @@ FROM t LEFT JOIN g USING (h)
 """
 
 
+# Every window of an item's size in which any of its shingles stands, without fingerprints.
+_OP1_SQL = r"""
+WITH i AS (
+  SELECT item_id, row_number() OVER () AS item, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark
+), it AS (
+  SELECT item_id, item, ws, least(len(ws), 5) AS k, len(ws) - least(len(ws), 5) + 1 AS m FROM i WHERE len(ws) > 0
+), ish AS (
+  SELECT item, k, m, shingle, count(*) AS n FROM (
+    SELECT item, k, m, unnest(list_transform(range(1, m + 1), lambda x: array_to_string(ws[x : x + k - 1], ' '))) AS shingle FROM it) GROUP BY ALL
+), d AS (
+  SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+), dsh AS (
+  SELECT doc, k, len(ws) - k + 1 AS n, unnest(range(0, len(ws) - k + 1)) AS pos, unnest(list_transform(range(1, len(ws) - k + 2), lambda x: array_to_string(ws[x : x + k - 1], ' '))) AS shingle
+  FROM d, (SELECT DISTINCT k FROM it) WHERE len(ws) >= k
+), hits AS (
+  SELECT doc, dsh.n AS n_doc, item, m, pos, shingle, ish.n AS n_item FROM dsh JOIN ish USING (k, shingle)
+), starts AS (
+  SELECT DISTINCT doc, n_doc, item, m, unnest(range(greatest(pos - m + 1, 0), pos + 1)) AS start FROM hits
+), common AS (
+  SELECT doc, item, start, m, n_doc, shingle, least(count(*), any_value(n_item)) AS shared
+  FROM starts JOIN hits USING (doc, item, m, n_doc) WHERE pos BETWEEN start AND start + m - 1 GROUP BY ALL
+), found AS (
+  SELECT doc, item, start, sum(shared) / (m + least(m, n_doc - start) - sum(shared)) AS similarity FROM common GROUP BY doc, item, start, m, n_doc
+)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(start, (similarity, -start)) AS INTEGER) AS first_word, count(DISTINCT start) AS n_windows
+FROM found JOIN d USING (doc) JOIN it USING (item) WHERE similarity * 100 >= 80 - 1e-9 GROUP BY doc_id, item_id
+"""
+
+
+# The example pages have their main text in one article element, without boilerplate in it.
+_OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages
+), b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '<(/?p|br|/?h1)>', ' ', 'g'), '<[^>]+>', '', 'g') AS x FROM a
+), t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
+# All pairs that share a shingle and whose sizes allow the similarity; then all pairs within a component.
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT ways.b, r.low FROM r JOIN ways ON ways.a = r.node
+), c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON node = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query in fair time; the others are tested against brute force."""
-    return {"op5_exact_dedup": _OP5_SQL, "op7_warc": _OP7_SQL}
+    return {"op1_decontamination": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op7_warc": _OP7_SQL, "op9_near_dedup": _OP9_SQL}
