@@ -69,16 +69,17 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; a component is its smallest node.
 
     Alternating large-star and small-star contraction; each round is a written table, and the loop
-    ends when a round leaves the edge set unchanged. A hub's rows are two integers each
+    ends when every component is a star around its smallest node. A hub's rows are two integers each
     and stream through its join, so its degree needs no memory.
     """
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def stars(df: DataFrame) -> bool:
+        """Whether no larger end has two smaller ones or is one itself; smaller ends are then the components."""
+        ends = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(df.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(now)
-    while True:
+    while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = scratch.save(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
@@ -86,8 +87,5 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         nxt = scratch.save(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         scratch.drop(large, now)
-        now, before, seen = nxt, seen, mark(nxt)
-        if seen == before:
-            break
-    parts = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return parts.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        now = nxt
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
