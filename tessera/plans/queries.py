@@ -286,7 +286,7 @@ def graph_page(spark, d):
     return G.page(nodes, [F.col("name"), F.col("path"), F.col("id")], 50, 25)[0].select("id", "label")
 
 
-@query(f"WITH {W.EDGES_SQL}, t AS (SELECT count(*) AS total FROM nodes) SELECT asked, total, CASE WHEN total - asked >= 25 THEN asked + 25 END AS next_offset FROM t, (VALUES (50), (1000000000)) a(asked)")
+@query(f"WITH {W.EDGES_SQL}, t AS (SELECT count(*) AS total FROM nodes) SELECT asked, total, CAST(CASE WHEN total - asked >= 25 THEN asked + 25 END AS BIGINT) AS next_offset FROM t, (VALUES (50), (1000000000)) a(asked)")
 def graph_page_info(spark, d):
     nodes, _ = W.graph(spark, d)
     info = [G.page(nodes, [F.col("id")], at, 25)[1].withColumn("asked", F.lit(at)) for at in (50, 1_000_000_000)]
@@ -639,7 +639,7 @@ def normal_equations(spark, d):
     names = ["intercept", *model.feature_names]
     got = pred.agg(*(F.avg((F.col("feedback_vote") - F.col("prediction")) * F.col(n)).alias(n) for n in names))
     near = lambda n: F.round(F.col(n), 6) + F.lit(0.0)
-    return got.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), near(n).alias("residual_product")) for n in names)))).withColumn("training_rows", F.lit(model.training_rows))
+    return got.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), near(n).alias("residual_product")) for n in names)))).withColumn("training_rows", F.lit(model.training_rows).cast("long"))
 
 
 @query()

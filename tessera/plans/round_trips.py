@@ -96,7 +96,7 @@ def dataset_jsonl(spark, d):
     return _read_back(spark, d, ".jsonl")
 
 
-@query(f"WITH {W.LEDGER_SQL} SELECT path, digest, chunk_count, coverage_ratio, CASE WHEN starts_with(path, 'docs/') THEN 'docs' ELSE 'other' END AS part FROM ledger")
+@query(f"WITH {W.LEDGER_SQL} SELECT path, digest, chunk_count, coverage_ratio::DOUBLE AS coverage_ratio, CASE WHEN starts_with(path, 'docs/') THEN 'docs' ELSE 'other' END AS part FROM ledger")
 def ledger_snapshot(spark, d):
     path = ST.new_folder(spark, "ledger")
     part = F.when(F.startswith("path", F.lit("docs/")), "docs").otherwise("other")

@@ -12,7 +12,7 @@ from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import reports as RP
 from ..operators import search as S
-from ..sources.stores import RankingModel, replace_paths
+from ..sources.stores import RankingModel, cut_lineage, replace_paths
 
 
 def ingest(artifacts: DataFrame, catalog: DataFrame, ledger: DataFrame, chunks: DataFrame | None, run_ts: float, window: int = 1000, overlap: int = 200, embedder=None) -> dict[str, DataFrame]:
@@ -21,8 +21,10 @@ def ingest(artifacts: DataFrame, catalog: DataFrame, ledger: DataFrame, chunks:
     Returns states, chunks (the store after the run), fresh (this run's chunks), nodes, edges, removed
     and the next ledger.
     """
-    states = A.classify(artifacts, ledger)
-    fresh = A.embed(A.chunk(states.where("state <> 'skipped'").drop("chunk_count", "coverage_ratio", "state", "digest"), window, overlap), embedder)
+    # Digests meet the ledger without the texts, once for all that follows; then only changed texts are read on.
+    states = cut_lineage(A.classify(artifacts, ledger).drop("content"))
+    changed = artifacts.join(states.where("state <> 'skipped'").select("path"), "path", "left_semi")
+    fresh = A.embed(A.chunk(changed, window, overlap), embedder)
     removed = A.removed_artifacts(ledger, artifacts)
     store = fresh
     if chunks is not None:
