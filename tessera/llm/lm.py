@@ -6,7 +6,8 @@ document's score is the mean over its tokens of background loss minus target los
 is more like the target. Every document is scored by the counts of all others: its own are taken off
 both models first, so a text can't speak for itself. Bigrams are counted exactly: each block of
 documents names its distinct ones, a shuffle sums them over the corpus, and a second one brings the
-sums back to the blocks that asked. The model grows with the corpus and no process ever holds it.
+sums back to the blocks that asked, but for bigrams that one block alone has. The model grows with the
+corpus and no process ever holds it.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from .common import Scratch
 from .packing import words_of
 
 #: Documents and tokens after which a block ends; weights of bigram, unigram and uniform parts.
-BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 20
+BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 19
 MIX = (0.5, 0.45, 0.05)
 #: Trusted ids up to which they are broadcast (about 120 MB); more are met by a shuffle join.
 BROADCAST_IDS = 1_000_000
-#: Tokens whose losses are computed at once.
-STEP_TOKENS = 1 << 17
+#: Tokens whose losses are computed at once; rows that a task hands over at once.
+STEP_TOKENS, STEP_ROWS = 1 << 17, 1 << 16
 
 
 _BLOCK = "block long, doc_ids array<long>, lens array<int>, trusted array<boolean>, ids binary"
@@ -83,6 +84,12 @@ def _own(doc: np.ndarray, values: np.ndarray, n_values: int) -> np.ndarray:
     return out
 
 
+def _bigrams(tokens: np.ndarray, before: np.ndarray, lens: np.ndarray, trusted: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its distinct bigrams' keys, their numbers in all and in trusted documents, and each token's place among them."""
+    keys, at, n = np.unique(before * vocabulary + tokens, return_inverse=True, return_counts=True)
+    return keys, np.stack([n, np.bincount(at[np.repeat(trusted, lens)], minlength=len(keys))]), at
+
+
 def _asked(vocabulary: int):
     """Distinct bigrams of each block, with their numbers in all and in trusted documents."""
 
@@ -90,10 +97,10 @@ def _asked(vocabulary: int):
         for batch in batches:
             for block, lens, trusted, raw in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py(), np.int64)
-                ids, before = _opened(lens, raw.as_py(), vocabulary)
-                keys, at, n = np.unique(before * vocabulary + ids, return_inverse=True, return_counts=True)
-                good = np.bincount(at[np.repeat(np.array(trusted.as_py(), bool), lens)], minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.int64())], ["block", "key", "n", "good"])
+                keys, n, _ = _bigrams(*_opened(lens, raw.as_py(), vocabulary), lens, np.array(trusted.as_py(), bool), vocabulary)
+                for lo in range(0, len(keys), STEP_ROWS):
+                    own = slice(lo, lo + STEP_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[own]), block.as_py(), np.int64)), pa.array(keys[own]), pa.array(n[0, own]), pa.array(n[1, own])], ["block", "key", "n", "good"])
 
     return run
 
@@ -173,16 +180,20 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
         counts[:, batch.column("slot").to_numpy()] = batch.column("n").to_numpy(), batch.column("good").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
     asked = plain_blocks.mapInArrow(_asked(vocabulary), "block long, key long, n long, good long")
-    # A bigram has at most one row a block here, so a frequent one is no hot key.
+    # A bigram has at most one row a block here, so a frequent one is no hot key. A block knows what it alone has.
     every = Window.partitionBy("key")
-    known = asked.select("block", "key", F.sum("n").over(every).alias("n"), F.sum("good").over(every).alias("good"))
+    known = asked.select("block", "key", F.sum("n").over(every).alias("n"), F.sum("good").over(every).alias("good"), F.count("*").over(every).alias("blocks"))
+    known = known.where("blocks > 1").drop("blocks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, order = Losses(shared.value, vocabulary), np.argsort(right.column("key").to_numpy())
-        keys, found = right.column("key").to_numpy()[order], np.stack([right.column(c).to_numpy()[order] for c in ("n", "good")])
+        model = Losses(shared.value, vocabulary)
         doc_ids, lens = left.column("doc_ids").combine_chunks().flatten(), left.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
         good = left.column("trusted").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
         tokens, before = _opened(lens, left.column("ids")[0].as_py(), vocabulary)
+        keys, found, at = _bigrams(tokens, before, lens, good, vocabulary)
+        place = np.searchsorted(keys, right.column("key").to_numpy())
+        for kind, name in enumerate(("n", "good")):
+            found[kind, place] = right.column(name).to_numpy()
         means, ends = np.zeros((2, len(lens))), np.cumsum(lens)
         a = 0
         while a < len(lens):
@@ -190,8 +201,7 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_TOKENS, "right")))
             own, some = slice(ends[a] - lens[a], ends[b - 1]), lens[a:b] > 0
             if some.any():
-                bigram = found[:, np.searchsorted(keys, before[own] * vocabulary + tokens[own])]
-                losses = model.of(lens[a:b], tokens[own], before[own], bigram, good[a:b])
+                losses = model.of(lens[a:b], tokens[own], before[own], found[:, at[own]], good[a:b])
                 means[:, a:b][:, some] = np.add.reduceat(losses, (ends[a:b] - lens[a:b])[some] - own.start, axis=1) / lens[a:b][some]
             a = b
         return pa.table([doc_ids, pa.array(lens), pa.array(means[1]), pa.array(means[0]), pa.array(means[0] - means[1])], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])

@@ -25,7 +25,7 @@ SEQUENCE = 4096
 END_ID = 2
 DIMS, BITS, BUCKETS = 4, 10, 256
 #: Parts of texts, and words of other scripts, whose ids a worker remembers at once.
-_PARTS_KEPT, _WORDS_KEPT = 500_000, 100_000
+_PARTS_KEPT, _WORDS_KEPT = 300_000, 60_000
 _MEMOS: dict[str, Words] = {}
 
 
