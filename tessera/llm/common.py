@@ -57,6 +57,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """Like ``save``, in as many buckets as there are shuffle partitions: a join by ``by`` needs no shuffle of it."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(n, by).format("parquet").option("path", self.path(name)).saveAsTable(table)
+        out = self.spark.table(table)
+        # The plan holds what it needs; the files stay, since they lie outside the warehouse.
+        self.spark.sql(f"DROP TABLE {table}")
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete the files of saved frames that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

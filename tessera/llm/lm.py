@@ -171,7 +171,8 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
     # Few ids go to the texts; only where they are too many, the texts are shuffled to meet them.
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     marked = plain.join(ids, "_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    blocks = scratch.save(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks")
+    # In buckets, so that the sums come to the blocks and the blocks stay.
+    blocks = scratch.save_bucketed(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks", "block")
     plain_blocks = blocks.select("block", "lens", "trusted", "ids")
     # At most 2 * vocabulary + 1 rows, whatever the corpus is.
     summed = plain_blocks.mapInArrow(_counter(vocabulary), "slot long, n long, good long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
