@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact, html, lm, near, packing, quality, suffix, tokens, warc
+from . import align, decontam, exact, html, lm, near, packing, quality, suffix, tokens, warc
 from .common import table
 
 
@@ -65,10 +65,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of byte-level and sentencepiece tokens."""
+    paths = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.align(table(spark, sf_dir, "documents"), *paths, with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_exact_dedup, op6_token_counts,
-        op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing,
+        op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing, op11_tokenizer_alignment,
     )
     return {f.__name__: f for f in found}
 
