@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontam, exact, html, lm, near, packing, quality, suffix, tokens, warc
+from . import align, decontam, exact, html, lm, near, packing, piecewise, quality, suffix, tokens, trie, warc
 from .common import table
 
 
@@ -71,10 +71,21 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), *paths, with_groups=False)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations, with what sharing it saves."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_pos")
+
+
+def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    return piecewise.near_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontamination, op2_quality_classifier, op3_suffix_dedup, op4_html_extraction, op5_exact_dedup, op6_token_counts,
-        op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing, op11_tokenizer_alignment,
+        op7_warc, op8_lm_scoring, op9_near_dedup, op10_packing, op11_tokenizer_alignment, op12_prefix_trie,
+        op13_piecewise_fingerprints,
     )
     return {f.__name__: f for f in found}
 
@@ -154,6 +165,33 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = com
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text of at most 20 ASCII signs, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, ascii(x)::BIGINT), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {step.replace('ascii(x)::BIGINT', 'b')}), 4294967295)"
+
+
+# Rebuilt conversations as lists of turns, each prefix a list.
+_OP12_SQL = f"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own, CAST({_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1 : c.h], c.own[c.h + 1 :]) AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), p AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r
+), m AS (SELECT conv_id, depth, n = depth AS ends, turns[1 : depth] AS prefix, CASE WHEN depth > 0 THEN turns[1 : depth - 1] END AS above FROM p
+), g AS (
+  SELECT depth, prefix, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+    CASE WHEN depth > 0 THEN strlen(prefix[depth].t) ELSE 0 END AS n_bytes FROM m GROUP BY depth, prefix
+), k AS (SELECT above AS prefix, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY above
+), f AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (prefix)
+), up AS (SELECT f.prefix[1 : d] AS prefix, CAST(n_children = 0 AS INTEGER) AS leaf, (n_convs - 1) * n_bytes AS saved FROM f, unnest(range(0, depth + 1)) t(d)
+), s AS (SELECT prefix, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY prefix)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s USING (prefix) LEFT JOIN f q ON q.prefix = f.above
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query in fair time; the others are tested against brute force."""
-    return {"op1_decontamination": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op7_warc": _OP7_SQL, "op9_near_dedup": _OP9_SQL}
+    return {"op1_decontamination": _OP1_SQL, "op4_html_extraction": _OP4_SQL, "op5_exact_dedup": _OP5_SQL, "op7_warc": _OP7_SQL, "op9_near_dedup": _OP9_SQL, "op12_prefix_trie": _OP12_SQL}
