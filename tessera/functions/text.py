@@ -105,6 +105,25 @@ def estimate_chunks(text: Column, window: int = DEFAULT_WINDOW, overlap: int = D
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / step_of(window, overlap)).cast("int")
 
 
+def windows(text: Column, window: int, step: int) -> Column:
+    """Parts of ``window`` characters (code points) that begin at every ``step``-th one, the last ones shorter.
+
+    One walk cuts the text into steps; a window is its step and the beginning of those that follow, so the
+    time is in proportion to the text.
+    """
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    more = window - step
+    if more <= 0:
+        return F.transform(steps, lambda s: F.left(s, F.lit(window)))
+
+    def joined(parts: Column) -> Column:
+        following = lambda i: F.array_join(F.slice(parts, i + 2, F.lit(-(-more // step))), "")
+        return F.transform(parts, lambda s, i: F.concat(s, F.left(following(i), F.lit(more))))
+
+    # The lambda binds the steps once, where a plain expression would cut the text for each window.
+    return F.get(F.transform(F.array(steps), joined), F.lit(0))
+
+
 def point_id(digest: Column) -> Column:
     """The first 32 hex digits as a UUID."""
     return F.regexp_replace(F.substring(digest, 1, 32), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from .lookup import first_pattern
 
 
 def source_prefixes(paths: DataFrame) -> list[str]:
@@ -46,14 +48,13 @@ def glob_regex(pattern: Column) -> Column:
 def attach_catalog(artifacts: DataFrame, catalog: DataFrame) -> DataFrame:
     """Each artifact with its catalog entry: by subsystem name, else the first entry whose pattern fits its path.
 
-    The catalog names subsystems, a few dozen rows; Spark broadcasts it by its size.
+    Patterns meet paths on their literal beginnings or ends, so a catalog may have many.
     """
     named = artifacts.join(catalog.withColumnsRenamed({c: f"c_{c}" for c in catalog.columns}), F.lower("subsystem") == F.col("c_key_lower"), "left")
     rest = named.where("c_ord is null").select(*artifacts.columns)
     patterns = catalog.select("ord", F.explode("patterns").alias("p")).select("ord", F.trim("p").alias("p")).where("p <> ''")
-    patterns = patterns.select("ord", F.rtrim(F.col("p"), F.lit("*/")).alias("base"), glob_regex(F.col("p")).alias("glob"))
-    fits = ((F.col("base") != "") & F.startswith("path", "base")) | F.expr("path rlike glob")
-    hit = rest.select("path").distinct().join(patterns, fits).groupBy("path").agg(F.min("ord").alias("hit_ord"))
+    patterns = patterns.select("ord", "p", F.rtrim(F.col("p"), F.lit("*/")).alias("base"), glob_regex(F.col("p")).alias("glob"))
+    hit = first_pattern(rest, patterns)
     by_path = rest.join(hit, "path", "left").join(catalog.withColumnsRenamed({c: f"c_{c}" for c in catalog.columns}), F.col("hit_ord") == F.col("c_ord"), "left").drop("hit_ord")
     both = named.where("c_ord is not null").unionByName(by_path.select(*named.columns))
     out = both.withColumn("subsystem", F.coalesce("c_name", "subsystem")).withColumnRenamed("c_criticality", "subsystem_criticality")
@@ -71,10 +72,8 @@ def chunk(artifacts: DataFrame, window: int = T.DEFAULT_WINDOW, overlap: int = T
     """One row per chunk: the artifact's columns but its content, with sequence, text, chunk_id, content_digest, namespace."""
     step = T.step_of(window, overlap)
     rest = [c for c in artifacts.columns if c != "content"]
-    starts = F.sequence(F.lit(0), F.length("content") - 1, F.lit(step))
-    # The outer text is cut where it stands: only chunks leave the task.
-    rows = artifacts.where(~T.is_blank(F.col("content"))).select(*rest, "content", F.posexplode(starts).alias("sequence", "start"))
-    rows = rows.select(*rest, "sequence", F.substr("content", F.col("start") + 1, F.lit(window)).alias("text"))
+    # Only chunks leave the task, not the outer text.
+    rows = artifacts.where(~T.is_blank(F.col("content"))).select(*rest, F.posexplode(T.windows(F.col("content"), window, step)).alias("sequence", "text"))
     return rows.withColumns(
         {
             "chunk_id": F.concat_ws("::", "path", "sequence"),
@@ -94,11 +93,9 @@ def model_embedder(factory):
     """An embedder from ``factory() -> encode(list of texts) -> list of vectors``, built once a worker."""
 
     @F.pandas_udf("array<float>")
-    def encode(batches):
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for texts in batches:
-            import pandas as pd
-
             yield pd.Series(list(model(texts.tolist())))
 
     return encode

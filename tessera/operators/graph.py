@@ -5,11 +5,12 @@ Nodes have the columns of ``NODE`` with ``id = label:key``; edges are distinct `
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_label, normalise_name
 from ..sources.stores import cut_lineage
+from .lookup import best, containing
 
 NODE = ("id", "label", "key", "name", "path", "subsystem", "criticality", "description", "git_timestamp", "owner", "domain", "tags", "labels")
 _KINDS = {"git_timestamp": "long", "tags": "array<string>", "labels": "array<string>"}
@@ -149,6 +150,48 @@ def subsystem_neighbourhood(names: DataFrame, edges: DataFrame, depth: int = 2)
     return seen.where("hops > 0")
 
 
+#: Parts over which the neighbours of a node are dealt.
+SLOTS = 64
+
+
+def subsystem_graph(names: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies within ``depth`` hops of each subsystem, over any edge: nodes, edges and paths.
+
+    Nodes: name, id, hops, relationship and direction of the path's first edge, and total, the number of nodes of
+    the name. Edges: those on the chosen paths, each once: name, source, target, type, direction (``OUT`` if the
+    edge leads from source to target). Paths: name, id, step from 1, source, target, type, direction. Of the edges
+    that lead to a node with the fewest hops, the one from the smallest id is chosen, then by type and direction.
+    Names without edges have no rows; repeated ones count once.
+
+    A node enters the frontier of a name once and keeps its chosen edge alone; no path is carried along. A hub's
+    edges are dealt over slots, so they are joined in many tasks.
+    """
+    ways = cut_lineage(both_ways(edges).withColumn("slot", F.pmod(F.xxhash64("other"), F.lit(SLOTS))))
+    slots = cut_lineage(ways.select("id", "slot").distinct())
+    none = F.lit(None).cast("string")
+    start = names.select("name", F.concat(F.lit("Subsystem:"), "name").alias("id")).distinct()
+    seen = start.select("name", "id", F.lit(0).alias("hops"), none.alias("source"), none.alias("type"), none.alias("way"), none.alias("relationship"), none.alias("direction"))
+    front = seen
+    for hop in range(1, depth + 1):
+        step = front.select("name", "id", "relationship", "direction").join(slots, "id").join(ways.withColumnRenamed("direction", "way"), ["id", "slot"])
+        chosen = F.struct(F.col("id").alias("source"), "type", "way", F.coalesce("relationship", "type").alias("relationship"), F.coalesce("direction", "way").alias("direction"))
+        best = step.groupBy("name", F.col("other").alias("id")).agg(F.min(chosen).alias("b"))
+        fresh = best.join(seen.select("name", "id"), ["name", "id"], "left_anti")
+        front = cut_lineage(fresh.select("name", "id", F.lit(hop).alias("hops"), "b.*"))
+        seen = seen.unionByName(front)
+    found = seen.where("hops > 0")
+    totals = found.groupBy("name").agg(F.count("*").alias("total"))
+    nodes = found.select("name", "id", "hops", "relationship", "direction").join(totals, "name")
+    chain = found.select("name", F.col("id").alias("target"), F.col("hops").alias("step"), "source", "type", F.col("way").alias("direction"))
+    # Paths are read backwards: each edge of a path is the chosen one of the node that it leads to.
+    at, paths = found.select("name", "id", F.col("id").alias("target")), None
+    for _ in range(depth):
+        edge = at.join(chain, ["name", "target"]).select("name", "id", "step", "source", "target", "type", "direction")
+        paths = edge if paths is None else paths.unionByName(edge)
+        at = edge.select("name", "id", F.col("source").alias("target"))
+    return nodes, chain.select("name", "source", "target", "type", "direction"), paths
+
+
 def path_depth(nodes: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """Hops from each node to its nearest subsystem over owning and chunk edges; null beyond ``max_depth``."""
     ways = both_ways(edges.where(F.col("type").isin(*OWNING, "HAS_CHUNK"))).select("id", "other").distinct()
@@ -171,11 +214,40 @@ def page(df: DataFrame, keys: list[Column], offset: int, limit: int) -> tuple[Da
 def entity_search(terms: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
     """Subsystems by name, documents and sources by path that hold a term, the best of each term.
 
-    Terms are a batch of queries, small beside the nodes; Spark picks the join by their size.
+    Terms meet nodes through an index of the names' and paths' letters.
     """
-    rows = terms.select("term", F.lower("term").alias("t")).distinct()
     text = F.when(F.col("label") == "Subsystem", F.col("name")).when(F.col("label").isin("DesignDoc", "SourceFile"), F.col("path"))
     score = F.when(F.col("label") == "Subsystem", 0.95).when(F.col("label") == "DesignDoc", 0.85).otherwise(0.80)
-    found = nodes.select("id", "label", text.alias("text"), score.alias("score"), F.coalesce("description", text).alias("snippet")).where("text is not null").join(rows, F.expr("contains(lower(text), t)"))
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "id"))
-    return found.withColumn("place", place).where(F.col("place") <= limit).select("term", "id", "label", "score", "snippet", "place")
+    named = nodes.select("id", "label", text.alias("text"), score.alias("score"), F.coalesce("description", text).alias("snippet"))
+    return best(containing(terms, named), limit).select("term", "id", "label", "score", "snippet", "place")
+
+
+#: Rows of a range of the page directory.
+PAGE_ROWS = 100_000
+
+
+def write_pages(df: DataFrame, keys: list[Column], path: str, rows: int = PAGE_ROWS) -> None:
+    """A snapshot in the order of ``page``, in ranges of about ``rows`` rows, and how many rows each range has."""
+    order = [F.coalesce(*keys), *keys]
+    n = max(1, -(-df.count() // rows))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+    ordered.withColumn("place", F.monotonically_increasing_id()).write.partitionBy("range").parquet(f"{path}/rows")
+    spark = df.sparkSession
+    spark.read.parquet(f"{path}/rows").groupBy("range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/ranges")
+
+
+def read_page(spark: SparkSession, path: str, offset: int, limit: int) -> tuple[DataFrame, int, int | None]:
+    """A page of a written snapshot, the total, and the next offset (None after a page that isn't full).
+
+    Only the ranges that the page lies in are read; one row per range comes to the driver.
+    """
+    before, wanted, skip = 0, [], 0
+    for r in sorted(spark.read.parquet(f"{path}/ranges").collect(), key=lambda r: r["range"]):
+        if before + r["n"] > offset and before < offset + limit:
+            skip = skip if wanted else offset - before
+            wanted.append(r["range"])
+        before += r["n"]
+    # Only the folders of these ranges are listed; after the last row there is none.
+    found = spark.read.option("basePath", f"{path}/rows").parquet(*(f"{path}/rows/range={r}" for r in wanted or [0]))
+    rows = found.orderBy("range", "place").offset(max(0, skip)).limit(limit if wanted else 0).drop("range", "place")
+    return rows, before, offset + limit if before - offset >= limit else None

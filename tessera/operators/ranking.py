@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,24 +30,58 @@ def feature_rows(rows: DataFrame, names=FEATURES, keep: tuple[str, ...] = ()) ->
     return rows.select(*keep, *(feature(n).alias(n) for n in names), to_double(F.col("feedback_vote")).alias("vote")).where("vote is not null")
 
 
+#: Triangular factors that one task, and at last the driver, merges at once.
+FAN = 32
+
+
+def _triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One triangular factor of a task's rows, as many rows as columns at most; blocks are taken in one by one."""
+    r, n = None, 0
+    for batch in batches:
+        x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns])
+        if len(x):
+            r, n = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r"), n + len(x)
+    if r is not None:
+        yield pa.RecordBatch.from_pydict({"n": [n], "r": [r.tobytes()]})
+
+
+def triangular_factor(x: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of rows of numeric columns, and R of their QR factorisation.
+
+    Tasks factor their rows, and factors are merged in a tree of tasks until ``FAN`` are left; R has the singular
+    values of all rows, where their products would have the squares.
+    """
+    d = len(x.columns)
+    rows = cut_lineage(x.select(*(F.col(c).cast("double") for c in x.columns)).mapInArrow(_triangle, "n long, r binary").withColumn("leaf", F.monotonically_increasing_id()))
+
+    def merged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.vstack([np.frombuffer(b).reshape(-1, d) for b in pdf["r"]]), mode="r")
+        return pd.DataFrame({"n": [int(pdf["n"].sum())], "r": [r.tobytes()], "leaf": [int(key[0])]})
+
+    while (leaves := rows.count()) > FAN:
+        groups = -(-leaves // FAN)
+        rows = cut_lineage(rows.withColumn("leaf", F.pmod(F.xxhash64("leaf"), F.lit(groups))).groupBy("leaf").applyInPandas(merged, "n long, r binary, leaf long"))
+    left = rows.orderBy("leaf").collect()
+    if not left:
+        return 0, np.zeros((0, d))
+    return sum(r["n"] for r in left), np.linalg.qr(np.vstack([np.frombuffer(r["r"]).reshape(-1, d) for r in left]), mode="r")
+
+
 def train_model(rows: DataFrame, names=FEATURES, created_at: str = "") -> RankingModel:
-    """Least squares with intercept, of minimum norm, from one pass of product sums."""
-    x = feature_rows(rows, names)
-    cols = [*(F.col(n) for n in names), F.lit(1.0), F.col("vote")]
-    d = len(cols)
-    sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]
-    got = x.agg(F.count("*").alias("n"), F.avg("vote").alias("m"), *sums).first()
-    if not got["n"]:
+    """Least squares with intercept, of minimum norm, from a triangular factor of the design and the votes."""
+    d = len(names)
+    # The intercept comes first, so what is left of the votes below it is their spread.
+    x = feature_rows(rows, names).select(F.lit(1.0).alias("one"), *(F.col(n).alias(f"x{i}") for i, n in enumerate(names)), "vote")
+    n, r = triangular_factor(x)
+    if not n:
         raise ValueError("no rows with a vote")
-    gram = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            gram[i, j] = gram[j, i] = got[f"s{i}_{j}"]
-    beta = np.linalg.pinv(gram[:-1, :-1], rcond=1e-12, hermitian=True) @ gram[:-1, -1]
-    rss = max(0.0, gram[-1, -1] - 2 * beta @ gram[:-1, -1] + beta @ gram[:-1, :-1] @ beta)
-    tss = max(0.0, gram[-1, -1] - got["n"] * got["m"] ** 2)
-    r2 = 1 - rss / tss if tss > 0 else float(rss == 0)
-    return RankingModel(created_at=created_at, feature_names=list(names), coefficients=[float(b) for b in beta[:-1]], intercept=float(beta[-1]), metrics={"mse": float(rss / got["n"]), "r2": float(r2)}, training_rows=int(got["n"]))
+    design, votes = r[:, : d + 1], r[:, d + 1]
+    beta = np.linalg.lstsq(design, votes, rcond=np.finfo(float).eps * max(n, d + 1))[0]
+    rss = float(np.sum((votes - design @ beta) ** 2))
+    tss = float(np.sum(votes[1:] ** 2))
+    scale = float(np.sum(votes**2)) * np.finfo(float).eps ** 2 * n
+    r2 = 1 - rss / tss if tss > scale else float(rss <= scale)
+    return RankingModel(created_at=created_at, feature_names=list(names), coefficients=[float(b) for b in beta[1:]], intercept=float(beta[0]), metrics={"mse": rss / n, "r2": float(r2)}, training_rows=int(n))
 
 
 def predict(rows: DataFrame, model: RankingModel) -> DataFrame:
@@ -69,9 +107,15 @@ def mean_ndcg(pred: DataFrame, k: int, target: str = "vote", request: str = "req
     name = F.coalesce(F.col(request), F.lit("None"))
     w = Window.partitionBy("_r")
     ties = [F.col(t) for t in tie if t in pred.columns]
-    rows = pred.withColumn("_r", name).withColumn("_p", F.row_number().over(w.orderBy(F.desc("prediction"), *ties))).withColumn("_i", F.row_number().over(w.orderBy(F.desc(target))))
-    gain = lambda at: F.when(F.col(at) <= k, (F.pow(F.lit(2.0), F.col(target)) - 1) / F.log2(F.col(at) + 1)).otherwise(0.0)
-    per = rows.groupBy("_r").agg(F.sum(gain("_p")).alias("dcg"), F.sum(gain("_i")).alias("ideal")).where("ideal <> 0")
+    rows = pred.withColumn("_r", name)
+    gain = (F.pow(F.lit(2.0), F.col(target)) - 1) / F.log2(F.col("_at") + 1)
+
+    def summed(order: list[Column], out: str) -> DataFrame:
+        # Only the first k rows of a request leave a task, however many it has: the filter is applied before the shuffle.
+        first = rows.withColumn("_at", F.row_number().over(w.orderBy(*order))).where(F.col("_at") <= k)
+        return first.groupBy("_r").agg(F.sum(gain).alias(out))
+
+    per = summed([F.desc("prediction"), *ties], "dcg").join(summed([F.desc(target)], "ideal"), "_r").where("ideal <> 0")
     return per.agg(F.coalesce(F.avg(F.col("dcg") / F.col("ideal")), F.lit(0.0)).alias(f"ndcg_at_{k}"), F.count("*").alias("n_requests"))
 
 

@@ -1,11 +1,7 @@
-"""Batches of hybrid searches: exact vector top-k, filters, graph context, scores, ranks."""
+"""Batches of hybrid searches: vector top-k, filters, graph context, scores, ranks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +9,10 @@ from ..functions import scoring as S
 from ..functions.text import node_label
 from ..functions.values import epoch_seconds, freshness_days
 from .graph import both_ways
+from .vectors import CellIndex, exact_topk, index_topk
 
 #: A query asks for at most so many hits.
 MAX_K = 25
-#: Queries of one batch; more are taken in further passes, so the matrix that tasks hold is bounded.
-QUERY_BLOCK = 4096
 # Artifact types that a query may ask for.
 TYPES = ("code", "doc", "test", "proto", "config")
 # Names of the features that a model may use.
@@ -28,51 +23,13 @@ FEATURES = (
 )
 
 
-def _unit(rows) -> np.ndarray:
-    m = np.vstack(rows).astype(np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm > 0, norm, 1.0)
-
-
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
+def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "vector", index: CellIndex | None = None, n_probe: int = 16) -> DataFrame:
     """The ``k`` nearest chunks of each query by cosine: query_id, id, vector_score, vec_rank.
 
-    Exact. Queries go round in blocks of ``QUERY_BLOCK``; every task multiplies its chunks with the
-    block and keeps k rows a query, and only those are shuffled. Ties go to the smaller id; a zero
-    vector scores 0.
+    Exact over all chunks, or through an index of them, whose recall its builder measures.
     """
     k = max(1, min(MAX_K, k))
-    spark = queries.sparkSession
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    n = asked.count()
-    rounds = max(1, -(-n // QUERY_BLOCK))
-    out = None
-    for r in range(rounds):
-        block = (asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r)).toPandas()
-        shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), _unit(block["vector"]) if len(block) else np.zeros((0, 1))))
-
-        def near(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best: pd.DataFrame | None = None
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                sims = q @ _unit(pdf[vector_col]).T
-                keep = min(k, sims.shape[1])
-                # Everything as near as the k-th is kept, so ties are settled by id below.
-                edge = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-                at, col = np.nonzero(sims >= edge[:, None])
-                now = pd.DataFrame({"query_id": ids[at], id_col: pdf[id_col].to_numpy()[col], "vector_score": sims[at, col]})
-                best = now if best is None else pd.concat([best, now])
-                best = best.sort_values(["query_id", "vector_score", id_col], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        kinds = dict(asked.dtypes) | dict(chunks.dtypes)
-        found = chunks.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(near, f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, vector_score double")
-        out = found if out is None else out.unionByName(found)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vector_score"), id_col))
-    return out.withColumn("vec_rank", place).where(F.col("vec_rank") <= k)
+    return index_topk(queries, index, k, n_probe) if index else exact_topk(queries, chunks, k, id_col, vector_col)
 
 
 def validate_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

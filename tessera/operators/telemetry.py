@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,26 @@ def search_health(events: DataFrame, window: str, hit, miss, failed, latency) ->
     """Search health of each window of ``ts``."""
     out = events.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), *health_aggregates(hit, miss, failed, latency))
     return out.select(F.col("w.start").alias("window_start"), "n", "hit_ratio", "failure_ratio", "p95_latency")
+
+
+def alert_episodes(windows: DataFrame, rules: dict[str, tuple], slide_seconds: int) -> DataFrame:
+    """Alerts that held: one row per episode: rule, first_window, last_window, fired_at, n_windows, worst.
+
+    ``windows`` has window_start and the values of the rules; a rule is ``(breach condition, value, worst, seconds)``,
+    where ``worst`` is ``max`` or ``min``. A rule fires when every window for ``seconds`` breaches, one each
+    ``slide_seconds``; a window that is missing, null or well ends an episode. Each rule has a row per window,
+    as many as time has windows.
+    """
+    out = None
+    for name, (breach, value, worst, seconds) in rules.items():
+        least = max(1, -(-seconds // slide_seconds))
+        bad = windows.where(breach).select("window_start", value.alias("value"), F.unix_seconds(F.col("window_start").cast("timestamp")).alias("s"))
+        # Windows in a row keep the same distance to their number.
+        number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("s"))
+        runs = bad.withColumn("run", F.col("s") - slide_seconds * number)
+        got = runs.groupBy("run").agg(F.min("window_start").alias("first_window"), F.max("window_start").alias("last_window"), F.count("*").alias("n_windows"), (F.max if worst == "max" else F.min)("value").alias("worst"))
+        got = got.where(F.col("n_windows") >= least).select(
+            F.lit(name).alias("rule"), "first_window", "last_window", (F.col("first_window") + F.make_dt_interval(secs=F.lit(slide_seconds * (least - 1)))).alias("fired_at"), "n_windows", "worst"
+        )
+        out = got if out is None else out.unionByName(got)
+    return out

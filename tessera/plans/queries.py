@@ -17,6 +17,7 @@ from ..operators import ranking as R
 from ..operators import reports as RP
 from ..operators import search as S
 from ..operators import telemetry as TM
+from ..operators import vectors as VX
 from ..sources import stores as ST
 from . import views as W
 from . import workloads
@@ -235,6 +236,11 @@ def isolated_by_label(spark, d):
     return RP.isolated_counts(*W.graph(spark, d))
 
 
+@query(f"WITH {W.EDGES_SQL} SELECT label, id, path, name FROM nodes WHERE label IN ('DesignDoc', 'SourceFile', 'TestCase', 'IntegrationMessage') AND id NOT IN (SELECT src FROM edges WHERE {_OWN})")
+def isolated_nodes(spark, d):
+    return RP.isolated_nodes(*W.graph(spark, d))
+
+
 _WAYS = "ways AS (SELECT src AS id, type, 'OUT' AS direction, dst AS other FROM edges UNION ALL SELECT dst, type, 'IN', src FROM edges)"
 
 
@@ -286,6 +292,15 @@ def graph_page(spark, d):
     return G.page(nodes, [F.col("name"), F.col("path"), F.col("id")], 50, 25)[0].select("id", "label")
 
 
+@query(f"WITH {W.EDGES_SQL}, o AS (SELECT id, label, row_number() OVER (ORDER BY coalesce(name, path, id), name NULLS FIRST, path NULLS FIRST, id) AS n, count(*) OVER () AS total FROM nodes) SELECT id, label, total FROM o WHERE n > total - 25")
+def last_graph_page(spark, d):
+    """The last page, from a directory of ranges."""
+    nodes, path = W.graph(spark, d)[0], ST.new_folder(spark, "pages")
+    G.write_pages(nodes, [F.col("name"), F.col("path"), F.col("id")], path, 100)
+    total = G.read_page(spark, path, 0, 1)[1]
+    return G.read_page(spark, path, total - 25, 25)[0].select("id", "label", F.lit(total).cast("long").alias("total"))
+
+
 @query(f"WITH {W.EDGES_SQL}, t AS (SELECT count(*) AS total FROM nodes) SELECT asked, total, CAST(CASE WHEN total - asked >= 25 THEN asked + 25 END AS BIGINT) AS next_offset FROM t, (VALUES (50), (1000000000)) a(asked)")
 def graph_page_info(spark, d):
     nodes, _ = W.graph(spark, d)
@@ -302,6 +317,49 @@ def entity_search(spark, d):
     return G.entity_search(terms, nodes).select("term", "id", "label", "score", "place")
 
 
+def _level(n: int) -> str:
+    """SQL of the nodes ``n`` hops from each subsystem: the chosen edge, and the first one of the path."""
+    if n == 0:
+        return "e0 AS (SELECT name, id, NULL AS source, NULL AS type, NULL AS way, NULL AS relationship, NULL AS direction, 0 AS hops FROM nodes WHERE label = 'Subsystem')"
+    known = " AND ".join(f"NOT EXISTS (SELECT 1 FROM e{i} x WHERE x.name = p.name AND x.id = w.other)" for i in range(n))
+    return f"""e{n} AS (SELECT p.name, w.other AS id, p.id AS source, w.type, w.direction AS way, coalesce(p.relationship, w.type) AS relationship, coalesce(p.direction, w.direction) AS direction, {n} AS hops
+  FROM e{n - 1} p JOIN ways w ON w.id = p.id WHERE {known} QUALIFY row_number() OVER (PARTITION BY p.name, w.other ORDER BY p.id, w.type, w.direction) = 1)"""
+
+
+def _near(depth: int) -> str:
+    return f"WITH {W.EDGES_SQL}, {_WAYS}, {', '.join(map(_level, range(depth + 1)))}, found AS ({' UNION ALL '.join(f'SELECT * FROM e{i}' for i in range(1, depth + 1))})"
+
+
+def _subsystem_graph(spark, d, depth):
+    nodes, edges = W.graph(spark, d)
+    return G.subsystem_graph(nodes.where("label = 'Subsystem'").select("name"), edges, depth)
+
+
+@query(f"{_near(3)} SELECT name, id, hops, relationship, direction, count(*) OVER (PARTITION BY name) AS total FROM found")
+def subsystem_graph_nodes(spark, d):
+    return _subsystem_graph(spark, d, 3)[0]
+
+
+@query(f"{_near(2)} SELECT name, source, id AS target, type, way AS direction FROM found")
+def subsystem_graph_edges(spark, d):
+    return _subsystem_graph(spark, d, 2)[1]
+
+
+@query(f"""{_near(3)} SELECT name, id, hops AS step, source, id AS target, type, way AS direction FROM found
+UNION ALL SELECT f.name, f.id, g.hops, g.source, g.id, g.type, g.way FROM found f JOIN found g ON g.name = f.name AND g.id = f.source
+UNION ALL SELECT f.name, f.id, h.hops, h.source, h.id, h.type, h.way FROM found f JOIN found g ON g.name = f.name AND g.id = f.source JOIN found h ON h.name = g.name AND h.id = g.source""")
+def subsystem_graph_paths(spark, d):
+    return _subsystem_graph(spark, d, 3)[2]
+
+
+@query(f"""WITH {W.FILES_SQL}, c AS (SELECT path, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM files WHERE regexp_matches(content, '\\S') AND doc_id % 3 <> 0)
+SELECT path || '::' || sequence AS chunk_id FROM c""")
+def chunks_after_removal(spark, d):
+    nodes, edges = W.chunked_graph(spark, d)
+    gone = W.files(spark, d).where("doc_id % 3 = 0").select("path")
+    return ST.delete_paths(A.chunk(W.files(spark, d).select("path", "content")), nodes, edges, gone)[0].select("chunk_id")
+
+
 @query(f"""WITH {W.EDGES_SQL}, gone AS (SELECT path FROM files WHERE doc_id % 3 = 0), dead AS (SELECT id FROM nodes WHERE path IN (SELECT path FROM gone))
 SELECT src, type, dst FROM edges WHERE src NOT IN (SELECT id FROM dead) AND dst NOT IN (SELECT id FROM dead)""")
 def edges_after_removal(spark, d):
@@ -321,6 +379,20 @@ def vector_topk(spark, d):
     return S.vector_topk(queries, chunks_, 10).withColumn("vector_score", F.round("vector_score", 6))
 
 
+@query(SQL["vector_topk"])
+def indexed_topk(spark, d):
+    """Through the index of cells, read on until the hits are proven."""
+    queries, vectors = W.search_batch(spark, d)
+    return VX.index_topk(queries, VX.build_index(vectors), 10, n_probe=4, exact=True).withColumn("vector_score", F.round("vector_score", 6))
+
+
+@query()
+def index_recall(spark, d):
+    """How many of each query's ten nearest vectors a search of its nearest cells finds."""
+    queries, vectors = W.search_batch(spark, d)
+    return VX.recall(VX.index_topk(queries, VX.build_index(vectors), 10), VX.exact_topk(queries, vectors, 10))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the batch with their artifacts: the chunk of vector n is document n."""
     queries, vectors = W.search_batch(spark, d)
@@ -456,6 +528,13 @@ def score_drift(spark, d):
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean_delta", "min_delta", "max_delta")), "outside_band")
 
 
+@query(f"""WITH {_SCORE_SQL}, x AS (SELECT round(adjusted_score - base_score, 9) AS delta FROM adj)
+SELECT CAST(CASE WHEN delta < -1 THEN 0 WHEN delta >= 1 THEN 21 ELSE floor((delta + 1) / 2 * 20) + 1 END AS BIGINT) AS bucket, count(*) AS n FROM x GROUP BY 1""")
+def drift_histogram(spark, d):
+    scored = _scored(spark, d, SC.resolve_weights()[1]).select(F.round(F.col("adjusted_score") - F.col("base_score"), 9).alias("adjusted_score"), F.lit(0.0).alias("base_score"))
+    return TM.drift_histogram(scored)
+
+
 @query(f"""WITH {_SCORE_SQL}, f AS (SELECT adj.*, base_score + 0.22 * affinity + 0.08 * least(adj.n_rel, 5) + 0.10 * crit_score - 0.28 * (1.0 - ratio) AS final FROM adj LEFT JOIN ctx ON ctx.id = adj.label || ':' || adj.path
   WHERE (query_id % 40 <> 0 OR artifact_type IN ('code', 'doc')) AND (query_id % 3 <> 0 OR namespace IN ('app', 'docs', 'tests')) AND (query_id % 60 <> 0 OR (label = 'SourceFile' AND source IN ('src1', 'src2', 'src5')))
     AND (query_id % 100 <> 0 OR lower(coalesce(subsystem, '')) IN ('src1', 'src2', 'archive') OR list_has_any(list_transform(near, lambda x: lower(x)), ['src1', 'src2', 'archive']))
@@ -732,6 +811,37 @@ def search_health(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.round("hit_ratio", 9).alias("hit_ratio"), F.round("failure_ratio", 9).alias("failure_ratio"), "p95_latency")
 
 
+def alert_rules() -> dict[str, tuple]:
+    """Rules of the kind that dashboards hold for a time, over the windows of the events."""
+    return {
+        "few hits": (F.col("hit_ratio") < 0.5, F.col("hit_ratio"), "min", 3 * 3600),
+        "slow": (F.col("p95_latency") > 90, F.col("p95_latency"), "max", 2 * 3600),
+        "drift": (F.abs("drift") > 0.1, F.abs("drift"), "max", 6 * 3600),
+    }
+
+
+ALERT_WINDOWS_SQL = """h AS (SELECT date_trunc('hour', ts) AS window_start, count(*) FILTER (event_type = 'view') / greatest(count(*) FILTER (event_type IN ('view', 'click')), 1) AS hit_ratio,
+  quantile_disc(value, 0.95) AS p95_latency, avg(value) / 100 - 0.3 AS drift FROM events GROUP BY 1),
+b AS (SELECT 'few hits' AS rule, window_start, hit_ratio AS value, 3 AS least FROM h WHERE hit_ratio < 0.5
+  UNION ALL SELECT 'slow', window_start, -p95_latency, 2 FROM h WHERE p95_latency > 90 UNION ALL SELECT 'drift', window_start, -abs(drift), 6 FROM h WHERE abs(drift) > 0.1),
+r AS (SELECT *, window_start - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY rule ORDER BY window_start) AS run FROM b),
+episodes AS (SELECT rule, min(window_start) AS first_window, max(window_start) AS last_window, min(window_start) + INTERVAL 1 HOUR * (least - 1) AS fired_at, count(*) AS n_windows, round(abs(min(value)), 9) AS worst
+  FROM r GROUP BY rule, run, least HAVING count(*) >= least)"""
+
+
+def alert_windows(spark, d):
+    kind, value = F.col("event_type"), F.col("value")
+    hits, misses = F.count_if(kind == "view"), F.count_if(kind == "click")
+    rows = W.table(spark, d, "events").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("window_start"))
+    return rows.agg((hits / F.greatest(hits + misses, F.lit(1))).alias("hit_ratio"), F.percentile_approx(value, 0.95, 10_000).alias("p95_latency"), (F.avg(value) / 100 - 0.3).alias("drift"))
+
+
+@query(f"WITH {ALERT_WINDOWS_SQL} SELECT * FROM episodes")
+def alert_episodes(spark, d):
+    out = TM.alert_episodes(alert_windows(spark, d), alert_rules(), 3600)
+    return out.select("rule", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_window", "last_window", "fired_at")), "n_windows", F.round("worst", 9).alias("worst"))
+
+
 @query(f"WITH {W.FEEDBACK_SQL} SELECT chunk_id, CASE rank % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE epoch END AS epoch FROM fb")
 def parsed_times(spark, d):
     """ISO times with Z, with an offset, with a blank around, epoch seconds, nothing, and what isn't a time."""

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import artifacts as A
 from ..operators import feedback as FB
 from ..operators import ranking as R
 from ..sources import readers as RD
 from ..sources import stores as ST
+from ..sources.stores import cut_lineage
 from ..streaming import streams
 from . import views as W
-from .queries import query
+from .queries import ALERT_WINDOWS_SQL, alert_rules, alert_windows, query
 
 # ---- sources and sinks
 
@@ -156,6 +158,31 @@ def streamed_health(spark, d):
     return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), "n", F.round("hit_ratio", 9).alias("hit_ratio"), F.round("failure_ratio", 9).alias("failure_ratio"))
 
 
+# Windows that are over when the watermark, ten minutes behind the last event, has passed them.
+_OVER = "window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(f"""WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - o * INTERVAL 30 MINUTE AS window_start, event_type, value FROM events, (VALUES (0), (1)) t(o)),
+h AS (SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS n, round(count(*) FILTER (event_type = 'view') / greatest(count(*) FILTER (event_type IN ('view', 'click')), 1), 9) AS hit_ratio,
+round(count(*) FILTER (event_type = 'purchase') / count(*), 9) AS failure_ratio, quantile_disc(value, 0.95) AS p95_latency FROM w GROUP BY 1)
+SELECT * FROM h WHERE {_OVER}""")
+def streamed_health_windows(spark, d):
+    """A sketch is exact for as few rows as an hour has here."""
+    kind = F.col("event_type")
+    stream = streams.stream_health_windows(_events(spark, d), kind == "view", kind == "click", kind == "purchase", F.col("value"), "1 hour", "30 minutes")
+    out = _ran(spark, stream, "append")
+    return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), "n", *(F.round(c, 9).alias(c) for c in ("hit_ratio", "failure_ratio")), "p95_latency")
+
+
+@query(f"""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - o * INTERVAL 5 MINUTE AS window_start, value / 100 - user_id / 200.0 AS delta FROM events, (VALUES (0), (1), (2)) t(o)),
+h AS (SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, count(*) AS n, round(avg(delta), 9) AS mean_delta, abs(avg(delta)) > 0.2 AS outside_band FROM w GROUP BY 1)
+SELECT * FROM h WHERE {_OVER}""")
+def streamed_drift(spark, d):
+    results = _events(spark, d).select("ts", (F.col("value") / 100).alias("adjusted_score"), (F.col("user_id") / F.lit(200.0)).alias("base_score"))
+    out = _ran(spark, streams.stream_score_drift(results, slide="5 minutes"), "append")
+    return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")), "n", F.round("mean_delta", 9).alias("mean_delta"), "outside_band")
+
+
 @query("SELECT event_type AS profile, max(ts) AS last_run, arg_max(user_id % 2 = 0, ts) AS success FROM events GROUP BY 1")
 def streamed_last_runs(spark, d):
     runs = _events(spark, d).select(F.col("event_type").alias("profile"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 2 == 0).alias("success"))
@@ -177,10 +204,148 @@ def streamed_feedback(spark, d):
 c AS (SELECT path, epoch, content, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM late WHERE regexp_matches(content, '\\S'))
 SELECT path || '::' || sequence AS chunk_id, length(substring(content, sequence * 800 + 1, 1000)) AS n_chars, epoch FROM c""")
 def streamed_ingest(spark, d):
-    """Two batches of files, of which the second changes every fourth; the store has each path's last chunks."""
-    store, f = ST.new_folder(spark, "ingest"), W.files(spark, d).select("path", "content", F.col("git_timestamp").alias("modified"), "doc_id")
-    step = streams.ingest_batch(store)
-    step(f.drop("doc_id"), 0)
+    """A stream that comes back for the files that have changed, every fourth; the store has each path's last chunks."""
+    store, inbox, checkpoint = (ST.new_folder(spark, n) for n in ("ingest", "inbox", "ingest-checkpoint"))
+    f = W.files(spark, d).select("path", "content", F.col("git_timestamp").alias("modified"), "doc_id")
     changed = F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content"))
-    step(f.withColumn("content", changed).drop("doc_id"), 1)
+    for rows in (f, f.withColumn("content", changed).withColumn("modified", F.col("modified") + 1)):
+        rows.drop("doc_id").write.mode("append").parquet(inbox)
+        texts = spark.readStream.schema("path string, content string, modified long").parquet(inbox)
+        streams.ingest_stream(texts, store, checkpoint).awaitTermination()
     return streams.stored_chunks(spark, store).select("chunk_id", F.length("text").cast("long").alias("n_chars"), "epoch")
+
+
+#: Times of the listings, and files that each leaves out, as remainders of doc_id: the second changes some, too.
+_LISTINGS = [("2024-01-01 00:00:00", 3, -1), ("2024-01-01 01:00:00", 3, 0), ("2024-01-01 02:00:00", 4, 1), ("2024-01-01 02:00:00", 4, 1), ("2024-01-01 03:00:00", 3, 0)]
+
+
+def _listed(spark: SparkSession, d: str, sink) -> None:
+    """Run ``sink`` on the changes of listings that come one after the other; the third comes twice."""
+    inbox, name = ST.new_folder(spark, "listings"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for at, mod, left_out in _LISTINGS:
+            digest = F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(at))).otherwise(F.col("content")), 256)
+            rows = W.files(spark, d).where(F.col("doc_id") % mod != left_out).select("path", digest.alias("digest"), F.lit(at).cast("timestamp").alias("listed_at"))
+            rows.write.mode("append").parquet(inbox)
+            sink(streams.listing_changes(spark.readStream.schema("path string, digest string, listed_at timestamp").parquet(inbox))).awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+# What is listed at each hour, and what an hour has that the one before hasn't, or the other way round.
+_LISTED_SQL = f"""{W.FILES_SQL}, hours AS (SELECT * FROM (VALUES (0, 3, -1), (1, 3, 0), (2, 4, 1), (3, 3, 0)) t(h, mod, left_out)),
+listed AS (SELECT path, doc_id, h FROM files, hours WHERE doc_id % mod <> left_out),
+changes AS (
+  SELECT path, 'added' AS change, h FROM listed l WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.path = l.path AND x.h = l.h - 1)
+  UNION ALL SELECT path, 'changed', h FROM listed l WHERE doc_id % 5 = 0 AND EXISTS (SELECT 1 FROM listed x WHERE x.path = l.path AND x.h = l.h - 1)
+  UNION ALL SELECT path, 'removed', h FROM listed l WHERE h < 3 AND NOT EXISTS (SELECT 1 FROM listed x WHERE x.path = l.path AND x.h = l.h + 1))
+"""
+
+
+@query(f"WITH {_LISTED_SQL} SELECT path, change, TIMESTAMP '2024-01-01' + h * INTERVAL 1 HOUR AS listed_at FROM changes")
+def streamed_listings(spark, d):
+    out, checkpoint = ST.new_folder(spark, "changes"), ST.new_folder(spark, "changes-checkpoint")
+    _listed(spark, d, lambda changes: changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("path", "change", F.col("listed_at").cast("timestamp_ntz").alias("listed_at"))
+
+
+def _after_listings(spark: SparkSession, d: str) -> str:
+    """A store that has ingested all files, and then followed the listings."""
+    store, checkpoint = ST.new_folder(spark, "ingest"), ST.new_folder(spark, "removals-checkpoint")
+    streams.ingest_batch(store, prefixes=tuple(W.PREFIXES))(W.files(spark, d).select("path", "content", F.col("git_timestamp").alias("modified")), 0)
+    _listed(spark, d, lambda changes: streams.stream_removals(changes, store, checkpoint))
+    return store
+
+
+# A path that any listing lacked has left the store, and only an ingest brings it back.
+_STAYED = "stayed AS (SELECT * FROM files WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 1)"
+
+
+@query(f"""WITH {W.FILES_SQL}, {_STAYED}, c AS (SELECT path, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM stayed WHERE regexp_matches(content, '\\S')),
+n AS (SELECT path, count(*) AS n_stored FROM c GROUP BY path)
+SELECT path, sha256(content) AS digest, coalesce(n_stored, 0) AS chunk_count, coalesce(n_stored, 0) AS n_stored FROM stayed LEFT JOIN n USING (path)""")
+def stored_after_removals(spark, d):
+    """Ledger and chunks: what is left of both."""
+    store = _after_listings(spark, d)
+    counts = streams.stored_chunks(spark, store).groupBy("path").agg(F.count("*").alias("n_stored"))
+    return streams.stored_ledger(spark, store).join(counts, "path", "left").select("path", "digest", "chunk_count", F.coalesce("n_stored", F.lit(0)).cast("long").alias("n_stored"))
+
+
+@query(f"""WITH {W.ARTIFACTS_SQL}, {_STAYED}, t AS (SELECT typed.* FROM typed SEMI JOIN stayed USING (path)),
+c AS (SELECT path, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM t WHERE regexp_matches(content, '\\S')),
+edges AS (
+  SELECT label || ':' || path AS src, 'BELONGS_TO' AS type, 'Subsystem:' || sub0 AS dst FROM t WHERE label = 'SourceFile'
+  UNION SELECT label || ':' || path, 'DECLARES', 'IntegrationMessage:Msg' || source || 'Message' FROM t WHERE label = 'SourceFile'
+  UNION SELECT 'Subsystem:' || sub0, 'IMPLEMENTS', 'IntegrationMessage:Msg' || source || 'Message' FROM t WHERE label = 'SourceFile'
+  UNION SELECT 'Subsystem:' || sub0, 'EMITS', 'TelemetryChannel:Telemetry' || source FROM t WHERE label = 'SourceFile'
+  UNION SELECT 'Subsystem:' || dep.name, 'DEPENDS_ON', 'Subsystem:' || dependency FROM dep JOIN t ON sub0 = dep.name WHERE dep.name <> dependency
+  UNION SELECT label || ':' || path, 'HAS_CHUNK', 'Chunk:' || path || '::' || sequence FROM c JOIN t USING (path))
+SELECT src, type, dst FROM edges""")
+def graph_after_removals(spark, d):
+    return streams.stored_graph(spark, _after_listings(spark, d), W.catalog(spark))[1]
+
+
+@query(f"WITH {ALERT_WINDOWS_SQL} SELECT rule, first_window, last_window, n_windows, worst FROM episodes")
+def streamed_alerts(spark, d):
+    """The windows come day by day; every alert that fired is resolved in the end, with what the whole episode was."""
+    inbox, out, checkpoint = (ST.new_folder(spark, n) for n in ("windows", "alerts", "alerts-checkpoint"))
+    rows = cut_lineage(alert_windows(spark, d))
+    first, last = rows.agg(F.min("window_start"), F.max("window_start")).first()
+    # A well window, later than all, ends what still runs.
+    well = spark.range(2).select((F.lit(last) + F.make_dt_interval(F.lit(2) + F.col("id"))).alias("window_start"), F.lit(1.0).alias("hit_ratio"), F.lit(0.0).alias("p95_latency"), F.lit(0.0).alias("drift"))
+    rows = rows.unionByName(well)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(4):
+            # Windows of a fourth of the month after the other.
+            rows.where(F.least(F.floor(F.datediff("window_start", F.lit(first)) / 8), F.lit(3)) == part).write.mode("append").parquet(inbox)
+            alerts = streams.stream_alerts(spark.readStream.schema(rows.schema).parquet(inbox), alert_rules(), 3600)
+            alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    done = spark.read.parquet(out).where("state = 'resolved'")
+    return done.select("rule", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_window", "last_window")), "n_windows", F.round("worst", 9).alias("worst"))
+
+
+@query("""WITH want AS (SELECT unnest(['feedback_vote', 'rank', 'query']) AS lacking) SELECT lacking, position(lacking IN 'feedback_vote query rank') > 0 AS named FROM want""")
+def lacking_columns(spark, d):
+    """A training set without some of its columns is refused, and the error names them."""
+    path = ST.new_folder(spark, "dataset") + ".csv"
+    RD.write_dataset(_dataset(spark, d).drop("feedback_vote", "rank", "query"), path)
+    try:
+        RD.read_dataset(spark, path)
+        said = ""
+    except ValueError as error:
+        said = str(error)
+    fields = spark.createDataFrame([(c,) for c in RD.FIELDS], "lacking string")
+    return fields.where(F.contains(F.lit(said), F.concat(F.lit("'"), "lacking", F.lit("'")))).select("lacking", F.lit(True).alias("named"))
+
+
+def _letters():
+    """A small model: how many vowels and how many signs each text has."""
+    return lambda texts: [[float(sum(t.count(v) for v in "aeiou")), float(len(t))] for t in texts]
+
+
+@query(f"""WITH {W.FILES_SQL}, c AS (SELECT path, content, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM files WHERE regexp_matches(content, '\\S')),
+t AS (SELECT path || '::' || sequence AS chunk_id, substring(content, sequence * 800 + 1, 1000) AS text FROM c)
+SELECT chunk_id, CAST(length(text) - length(translate(text, 'aeiou', '')) AS BIGINT) AS vowels, length(text) AS signs FROM t""")
+def model_embeddings(spark, d):
+    """Chunks through an embedder that is built once a worker."""
+    out = A.embed(A.chunk(W.files(spark, d).select("path", "content")), A.model_embedder(_letters))
+    return out.select("chunk_id", *(F.col("vector")[i].cast("long").alias(c) for i, c in enumerate(("vowels", "signs"))))
+
+
+@query("""SELECT source, CAST(sum(len(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)))) AS BIGINT) AS n_lines, CAST(count(*) FILTER (text LIKE '%' || chr(13) || '%') AS BIGINT) * 0 AS n_returns
+FROM documents WHERE doc_id % 5 <> 4 GROUP BY source""")
+def artifact_tree(spark, d):
+    """Documents as a tree of files, a folder a source, read back as artifacts; a folder that isn't included stays out."""
+    root = ST.new_folder(spark, "tree")
+    rows = W.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 5 == 4, "other").otherwise("docs").alias("kind"), "source")
+    rows.write.partitionBy("kind", "source").text(root)
+    found = RD.read_artifacts(spark, root, ("kind=docs",))
+    lines = F.size(F.split("content", "\n")) - 1
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(F.sum(lines).cast("long").alias("n_lines"), F.sum(F.length("content") - F.length(F.replace("content", F.lit("\r"), F.lit("")))).cast("long").alias("n_returns"))

@@ -188,12 +188,11 @@ fb AS (
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (every vector whose id is divisible by 20, with a text of ``benchmark`` where there is one) and the documents' vectors."""
+    """Queries (every vector whose id is divisible by 20, with a text of ``benchmark`` where there is one) and all vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     texts = table(spark, sf_dir, "benchmark").select((20 * F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
     queries = e.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id").join(texts, "query_id", "left")
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
-    return queries, e.withColumnRenamed("vec_id", "chunk_id").join(documents, "chunk_id", "left_semi")
+    return queries, e.withColumnRenamed("vec_id", "chunk_id")
 
 
-SEARCH_SQL = "vecs AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), qs AS (SELECT vec_id AS query_id, embedding, b.text AS query FROM embeddings LEFT JOIN benchmark b ON vec_id = 20 * b.item_id WHERE vec_id % 20 = 0)"
+SEARCH_SQL = "vecs AS (SELECT * FROM embeddings), qs AS (SELECT vec_id AS query_id, embedding, b.text AS query FROM embeddings LEFT JOIN benchmark b ON vec_id = 20 * b.item_id WHERE vec_id % 20 = 0)"

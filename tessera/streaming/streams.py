@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..functions.text import estimate_chunks, is_blank
 from ..operators import artifacts as A
+from ..operators.graph import build_edges, build_nodes
 from ..operators.feedback import flatten_events
 from ..operators.telemetry import health_aggregates
+from ..sources.keyed import KeyedStore
 from ..sources.readers import BINARY_FILES, INCLUDE, parse_feedback_lines, relative, textual
 from ..sources.stores import cut_lineage
 
@@ -23,67 +26,267 @@ def stream_feedback(spark: SparkSession, path: str, late: str = "1 day") -> Data
     return flatten_events(once)
 
 
-STORED_LEDGER = "path string, digest string, chunk_count long, coverage_ratio double, epoch int"
+STORED_LEDGER = "path string, artifact_type string, subsystem string, message_entities array<string>, telemetry_signals array<string>, digest string, chunk_count long, coverage_ratio double, epoch int"
+STORED_CHUNKS = "path string, sequence int, text string, chunk_id string, content_digest string, namespace string, point_id string, vector array<float>, epoch int"
 
 
-def stored_ledger(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """The last ledger row of each path, of all batches or of those before one."""
-    rows = spark.read.schema(STORED_LEDGER).parquet(f"{store}/ledger")
-    if before is not None:
-        rows = rows.where(F.col("epoch") < before)
-    last = rows.groupBy("path").agg(F.max(F.struct("epoch", "digest", "chunk_count", "coverage_ratio")).alias("r"))
-    return last.select("path", "r.digest", "r.chunk_count", "r.coverage_ratio", "r.epoch")
+def ledger_store(spark: SparkSession, store: str) -> KeyedStore:
+    """What is known of each path."""
+    return KeyedStore(spark, f"{store}/ledger", STORED_LEDGER, ("path",))
+
+
+def chunk_store(spark: SparkSession, store: str) -> KeyedStore:
+    """Chunks by point id; all chunks of a path lie in one bucket."""
+    return KeyedStore(spark, f"{store}/chunks", STORED_CHUNKS, ("point_id",), by="path")
+
+
+def stored_ledger(spark: SparkSession, store: str) -> DataFrame:
+    """The ledger row of each path."""
+    return ledger_store(spark, store).read()
 
 
 def stored_chunks(spark: SparkSession, store: str) -> DataFrame:
     """The chunks of each path's last ingest, one for each point id."""
-    chunks = spark.read.parquet(f"{store}/chunks")
-    return chunks.join(stored_ledger(spark, store).select("path", "epoch"), ["path", "epoch"], "left_semi").dropDuplicates(["point_id"])
+    return chunk_store(spark, store).read()
 
 
-def ingest_batch(store: str, window: int = 1000, overlap: int = 200, embedder=None) -> Callable[[DataFrame, int], None]:
+def stored_graph(spark: SparkSession, store: str, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of what is stored: paths that are gone have none."""
+    rows = stored_ledger(spark, store)
+    files = rows.withColumns({"git_commit": F.lit(None).cast("string"), "git_timestamp": F.lit(None).cast("long")})
+    chunks = stored_chunks(spark, store).select("path", "chunk_id").join(rows.select("path", "artifact_type"), "path")
+    return build_nodes(files, catalog, chunks), build_edges(files, catalog, chunks)
+
+
+def ingest_batch(store: str, window: int = 1000, overlap: int = 200, embedder=None, prefixes: tuple[str, ...] = ("src",)) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that adds changed files' chunks, vectors and ledger rows to ``store``.
 
-    A batch writes what it changes and no more, in folders of its own, so a batch that runs again gives
-    the same tables; ``stored_chunks`` and ``stored_ledger`` read the state. A store belongs to one
-    checkpoint. ``batch`` has path, content and modified; of rows of one path the last counts.
+    Only the ledger buckets of the batch's paths are read, and a batch writes what it changes and no more; one
+    that runs again changes nothing. A store belongs to one checkpoint. ``batch`` has path, content and modified;
+    of rows of one path the last counts.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        files = batch.groupBy("path").agg(F.max_by("content", "modified").alias("content"))
-        ledger = stored_ledger(spark, store, epoch) if epoch else spark.createDataFrame([], STORED_LEDGER)
-        # Two jobs read what changed, so it is written once for both.
-        states = cut_lineage(A.classify(files, ledger.drop("epoch")).where("state <> 'skipped'"))
+        files = cut_lineage(batch.groupBy("path").agg(F.max_by("content", "modified").alias("content")))
+        ledger, chunks = ledger_store(spark, store), chunk_store(spark, store)
+        known = ledger.read(ledger.touched(files)).select("path", "digest", "chunk_count", "coverage_ratio")
+        # Several jobs read what changed, so it is written once for all.
+        states = cut_lineage(A.classify(A.describe(files, list(prefixes)), known).where("state <> 'skipped'"))
         fresh = A.embed(A.chunk(states.select("path", "content"), window, overlap), embedder)
-        fresh.write.mode("overwrite").parquet(f"{store}/chunks/epoch={epoch}")
-        counts = A.chunk_counts(spark.read.schema(fresh.schema).parquet(f"{store}/chunks/epoch={epoch}"))
-        done = A.merge_ledger(states, counts, float(epoch)).select("path", "digest", "chunk_count", "coverage_ratio")
-        done.write.mode("overwrite").parquet(f"{store}/ledger/epoch={epoch}")
+        chunks.write(fresh.withColumn("epoch", F.lit(epoch)), states, name=f"batch-{epoch}")
+        count = F.when(is_blank(F.col("content")), 0).otherwise(estimate_chunks(F.col("content"), window, overlap))
+        done = states.withColumn("chunk_count", count.cast("long")).withColumn("coverage_ratio", F.when(F.col("chunk_count") > 0, 1.0).otherwise(0.0))
+        ledger.write(done.withColumn("epoch", F.lit(epoch)), name=f"batch-{epoch}")
 
     return run
 
 
-def stream_ingest(spark: SparkSession, root: str, store: str, checkpoint: str, include: tuple[str, ...] = INCLUDE, window: int = 1000, overlap: int = 200, embedder=None, trigger: dict | None = None) -> StreamingQuery:
-    """Watch a tree of files and keep ``store`` up to date with new and changed ones; the running query.
+def removal_batch(store: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that takes removed paths (rows of ``listing_changes``) out of ``store``."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        gone = cut_lineage(batch.where("change = 'removed'").select("path").distinct())
+        if not gone.isEmpty():
+            chunk_store(spark, store).write(drop=gone, name=f"gone-{epoch}")
+            ledger_store(spark, store).write(drop=gone, name=f"gone-{epoch}")
+
+    return run
+
+
+class _Listed(StatefulProcessor):
+    """What a path's last listing said of it, and a timer for the first listing that lacks it."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "digest string, at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        seen = [(int(t.timestamp() * 1000), d) for pdf in rows for t, d in zip(pdf["listed_at"], pdf["digest"], strict=True)]
+        at, digest = max(seen, key=lambda x: x[0])
+        old = self.last.get() if self.last.exists() else None
+        # A listing that is read again says nothing new.
+        if old is None or at > old[1]:
+            if old is not None:
+                self.handle.deleteTimer(old[1])
+            self.last.update((digest, at))
+            self.handle.registerTimer(at)
+            if old is None or old[0] != digest:
+                yield pd.DataFrame({"path": [key[0]], "change": ["added" if old is None else "changed"], "digest": [digest], "listed_at": [at]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        if self.last.exists() and self.last.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
+            digest, at = self.last.get()
+            self.last.clear()
+            yield pd.DataFrame({"path": [key[0]], "change": ["removed"], "digest": [digest], "listed_at": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def listing_changes(listings: DataFrame, spread: str = "1 minute") -> DataFrame:
+    """``added``, ``changed`` and ``removed`` paths of a stream of listings ``(path, digest, listed_at)``.
+
+    A listing names every path with one time; its rows come within ``spread`` of each other in event time, and
+    listings further apart. A path is removed when a later listing has come without it: its timer, which each
+    listing renews, runs out as the watermark passes it. Rows of a listing read again change nothing. State is one
+    row a path; it needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    ``listed_at`` of a removal is the last listing that had the path.
+    """
+    rows = listings.withWatermark("listed_at", spread)
+    out = rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Listed(), outputStructType="path string, change string, digest string, listed_at long", outputMode="Append", timeMode="EventTime")
+    return out.withColumn("listed_at", F.timestamp_millis("listed_at"))
+
+
+def ingest_stream(texts: DataFrame, store: str, checkpoint: str, window: int = 1000, overlap: int = 200, embedder=None, trigger: dict | None = None, prefixes: tuple[str, ...] = ("src",)) -> StreamingQuery:
+    """Keep ``store`` up to date with a stream of ``(path, content, modified)``; the running query.
+
+    ``trigger`` is that of ``DataStreamWriter.trigger``; by default the query ends when all there is has been read.
+    """
+    writer = texts.select("path", "content", "modified").writeStream.foreachBatch(ingest_batch(store, window, overlap, embedder, prefixes))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_ingest(spark: SparkSession, root: str, store: str, checkpoint: str, include: tuple[str, ...] = INCLUDE, **options) -> StreamingQuery:
+    """Watch a tree of files and keep ``store`` up to date with new and changed ones: ``ingest_stream`` of the tree.
 
-    ``trigger`` is that of ``DataStreamWriter.trigger``; by default the query ends when all files are read.
     Spark tells files by path and time, so a changed file is read again; an unchanged text is skipped by
-    its digest. Removed files need a batch run: a stream doesn't see them.
+    its digest. This stream doesn't see removed files; ``listing_changes`` does, from listings of the tree.
     """
     files = spark.readStream.format("binaryFile").schema(BINARY_FILES).option("recursiveFileLookup", "true").load(root)
-    texts = textual(relative(files, root, include, "modificationTime"), "modified").select("path", "content", "modified")
-    writer = texts.writeStream.foreachBatch(ingest_batch(store, window, overlap, embedder)).option("checkpointLocation", checkpoint)
+    return ingest_stream(textual(relative(files, root, include, "modificationTime"), "modified"), store, checkpoint, **options)
+
+
+def stream_removals(changes: DataFrame, store: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Take the paths that ``listing_changes`` finds removed out of ``store``; the running query."""
+    writer = changes.writeStream.foreachBatch(removal_batch(store)).outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_search_health(events: DataFrame, hit, miss, failed, latency, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Sliding search health; rows later than ``late`` are left out."""
+    """Sliding search health, for any output mode; rows later than ``late`` are left out. A row is in each window that it falls in."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = events.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("n"), *health_aggregates(hit, miss, failed, latency))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "hit_ratio", "failure_ratio", "p95_latency")
 
 
+def health_panes(events: DataFrame, hit, miss, failed, latency, pane: str = "1 minute", k: int = 200) -> DataFrame:
+    """Counts and a latency sketch of each pane of ``ts``, a batch or a stream with a watermark.
+
+    The sketch's size follows from ``k``. Its quantiles are exact for up to ``k`` rows; beyond, their rank is off by
+    no more than ``2.3 / k ** 0.9`` of all rows, in 99 of 100 cases.
+    """
+    return events.groupBy(F.window("ts", pane).alias("pane")).agg(
+        F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"), F.count_if(failed).alias("failures"), F.kll_sketch_agg_double(latency.cast("double"), F.lit(k)).alias("sketch"),
+    )
+
+
+def windows_of_panes(panes: DataFrame, window: str, slide: str, k: int = 200) -> DataFrame:
+    """Search health of the sliding windows that ``panes`` make up: panes are merged, so no row is in several windows."""
+    n, hits, misses, failures = (F.sum(c) for c in ("n", "hits", "misses", "failures"))
+    out = panes.groupBy(F.window("pane", window, slide).alias("w")).agg(
+        n.alias("n"), (hits / F.greatest(hits + misses, F.lit(1))).alias("hit_ratio"), (failures / F.greatest(n, F.lit(1))).alias("failure_ratio"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"),
+    )
+    p95 = F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "hit_ratio", "failure_ratio", p95.alias("p95_latency"))
+
+
+def stream_health_windows(events: DataFrame, hit, miss, failed, latency, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes", pane: str | None = None, k: int = 200) -> DataFrame:
+    """Sliding search health from panes, for append mode: a window comes once, when it is over. Rows later than ``late`` are left out.
+
+    State is one row a pane (by default a slide) and one a window, each with a sketch of bounded size.
+    """
+    events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return windows_of_panes(health_panes(events, hit, miss, failed, latency, pane or slide, k), window, slide, k)
+
+
+def stream_score_drift(results: DataFrame, window: str = "15 minutes", slide: str = "1 minute", late: str = "10 minutes", band: float = 0.2) -> DataFrame:
+    """Mean of adjusted less base score in sliding windows, from sums of panes, and whether it leaves the band."""
+    rows = results.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    delta = F.col("adjusted_score") - F.col("base_score")
+    panes = rows.groupBy(F.window("ts", slide).alias("pane")).agg(F.count(delta).alias("n"), F.sum(delta).alias("delta"))
+    out = panes.groupBy(F.window("pane", window, slide).alias("w")).agg(F.sum("n").alias("n"), (F.sum("delta") / F.sum("n")).alias("mean_delta"))
+    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "mean_delta", (F.abs("mean_delta") > band).alias("outside_band"))
+
+
+class _Held(StatefulProcessor):
+    """The windows in a row that breach a rule."""
+
+    def __init__(self, slide_ms: int):
+        self.slide = slide_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "first long, last long, n long, worst double, fired boolean")
+
+    def _row(self, key, state: str, run):
+        import pandas as pd
+
+        return pd.DataFrame({"rule": [key[0]], "state": [state], "first_window": [run[0]], "last_window": [run[1]], "n_windows": [run[2]], "worst": [run[3]]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        pdf = pd.concat(list(rows)).sort_values("window_start")
+        run = self.run.get() if self.run.exists() else None
+        for start, breach, value, least, highest in zip(*(pdf[c] for c in ("window_start", "breach", "value", "least", "highest")), strict=True):
+            at = int(start.timestamp() * 1000)
+            if run is not None and at <= run[1]:
+                continue  # read again
+            if run is not None and (not breach or at != run[1] + self.slide):
+                if run[4]:
+                    yield self._row(key, "resolved", run)
+                run = None
+            if breach:
+                worst = value if run is None else (max if highest else min)(run[3], value)
+                run = (run[0] if run else at, at, (run[2] if run else 0) + 1, float(worst), bool(run and run[4]))
+                if not run[4] and run[2] >= least:
+                    run = (*run[:4], True)
+                    yield self._row(key, "fired", run)
+        if run is None:
+            self.run.clear()
+        else:
+            self.run.update(run)
+            # A window that never comes ends the run when the one after it is over.
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(run[1] + 2 * self.slide)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.run.exists():
+            run = self.run.get()
+            if expiredTimerInfo.getExpiryTimeInMs() == run[1] + 2 * self.slide:
+                self.run.clear()
+                if run[4]:
+                    yield self._row(key, "resolved", run)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts(windows: DataFrame, rules: dict[str, tuple], slide_seconds: int, late: str = "10 minutes") -> DataFrame:
+    """Alerts that hold, from a stream of windows: rule, state (``fired`` or ``resolved``), first_window, last_window, n_windows, worst.
+
+    ``rules`` are those of ``alert_episodes``. A rule fires as soon as every window for its time breaches, and is
+    resolved when a window does well or none comes any more; state is one run a rule. Windows come in order, or at
+    least in order from batch to batch. Needs the RocksDB state store.
+    """
+    cases = [
+        F.struct(F.lit(name).alias("rule"), F.coalesce(breach, F.lit(False)).alias("breach"), value.cast("double").alias("value"), F.lit(max(1, -(-seconds // slide_seconds))).alias("least"), F.lit(worst == "max").alias("highest"))
+        for name, (breach, value, worst, seconds) in rules.items()
+    ]
+    rows = windows.withColumn("window_start", F.col("window_start").cast("timestamp")).withWatermark("window_start", late).select("window_start", F.explode(F.array(*cases)).alias("c")).select("window_start", "c.*")
+    out = rows.groupBy("rule").transformWithStateInPandas(
+        statefulProcessor=_Held(slide_seconds * 1000), outputStructType="rule string, state string, first_window long, last_window long, n_windows long, worst double", outputMode="Append", timeMode="EventTime"
+    )
+    return out.withColumns({c: F.timestamp_millis(c) for c in ("first_window", "last_window")})
+
+
 def stream_counters(events: DataFrame, labels: list[str], window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts of each combination of labels."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
