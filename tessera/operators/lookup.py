@@ -46,9 +46,10 @@ def first_pattern(paths: DataFrame, patterns: DataFrame) -> DataFrame:
 
     A path goes to one key for each length that keys have, so there are at most as many as its own length.
     """
-    keys = cut_lineage(pattern_keys(patterns))
-    # Lengths of keys: no more than a path can be long.
-    lengths = {r["side"]: sorted(r["n"]) for r in keys.groupBy("side").agg(F.collect_set(F.length("key")).alias("n")).collect()}
+    keys = pattern_keys(patterns)
+    # Lengths of keys: no more than a path can be long. They don't need the patterns' translation.
+    plain = pattern_keys(patterns.withColumn("glob", F.lit("")))
+    lengths = {r["side"]: sorted(r["n"]) for r in plain.groupBy("side").agg(F.collect_set(F.length("key")).alias("n")).collect()}
     ends = []
     for side, cut in (("head", F.left), ("tail", F.right)):
         for n in lengths.get(side, []):

@@ -80,3 +80,48 @@ def test_stream_ingest_follows_a_tree(spark, tmp_path):
     got = streams.stored_chunks(spark, store).collect()
     assert sorted((r.path, r.epoch) for r in got) == [("docs/a.md", 0), ("docs/c.md", 1)]
     assert len({r.point_id for r in got}) == 2
+
+
+def test_sketches_of_panes(spark):
+    """A window's P95 is off by no more than the stated share of its rows, and exact for few."""
+    n, k = 40_000, 200
+    df = spark.range(n).select(F.timestamp_seconds(F.col("id") % 3600).alias("ts"), (F.hash("id") % 100_000).cast("double").alias("v"), (F.col("id") % 3 == 0).alias("hit"))
+    panes = streams.health_panes(df, F.col("hit"), ~F.col("hit"), F.lit(False), F.col("v"), "1 minute", k)
+    assert panes.count() == 60
+    windows = streams.windows_of_panes(panes, "30 minutes", "10 minutes", k).collect()
+    values = [(r.ts.timestamp(), r.v) for r in df.collect()]
+    assert len(windows) == 8
+    for w in windows:
+        inside = [v for t, v in values if w.window_start.timestamp() <= t < w.window_end.timestamp()]
+        share = sum(v <= w.p95_latency for v in inside) / len(inside)
+        assert len(inside) == w.n and abs(share - 0.95) <= 2.3 / k**0.9
+    few = streams.windows_of_panes(streams.health_panes(df.where("id % 400 = 0"), F.col("hit"), ~F.col("hit"), F.lit(False), F.col("v")), "30 minutes", "30 minutes").collect()
+    for w in few:
+        inside = sorted(r.v for r in df.where("id % 400 = 0").collect() if w.window_start <= r.ts < w.window_end)
+        assert w.p95_latency == inside[-(-95 * len(inside) // 100) - 1]
+    none = streams.windows_of_panes(streams.health_panes(df.where("id < 10"), F.col("hit"), ~F.col("hit"), F.lit(False), F.lit(None).cast("double")), "30 minutes", "30 minutes").collect()
+    assert [(w.n, w.p95_latency) for w in none] == [(10, None)]
+
+
+def test_removals_leave_the_store(spark, tmp_path):
+    """A path that a listing lacks goes; a listing read again changes nothing; the path may come back."""
+    store, listed, cp = str(tmp_path / "store"), str(tmp_path / "listed"), str(tmp_path / "cp")
+    streams.ingest_batch(store)(spark.createDataFrame([("src/a.py", "AMessage x", 1), ("src/b.py", "two", 1), ("docs/c.md", " ", 1)], "path string, content string, modified long"), 0)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    catalog = spark.createDataFrame([], "ord int, name string, key_lower string, dependencies array<string>")
+    try:
+        for hour, paths in ((1, "src/a.py src/b.py docs/c.md"), (2, "src/b.py docs/c.md"), (2, "src/b.py docs/c.md"), (3, "src/b.py docs/c.md")):
+            rows = spark.createDataFrame([(p, "d") for p in paths.split()], "path string, digest string").withColumn("listed_at", F.timestamp_seconds(F.lit(3600 * hour)))
+            rows.write.mode("append").parquet(listed)
+            changes = streams.listing_changes(spark.readStream.schema(rows.schema).parquet(listed))
+            streams.stream_removals(changes, store, cp).awaitTermination(120)
+            left = sorted(r.path for r in streams.stored_ledger(spark, store).collect())
+            assert left == (["docs/c.md", "src/a.py", "src/b.py"] if hour == 1 else ["docs/c.md", "src/b.py"])
+    finally:
+        spark.conf.unset(name)
+    assert {r.path for r in streams.stored_chunks(spark, store).collect()} == {"src/b.py"}
+    nodes, edges = streams.stored_graph(spark, store, catalog)
+    assert not nodes.where("id like '%a.py%' or label = 'IntegrationMessage'").count() and not edges.where("src like '%a.py%'").count()
+    streams.ingest_batch(store)(spark.createDataFrame([("src/a.py", "back", 2)], "path string, content string, modified long"), 1)
+    assert sorted((r.path, r.text) for r in streams.stored_chunks(spark, store).collect()) == [("src/a.py", "back"), ("src/b.py", "two")]
