@@ -7,8 +7,8 @@ the confirmed links are contracted to components.
 
 Work never squares with a group of copies: documents with one and the same set collapse to a
 representative; a bucket then links its members to a hub, twice with different hubs; members that
-are still in different components are compared in blocks, inside tasks. Where these are many, they
-must agree on a second band as well.
+are still in different components are compared in blocks, inside tasks. Where these are many, they meet
+on a shingle that sets this similar must share instead: one of the rarest of each.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -27,7 +27,7 @@ from .common import Scratch, connected_components
 BANDS, ROWS = 40, 5
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 512
-#: Members outside a bucket's largest component from which they meet by two bands at once instead.
+#: Members outside a bucket's largest component from which they meet by rare shingles instead.
 SPLIT = 4096
 #: Ids of documents up to which they are broadcast (about 120 MB); more are met by a shuffle join.
 BROADCAST_IDS = 1_000_000
@@ -213,6 +213,28 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return main.where("m.n_main < n_all").select("bucket", "m.main", "m.n_main", (F.col("n_all") - F.col("m.n_main")).alias("n_others"))
 
 
+def rare_shingles(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``members(rep, n, component)`` by the shingles on which those similar enough must meet: bucket, rep, n, component.
+
+    Of sets of a and b shingles with a similarity of t, each has no more than (1 - t) of its own that the other
+    lacks. So among the first ``n - t * n + 1`` of either, in any one order of all shingles, one is common. In the
+    order of how many members have them these are the rarest: sets of which more than (1 - t) is their own share
+    none. Members of a family just below t still meet each other. Sizes that differ by more than t allows stay
+    apart: a size has its class and the one above, whose bounds grow by 1 / t.
+    """
+    # Rows that share an id have a set each.
+    own = sets.select("rep", F.size("hashes").cast("long").alias("n"), F.xxhash64("hashes").alias("set"), "hashes")
+    each = members.select("rep", "component").distinct().join(own, "rep").select("rep", "set", "n", "component", F.explode("hashes").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("members"))
+    rank = F.row_number().over(Window.partitionBy("rep", "set").orderBy("members", "shingle"))
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = each.join(counts, "shingle").withColumn("rank", rank).where((F.col("rank") <= needed) & (F.col("members") > 1))
+    # A little wider, so that rounding of the logarithm parts no sizes that fit.
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int")
+    sized = first.select("shingle", "rep", "n", "component", F.explode(F.array(size, size + 1)).alias("size"))
+    return sized.select(F.xxhash64("shingle", "size").alias("bucket"), "rep", "n", "component").distinct()
+
+
 def screened(scratch: Scratch, sets: DataFrame, placed: DataFrame, percent: int, split: int | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of ``placed(bucket, rep, n, component)`` that share a bucket, lie in different
     components and, on 32-bit shingle hashes, are similar enough.
@@ -222,16 +244,13 @@ def screened(scratch: Scratch, sets: DataFrame, placed: DataFrame, percent: int,
     blocks, and every block of the one meets every block of the other: no pair becomes a row.
 
     Rows grow with the square of the other members over ``BLOCK``. Where these are more than ``split``,
-    two members must share another bucket: a smaller one, where they meet anyway, or another such
-    one, and then they meet in the bucket of both. Few unlike members do, and of pairs at similarity
-    0.8 one in 400,000 shares one band of 40 only.
+    the bucket's members meet by ``rare_shingles`` instead, which loses no similar pair either.
     """
     main = scratch.save(_mixed(placed), "mixed")
     crowded = main.where(F.col("n_others") > (split or SPLIT)).select("bucket")
     if not crowded.isEmpty():
-        lists = placed.join(crowded, "bucket", "left_semi").groupBy("rep", "n", "component").agg(F.sort_array(F.collect_set("bucket")).alias("b")).where("size(b) > 1")
-        twos = F.expr("flatten(transform(sequence(1, size(b) - 1), i -> transform(slice(b, 1, i), x -> xxhash64(x, b[i]))))")
-        again = scratch.save(lists.select(F.explode(twos).alias("bucket"), "rep", "n", "component"), "again")
+        members = placed.join(crowded, "bucket", "left_semi").select("rep", "n", "component").distinct()
+        again = scratch.save(rare_shingles(sets, members, percent), "again")
         main = scratch.save(main.join(crowded, "bucket", "left_anti").unionByName(_mixed(again)), "mixed")
         placed = placed.unionByName(again.select(*placed.columns))
     main = main.select("bucket", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("n_others") / BLOCK).cast("int").alias("others"))
