@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import values as V
 from ..operators import artifacts as A
 from ..operators import feedback as FB
 from ..operators import ranking as R
 from ..sources import readers as RD
+from ..sources.keyed import KeyedStore
 from ..sources import stores as ST
 from ..sources.stores import cut_lineage
 from ..streaming import streams
@@ -106,6 +110,27 @@ def ledger_snapshot(spark, d):
     return ST.read_snapshot(spark, path)
 
 
+@query(f"""WITH {W.FILES_SQL}, v AS (SELECT path, CASE WHEN doc_id % 4 = 0 THEN content || ' changed' ELSE content END AS content, CAST(CASE WHEN doc_id % 4 = 0 THEN 20 WHEN doc_id % 10 = 9 THEN 9 ELSE doc_id % 10 + 1 END AS INTEGER) AS epoch FROM files WHERE doc_id % 7 <> 0),
+c AS (SELECT path, epoch, content, unnest(range(0, CAST(ceil(length(content) / 800.0) AS BIGINT))) AS sequence FROM v WHERE regexp_matches(content, '\\S')),
+k AS (SELECT path, epoch, sha256(path || ':' || sequence || ':' || substring(content, sequence * 800 + 1, 1000)) AS d FROM c)
+SELECT substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) AS point_id, path, epoch FROM k""")
+def keyed_points(spark, d):
+    """Chunks by point id: ten batches that overlap, one that changes texts, one that drops paths; buckets are rewritten on the way."""
+    store = KeyedStore(spark, ST.new_folder(spark, "points"), "point_id string, path string, epoch int", ("point_id",), by="path", buckets=8)
+    files = W.files(spark, d).select("path", "content", "doc_id")
+
+    def points(rows, epoch):
+        chunks = A.chunk(rows)
+        return chunks.select(T.point_id(F.col("content_digest")).alias("point_id"), "path", F.lit(epoch).alias("epoch"))
+
+    for batch in range(10):
+        store.write(points(files.where((F.col("doc_id") % 10 == batch) | (F.col("doc_id") % 10 == batch - 1)), batch), name=f"batch-{batch}")
+    changed = files.where("doc_id % 4 = 0").withColumn("content", F.concat("content", F.lit(" changed")))
+    store.write(points(changed, 20), drop=changed)
+    store.write(drop=files.where("doc_id % 7 = 0"))
+    return store.read()
+
+
 @query("SELECT o_orderkey AS run_id, o_orderpriority AS profile FROM orders")
 def appended_runs(spark, d):
     path = ST.new_folder(spark, "runs")
@@ -215,23 +240,34 @@ def streamed_ingest(spark, d):
     return streams.stored_chunks(spark, store).select("chunk_id", F.length("text").cast("long").alias("n_chars"), "epoch")
 
 
+@contextmanager
+def _stateful(spark: SparkSession):
+    """Settings of stateful streams: the state store they need, and no more partitions of state than small tables ask for."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    wanted["spark.sql.shuffle.partitions"] = str(min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
+
+
 #: Times of the listings, and files that each leaves out, as remainders of doc_id: the second changes some, too.
 _LISTINGS = [("2024-01-01 00:00:00", 3, -1), ("2024-01-01 01:00:00", 3, 0), ("2024-01-01 02:00:00", 4, 1), ("2024-01-01 02:00:00", 4, 1), ("2024-01-01 03:00:00", 3, 0)]
 
 
 def _listed(spark: SparkSession, d: str, sink) -> None:
     """Run ``sink`` on the changes of listings that come one after the other; the third comes twice."""
-    inbox, name = ST.new_folder(spark, "listings"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    inbox = ST.new_folder(spark, "listings")
+    with _stateful(spark):
         for at, mod, left_out in _LISTINGS:
             digest = F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(at))).otherwise(F.col("content")), 256)
             rows = W.files(spark, d).where(F.col("doc_id") % mod != left_out).select("path", digest.alias("digest"), F.lit(at).cast("timestamp").alias("listed_at"))
             rows.write.mode("append").parquet(inbox)
             sink(streams.listing_changes(spark.readStream.schema("path string, digest string, listed_at timestamp").parquet(inbox))).awaitTermination()
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 # What is listed at each hour, and what an hour has that the one before hasn't, or the other way round.
@@ -296,17 +332,12 @@ def streamed_alerts(spark, d):
     # A well window, later than all, ends what still runs.
     well = spark.range(2).select((F.lit(last) + F.make_dt_interval(F.lit(2) + F.col("id"))).alias("window_start"), F.lit(1.0).alias("hit_ratio"), F.lit(0.0).alias("p95_latency"), F.lit(0.0).alias("drift"))
     rows = rows.unionByName(well)
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with _stateful(spark):
         for part in range(4):
-            # Windows of a fourth of the month after the other.
+            # Windows of eight days after the other.
             rows.where(F.least(F.floor(F.datediff("window_start", F.lit(first)) / 8), F.lit(3)) == part).write.mode("append").parquet(inbox)
             alerts = streams.stream_alerts(spark.readStream.schema(rows.schema).parquet(inbox), alert_rules(), 3600)
             alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
     done = spark.read.parquet(out).where("state = 'resolved'")
     return done.select("rule", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_window", "last_window")), "n_windows", F.round("worst", 9).alias("worst"))
 

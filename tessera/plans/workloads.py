@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import reports as RP
 from ..operators import search as S
+from ..operators.vectors import CellIndex
 from ..sources.stores import RankingModel, cut_lineage, replace_paths
 
 
@@ -37,13 +38,13 @@ def ingest(artifacts: DataFrame, catalog: DataFrame, ledger: DataFrame, chunks:
     }
 
 
-def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, now: float, profile: str = "default", model: RankingModel | None = None, by: str = "adjusted_score", **weights: float) -> DataFrame:
-    """Ranked hits of a batch of queries.
+def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, now: float, profile: str = "default", model: RankingModel | None = None, by: str = "adjusted_score", index: CellIndex | None = None, **weights: float) -> DataFrame:
+    """Ranked hits of a batch of queries, exact or through an index of the chunks' vectors.
 
     ``queries`` has query_id, query, vector and the filter columns q_artifact_types, q_namespaces,
     q_tags, q_subsystems, q_updated_after, q_max_age_days; ``chunks`` has the chunk columns and vector.
     """
-    hits = S.vector_topk(queries, chunks, k).join(chunks.drop("vector"), "chunk_id").join(queries.drop("vector"), "query_id")
+    hits = S.vector_topk(queries, chunks, k, index=index).join(chunks.drop("vector"), "chunk_id").join(queries.drop("vector"), "query_id")
     hits = S.payload_filters(hits)
     paths = hits.select("path", "artifact_type").distinct()
     context = S.graph_context(paths, nodes, edges).join(G.path_depth(nodes, edges).select(F.col("id").alias("node_id"), "depth"), "node_id", "left")
