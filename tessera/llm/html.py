@@ -6,8 +6,9 @@ extracted again from the containers on its host's winning path; a page without t
 own best.
 
 Boilerplate is told by the element (``nav``, ``aside``, forms, ...) or by its class, id and role.
-Inside the article only names that say nothing else count (``ad-slot``, ``comments``); of others
-(``related-work``) the content decides: mostly links, or hardly any text.
+Inside the article only names that say nothing else count (``ad-slot``, ``comments``), and not around
+its title; of others (``related-work``) the content decides: mostly links, or hardly any text. A part
+named as a header stays with its heading.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("nav footer aside button select textarea script style noscript template iframe svg canvas video audio object head title dialog menu datalist label input option".split())
+DROPPED = frozenset("nav footer aside button select textarea script style noscript template iframe svg canvas video audio object head title dialog menu datalist input option".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 #: Elements that begin and end a block; all others run on in their line.
 BLOCK = CLOSES_P | frozenset("html body br li dt dd caption col colgroup tbody thead tfoot tr td th legend optgroup option".split())
@@ -56,25 +57,27 @@ DIGITS = re.compile(r"\d+")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
-#: What an element's tag and names say: nothing, boilerplate, perhaps boilerplate, the same by a name of several meanings.
-PLAIN, GONE, PURE, MIXED = range(4)
+#: What an element's tag and names say: nothing, boilerplate, perhaps boilerplate, the same by a name of several meanings,
+#: boilerplate but for an article's title.
+PLAIN, GONE, PURE, MIXED, NAMED = range(5)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Share of a page's text from which a container that is named as main text, or any container, can stand for the page; least text of a part with a name like boilerplate.
 NAMED_SHARE, ANY_SHARE, KEPT_SHARE, LEAST_PART = 0.5, 0.8, 0.9, 200
 
 
 class Element:
-    __slots__ = ("gone", "has_h1", "has_p", "inside", "kind", "level", "linked", "mass", "name", "parent", "tag", "title", "top", "total", "wraps")
+    __slots__ = ("gone", "has_h1", "has_p", "headed", "heads", "inside", "kind", "level", "linked", "mass", "name", "parent", "tag", "title", "top", "total", "wraps")
 
     def __init__(self, tag: str, name: str, parent: Element | None, kind: int, level: int):
         self.tag, self.name, self.parent, self.kind, self.level = tag, name, parent, kind, level
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
-        self.has_h1 = self.has_p = self.wraps = self.title = self.gone = False
+        self.has_h1 = self.has_p = self.headed = self.heads = self.wraps = self.title = self.gone = False
         self.total = self.linked = self.mass = 0
         self.top: Element | None = None
 
     def dull(self) -> bool:
         """Whether a part that is named like boilerplate is it, by its content."""
-        if self.has_h1:
+        if self.has_h1 or self.headed and self.heads:
             return False
         return 3 * self.linked >= self.total or self.kind == PURE and self.total < LEAST_PART and not self.has_p
 
@@ -103,7 +106,7 @@ def _kind(names: list[str], roles: list[str]) -> int:
         if hard or not SOFT.isdisjoint(words):
             pure = all(w in HARD or w in SOFT or w in LAYOUT for w in words)
             if hard and pure:
-                return GONE
+                return NAMED
             found = PURE if pure else found or MIXED
     return found
 
@@ -155,6 +158,7 @@ def parse(source: str) -> tuple[list[Element], list[tuple[Element, str, bool, bo
         name = tag + "".join(sorted("." + DIGITS.sub("#", x) for x in (*names, *roles))) if tag in BLOCK else ""
         level = {"article": 3, "main": 2}.get(tag, int(any(not MAIN.isdisjoint(WORD.findall(x)) for x in names)) if tag in CONTAINERS and tag != "body" else 0)
         element = Element(tag, name, parent, kind, level)
+        element.headed = any("header" in WORD.findall(x) for x in names)
         stack.append(element)
         elements.append(element)
         open_tags[tag] += 1
@@ -176,6 +180,7 @@ def _weigh(elements: list[Element], runs: list[tuple[Element, str, bool, bool]])
         up.linked += e.linked
         up.has_p |= e.has_p or e.tag == "p"
         up.has_h1 |= e.has_h1 or e.tag == "h1"
+        up.heads |= e.heads or e.tag in HEADINGS
         up.wraps |= e.wraps or e.tag in ("article", "main", "h1")
     for e in elements[1:]:
         e.gone = e.parent.gone or _boilerplate(e, e.inside)
@@ -197,6 +202,8 @@ def _weigh(elements: list[Element], runs: list[tuple[Element, str, bool, bool]])
 def _boilerplate(e: Element, inside: bool) -> bool:
     if e.kind == GONE or e.tag == "form" and not e.wraps:
         return True
+    if e.kind == NAMED:
+        return not (inside and e.has_h1)
     return e.kind in (PURE, MIXED) and (not inside or e.dull())
 
 

@@ -313,6 +313,8 @@ def test_html(spark):
         ("<body><p>super<wbr>cali <x-y>cus</x-y>tom<br>next</p><table><tr><td>a<td>b</table>", "supercali custom next a b"),
         ("<p>before</p><b unclosed at the end", "before"),
         ("<!-- <p>no</p> --><p>a < b and 1 <2</p><!-- open", "a < b and 1 <2"),
+        ("<div class=banner><h1>Site</h1></div><article><div class='banner'><h1>Title</h1></div><p>Main text of it.</p><div class='banner'>Buy</div></article>", "Title Main text of it."),
+        ("<article><h1>T</h1><div class='section-header'><h2>Methods</h2></div><p>The <label>name</label> counts.</p><div class='header-links'><a href=1>one</a></div></article>", "T Methods The name counts."),
     ],
 )
 def test_html_of_odd_pages(page, text):
