@@ -26,6 +26,8 @@ VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
 GROUP = 8
 #: Rows that the cells are fitted on, at most, and cells, at most: what the driver and every task hold.
 SAMPLE_ROWS, MAX_CELLS = 50_000, 4096
+#: Queries on which the number of cells to read is measured, at most.
+SAMPLE_QUERIES = 200
 #: Slack of the bound by angles, for rounding.
 _SLACK = 1e-6
 
@@ -266,6 +268,26 @@ def index_topk(queries: DataFrame, index: CellIndex, k: int, n_probe: int = 16,
     return ranked(first.drop("vec_rank").unionByName(rest), k, index.id_col)
 
 
+def calibrated_probes(queries: DataFrame, vectors: DataFrame, index: CellIndex, k: int, share: float = 0.95, vector_col: str = "vector") -> int:
+    """How many of its nearest cells a query has to read to find ``share`` of its ``k`` exact hits.
+
+    Measured on at most ``SAMPLE_QUERIES`` queries, those of the smallest hashed ids, against all vectors. Vectors
+    without clusters need many cells.
+    """
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    sample = cut_lineage(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES))
+    cells = index.blocks.select("cell", F.explode("v_ids").alias(index.id_col))
+    hits = exact_topk(sample, vectors, k, index.id_col, vector_col).join(cells, index.id_col).groupBy("query_id").agg(F.collect_list("cell").alias("cells"))
+    rows = hits.join(sample, "query_id").collect()
+    if not rows:
+        return 1
+    sims = units([r["vector"] for r in rows]) @ index.centres.T
+    sims[:, index.radius < 0] = -2.0
+    place = np.argsort(np.argsort(-sims, axis=1, kind="stable"), axis=1)
+    places = np.sort(np.concatenate([place[i, r["cells"]] for i, r in enumerate(rows)]))
+    return int(places[min(len(places), -(-int(share * 1000) * len(places) // 1000)) - 1]) + 1
+
+
 def recall(found: DataFrame, exact: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """How many of each query's exact hits were found: query_id, hits_exact, hits_found."""
     hit = found.select("query_id", id_col, F.lit(1).alias("hit"))

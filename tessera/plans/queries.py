@@ -388,9 +388,11 @@ def indexed_topk(spark, d):
 
 @query()
 def index_recall(spark, d):
-    """How many of each query's ten nearest vectors a search of its nearest cells finds."""
+    """How many of each query's ten nearest vectors a search of its nearest cells finds, as many cells as a sample needs."""
     queries, vectors = W.search_batch(spark, d)
-    return VX.recall(VX.index_topk(queries, VX.build_index(vectors), 10), VX.exact_topk(queries, vectors, 10))
+    index = VX.build_index(vectors)
+    n_probe = VX.calibrated_probes(queries, vectors, index, 10)
+    return VX.recall(VX.index_topk(queries, index, 10, n_probe), VX.exact_topk(queries, vectors, 10))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:

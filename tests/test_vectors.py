@@ -76,6 +76,20 @@ def test_recall_and_short_cells(spark, points, tmp_path):
     assert {len(v) for v in found(V.index_topk(queries, few, 10, 1)).values()} == {3}
 
 
+def test_calibration_reaches_the_share(spark, monkeypatch):
+    """Vectors without clusters need many cells; a sample of the queries tells how many."""
+    monkeypatch.setattr(V, "SAMPLE_QUERIES", 60)
+    r = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(2000, 24)))], "chunk_id long, vector array<double>").repartition(4)
+    queries = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = V.build_index(vectors)
+    n = V.calibrated_probes(queries, vectors, index, 10)
+    assert 1 < n <= len(index.centres)
+    rows = V.recall(V.index_topk(queries, index, 10, n), V.exact_topk(queries, vectors, 10)).collect()
+    assert len(rows) == 100 and sum(r.hits_found for r in rows) >= 0.9 * sum(r.hits_exact for r in rows)
+    assert V.calibrated_probes(queries.limit(0), vectors, index, 10) == 1
+
+
 def test_recall_of_the_example_vectors(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id as chunk_id", "embedding as vector")
     queries = e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
