@@ -57,10 +57,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """Like ``save``, in as many buckets as there are shuffle partitions: a join by ``by`` needs no shuffle of it."""
+    def save_bucketed(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+        """Like ``save``, in ``n`` buckets: a join by ``by`` needs no shuffle of it.
+
+        ``n`` is at least the number of shuffle partitions, or Spark shuffles it all the same. Where ``df``
+        is already dealt by ``by`` in as many partitions, a bucket is one file.
+        """
         table = f"{name}_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.bucketBy(n, by).format("parquet").option("path", self.path(name)).saveAsTable(table)
         out = self.spark.table(table)
         # The plan holds what it needs; the files stay, since they lie outside the warehouse.

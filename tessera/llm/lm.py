@@ -7,7 +7,7 @@ is more like the target. Every document is scored by the counts of all others: i
 both models first, so a text can't speak for itself. Bigrams are counted exactly: each block of
 documents names its distinct ones, a shuffle sums them over the corpus, and a second one brings the
 sums back to the blocks that asked, but for bigrams that one block alone has. The model grows with the
-corpus and no process ever holds it.
+corpus and no process ever holds it. Texts never move: trusted ids meet the ids of the blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -26,13 +26,15 @@ from .packing import words_of
 #: Documents and tokens after which a block ends; weights of bigram, unigram and uniform parts.
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 1 << 19
 MIX = (0.5, 0.45, 0.05)
-#: Trusted ids up to which they are broadcast (about 120 MB); more are met by a shuffle join.
-BROADCAST_IDS = 1_000_000
+#: Bytes of token ids that a bucket of blocks holds on average.
+BUCKET_BYTES = 128 << 20
+#: Spark writes no more buckets without a setting; beyond, buckets grow.
+MOST_BUCKETS = 100_000
 #: Tokens whose losses are computed at once; rows that a task hands over at once.
 STEP_TOKENS, STEP_ROWS = 1 << 17, 1 << 16
 
 
-_BLOCK = "block long, doc_ids array<long>, lens array<int>, trusted array<boolean>, ids binary"
+_BLOCK = "block long, doc_ids array<long>, lens array<int>, ids binary"
 
 
 def _blocks(path: str, vocabulary: int):
@@ -43,15 +45,15 @@ def _blocks(path: str, vocabulary: int):
         words, block, held = words_of(path), TaskContext.get().partitionId() << 32, []
 
         def cut() -> pa.RecordBatch:
-            doc_ids, ids, trusted = zip(*held, strict=True)
+            doc_ids, ids = zip(*held, strict=True)
             lens = pa.array([[len(x) for x in ids]], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), lens, pa.array([trusted], pa.list_(pa.bool_())), pa.array([np.concatenate(ids).tobytes()], pa.binary())], ["block", "doc_ids", "lens", "trusted", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), lens, pa.array([np.concatenate(ids).tobytes()], pa.binary())], ["block", "doc_ids", "lens", "ids"])
 
         tokens = 0
         for batch in batches:
-            for doc_id, t, trusted in zip(*batch.columns, strict=True):
+            for doc_id, t in zip(*batch.columns, strict=True):
                 ids = words.ids(t.as_py()).astype(kind)
-                held.append((doc_id.as_py(), ids, trusted.as_py()))
+                held.append((doc_id.as_py(), ids))
                 tokens += len(ids)
                 if len(held) >= BLOCK_DOCS or tokens >= BLOCK_TOKENS:
                     yield cut()
@@ -90,6 +92,13 @@ def _bigrams(tokens: np.ndarray, before: np.ndarray, lens: np.ndarray, trusted:
     return keys, np.stack([n, np.bincount(at[np.repeat(trusted, lens)], minlength=len(keys))]), at
 
 
+def _flags(lens: np.ndarray, places: list[int] | None) -> np.ndarray:
+    """Which of a block's documents are trusted, from their places in the block."""
+    flags = np.zeros(len(lens), bool)
+    flags[places or []] = True
+    return flags
+
+
 def _asked(vocabulary: int):
     """Distinct bigrams of each block, with their numbers in all and in trusted documents."""
 
@@ -97,7 +106,7 @@ def _asked(vocabulary: int):
         for batch in batches:
             for block, lens, trusted, raw in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py(), np.int64)
-                keys, n, _ = _bigrams(*_opened(lens, raw.as_py(), vocabulary), lens, np.array(trusted.as_py(), bool), vocabulary)
+                keys, n, _ = _bigrams(*_opened(lens, raw.as_py(), vocabulary), lens, _flags(lens, trusted.as_py()), vocabulary)
                 for lo in range(0, len(keys), STEP_ROWS):
                     own = slice(lo, lo + STEP_ROWS)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[own]), block.as_py(), np.int64)), pa.array(keys[own]), pa.array(n[0, own]), pa.array(n[1, own])], ["block", "key", "n", "good"])
@@ -114,7 +123,7 @@ def _counter(vocabulary: int):
             for _, lens, trusted, raw in zip(*batch.columns, strict=True):
                 lens = np.array(lens.as_py(), np.int64)
                 ids, before = _opened(lens, raw.as_py(), vocabulary)
-                good = np.repeat(np.array(trusted.as_py(), bool), lens)
+                good = np.repeat(_flags(lens, trusted.as_py()), lens)
                 for kind, own in ((0, slice(None)), (1, good)):
                     total[kind] += np.bincount(np.concatenate([ids[own], vocabulary + before[own]]), minlength=total.shape[1])
         slots = np.flatnonzero(total[0])
@@ -166,13 +175,15 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    ids = scratch.save(trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "trusted").withColumn("trusted", F.lit(True))
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Few ids go to the texts; only where they are too many, the texts are shuffled to meet them.
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    marked = plain.join(ids, "_id", "left").select("doc_id", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    # In buckets, so that the sums come to the blocks and the blocks stay.
-    blocks = scratch.save_bucketed(marked.mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "blocks", "block")
+    read = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_blocks(tokenizer_path, vocabulary), _BLOCK), "read")
+    ids = trusted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    # A row is four bytes here and a block has at most BLOCK_DOCS of them.
+    flags = read.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(ids, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("trusted"))
+    size = read.agg(F.sum(F.length("ids"))).first()[0] or 0
+    n_buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    # Blocks move once, into one file a bucket; the sums come to them later and they stay.
+    blocks = scratch.save_bucketed(read.repartition(n_buckets, "block").join(flags, "block", "left"), "blocks", "block", n_buckets)
+    scratch.drop(read)
     plain_blocks = blocks.select("block", "lens", "trusted", "ids")
     # At most 2 * vocabulary + 1 rows, whatever the corpus is.
     summed = plain_blocks.mapInArrow(_counter(vocabulary), "slot long, n long, good long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -180,21 +191,21 @@ def scored(docs: DataFrame, trusted: DataFrame, tokenizer_path: str, vocabulary:
     for batch in summed.toArrow().to_batches():
         counts[:, batch.column("slot").to_numpy()] = batch.column("n").to_numpy(), batch.column("good").to_numpy()
     shared = spark.sparkContext.broadcast(counts)
-    asked = plain_blocks.mapInArrow(_asked(vocabulary), "block long, key long, n long, good long")
-    # A bigram has at most one row a block here, so a frequent one is no hot key. A block knows what it alone has.
-    every = Window.partitionBy("key")
-    known = asked.select("block", "key", F.sum("n").over(every).alias("n"), F.sum("good").over(every).alias("good"), F.count("*").over(every).alias("blocks"))
-    known = known.where("blocks > 1").drop("blocks")
+    # Sums and rows that asked for them share one shuffle by bigram, and a frequent bigram's rows stream through
+    # both the sum and the join. What comes back is the sum of all other blocks; a block knows its own.
+    asked = plain_blocks.mapInArrow(_asked(vocabulary), "block long, key long, n long, good long").repartition("key")
+    sums = asked.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.count("block").alias("blocks")).where("blocks > 1")
+    known = asked.join(sums.drop("blocks").hint("merge"), "key").select("block", "key", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_good") - F.col("good")).alias("good"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model = Losses(shared.value, vocabulary)
         doc_ids, lens = left.column("doc_ids").combine_chunks().flatten(), left.column("lens").combine_chunks().flatten().to_numpy().astype(np.int64)
-        good = left.column("trusted").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+        good = _flags(lens, left.column("trusted")[0].as_py())
         tokens, before = _opened(lens, left.column("ids")[0].as_py(), vocabulary)
         keys, found, at = _bigrams(tokens, before, lens, good, vocabulary)
         place = np.searchsorted(keys, right.column("key").to_numpy())
         for kind, name in enumerate(("n", "good")):
-            found[kind, place] = right.column(name).to_numpy()
+            found[kind, place] += right.column(name).to_numpy()
         means, ends = np.zeros((2, len(lens))), np.cumsum(lens)
         a = 0
         while a < len(lens):

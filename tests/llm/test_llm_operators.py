@@ -433,8 +433,8 @@ def test_lm_by_the_counts_of_all_other_rows(spark, monkeypatch):
             means.append(float(np.mean([-np.log(chance(*p)) for p in pairs(x)])) if len(x) > 1 else 0.0)
         want.append((str(i), len(x) - 1, *means))
     trusted = spark.createDataFrame([(1,), (13,), (13,), (None,), (999,)], "doc_id long")
-    for most in (lm.BROADCAST_IDS, 0):
-        monkeypatch.setattr(lm, "BROADCAST_IDS", most)
+    for size in (lm.BUCKET_BYTES, 64):
+        monkeypatch.setattr(lm, "BUCKET_BYTES", size)
         got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.scored(docs, trusted, path, vocabulary).collect())
         assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
         assert np.allclose([g[2:] for g in got], [w[2:] for w in sorted(want)], atol=1e-9)
