@@ -40,7 +40,7 @@ BATCH_BYTES, PIECE_BYTES, FLUSH_RUNS, SHARD_BYTES, TARGET_BYTES = 1 << 18, 4 <<
 #: The sample decides how runs are dealt, never what is removed.
 HOT_RUNS, SAMPLE, MOST_HOT = 4096, 64, 1_000_000
 _U = np.uint64
-_LAST = 2**63 - 1
+_LAST, _NULL_TIE = 2**63 - 1, 2**62
 _BASE = 0x5851F42D4C957F2D
 #: A byte that no UTF-8 text holds.
 _GAP = 255
@@ -491,7 +491,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tar
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     unique = docs.select(ids.alias("doc")).groupBy("doc").count().where("count > 1").limit(1).count() == 0
-    tie = F.lit(0).cast("long") if unique else F.xxhash64(raw)
+    # Rows with one id go by their texts' hash, those without an id after all others.
+    null = F.when(F.col(id_col).cast("long").isNull(), F.lit(_NULL_TIE)).otherwise(F.lit(0).cast("long"))
+    tie = null if unique else null + F.shiftrightunsigned(F.xxhash64(raw), 2)
     texts = docs.select(ids.alias("doc"), tie.alias("tie"), raw.alias("text"))
 
     hot, size = surveyed(scratch, texts, length, gram, hot_runs, sample)
@@ -504,7 +506,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tar
     late = scratch.save(found.groupBy("target").applyInArrow(_repeats(length, targets), BLOBS), "late")
     flags = met.where(F.col("kind") == FLAG).select("target", "blob").unionByName(late.select("target", "blob"))
     out = placed.groupBy("target").cogroup(flags.groupBy("target")).applyInArrow(_removed(length), RESULT)
-    out = out.select(F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    out = out.select(F.when((F.col("doc_id") != _LAST) | (F.col("tie") < _NULL_TIE), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     return out if with_text else out.drop("kept")
 
 
