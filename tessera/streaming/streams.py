@@ -96,50 +96,80 @@ def removal_batch(store: str) -> Callable[[DataFrame, int], None]:
 
 
 class _Listed(StatefulProcessor):
-    """What a path's last listing said of it, and a timer for the first listing that lacks it."""
+    """What the last listing of each path of a bucket said of it, and a timer for the first listing that lacks some.
+
+    A bucket's paths are read and written as one list, so what a listing costs is in proportion to its rows, and the
+    calls to the state store are in proportion to the buckets.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "digest string, at long")
+        self.last = handle.getListState("last", "path string, digest string, at long")
 
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
+    def _held(self) -> dict:
+        return {p: (d, at) for p, d, at in self.last.get()} if self.last.exists() else {}
 
-        seen = [(int(t.timestamp() * 1000), d) for pdf in rows for t, d in zip(pdf["listed_at"], pdf["digest"], strict=True)]
-        at, digest = max(seen, key=lambda x: x[0])
-        old = self.last.get() if self.last.exists() else None
-        # A listing that is read again says nothing new.
-        if old is None or at > old[1]:
-            if old is not None:
-                self.handle.deleteTimer(old[1])
-            self.last.update((digest, at))
-            self.handle.registerTimer(at)
-            if old is None or old[0] != digest:
-                yield pd.DataFrame({"path": [key[0]], "change": ["added" if old is None else "changed"], "digest": [digest], "listed_at": [at]})
+    def _put(self, held: dict) -> None:
+        if held:
+            self.last.put([(p, d, at) for p, (d, at) in held.items()])
+        else:
+            self.last.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+    def _rows(self, found: list):
         import pandas as pd
 
-        if self.last.exists() and self.last.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
-            digest, at = self.last.get()
-            self.last.clear()
-            yield pd.DataFrame({"path": [key[0]], "change": ["removed"], "digest": [digest], "listed_at": [at]})
+        return pd.DataFrame(found, columns=["path", "change", "digest", "listed_at"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest: dict = {}
+        for pdf in rows:
+            for p, d, at in zip(pdf["path"], pdf["digest"], pdf["at"].tolist(), strict=True):
+                if p not in newest or at > newest[p][1]:
+                    newest[p] = (d, at)
+        held, times, found = self._held(), set(), []
+        for p, (d, at) in newest.items():
+            old = held.get(p)
+            # A listing that is read again says nothing new.
+            if old is None or at > old[1]:
+                held[p] = (d, at)
+                times.add(at)
+                if old is None or old[0] != d:
+                    found.append((p, "added" if old is None else "changed", d, at))
+        if times:
+            self._put(held)
+            for at in times:
+                self.handle.registerTimer(at)
+        if found:
+            yield self._rows(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held, at = self._held(), expiredTimerInfo.getExpiryTimeInMs()
+        gone = [(p, "removed", d, last) for p, (d, last) in held.items() if last == at]
+        if gone:
+            for p, *_ in gone:
+                del held[p]
+            self._put(held)
+            yield self._rows(gone)
 
     def close(self) -> None:
         pass
 
 
-def listing_changes(listings: DataFrame, spread: str = "1 minute") -> DataFrame:
+#: Buckets of paths that a stream of listings is followed in; fixed by a stream's checkpoint.
+LISTED_BUCKETS = 256
+
+
+def listing_changes(listings: DataFrame, spread: str = "1 minute", buckets: int = LISTED_BUCKETS) -> DataFrame:
     """``added``, ``changed`` and ``removed`` paths of a stream of listings ``(path, digest, listed_at)``.
 
     A listing names every path with one time; its rows come within ``spread`` of each other in event time, and
-    listings further apart. A path is removed when a later listing has come without it: its timer, which each
-    listing renews, runs out as the watermark passes it. Rows of a listing read again change nothing. State is one
-    row a path; it needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    ``listed_at`` of a removal is the last listing that had the path.
+    listings further apart. A path is removed when a later listing has come without it: as the watermark passes a
+    listing, the timer of its bucket finds the paths that no later one has named. Rows of a listing read again change
+    nothing. State is one row a path, a list for each of ``buckets``; it needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``). ``listed_at`` of a removal is the last listing that had the path.
     """
-    rows = listings.withWatermark("listed_at", spread)
-    out = rows.groupBy("path").transformWithStateInPandas(statefulProcessor=_Listed(), outputStructType="path string, change string, digest string, listed_at long", outputMode="Append", timeMode="EventTime")
+    rows = listings.withWatermark("listed_at", spread).select("path", "digest", "listed_at", F.unix_millis("listed_at").alias("at"), F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Listed(), outputStructType="path string, change string, digest string, listed_at long", outputMode="Append", timeMode="EventTime")
     return out.withColumn("listed_at", F.timestamp_millis("listed_at"))
 
 
