@@ -53,3 +53,25 @@ def test_calls_to_the_state_of_listings_dont_grow_with_paths():
         assert len(store.rows) == n - 5
         calls.append(store.calls)
     assert calls[0] == calls[1] < 20
+
+
+def _many(spark, n=30_001):
+    """One hour of more rows than a percentile's 10,000 bins hold, each with a value of its own."""
+    return spark.range(n).select((F.timestamp_seconds(F.lit(7200) + F.col("id") % 3600)).alias("ts"), F.lit("view").alias("event_type"), ((F.col("id") * 7919) % n).cast("double").alias("value"))
+
+
+def test_the_quantile_of_many_rows_is_exact(spark, tmp_path):
+    from tessera.operators import telemetry as TM
+    from tessera.plans import queries as Q
+
+    n = 30_001
+    rows = _many(spark, n)
+    want = float(-(-95 * n // 100) - 1)
+    got = TM.search_health(rows, "1 hour", F.lit(True), F.lit(False), F.lit(False), F.col("value")).collect()
+    assert [(r.n, r.p95_latency) for r in got] == [(n, want)]
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.p95_latency for r in Q.alert_windows(spark, str(tmp_path)).collect()] == [want]
+    exact = streams.exact_windows(rows, F.lit(True), F.lit(False), F.lit(False), F.col("value"), "1 hour", "1 hour", "30 minutes").collect()
+    assert [(r.n, r.p95_latency) for r in exact] == [(n, want)]
+    none = rows.limit(3).withColumn("value", F.lit(None).cast("double"))
+    assert [r.p95_latency for r in TM.search_health(none, "1 hour", F.lit(True), F.lit(False), F.lit(False), F.col("value")).collect()] == [None]
