@@ -75,3 +75,16 @@ def test_the_quantile_of_many_rows_is_exact(spark, tmp_path):
     assert [(r.n, r.p95_latency) for r in exact] == [(n, want)]
     none = rows.limit(3).withColumn("value", F.lit(None).cast("double"))
     assert [r.p95_latency for r in TM.search_health(none, "1 hour", F.lit(True), F.lit(False), F.lit(False), F.col("value")).collect()] == [None]
+
+
+def test_a_query_without_a_text_has_no_lexical_score(spark):
+    from tessera.functions import scoring as SC
+    from tessera.operators import search as S
+
+    hits = spark.createDataFrame([(1, "a b", 0.5), (2, None, 0.5)], "query_id int, query string, vector_score double")
+    hits = hits.selectExpr("*", "'p' as path", "'a' as text", "1 as vec_rank", "cast(null as string) as subsystem", "cast(null as string) as subsystem_criticality", "1.0D as coverage_ratio", "0.0D as coverage_missing", "array('t') as tags", "1L as git_timestamp", "'n' as node_id", "2L as n_relationships", "array('x') as related_ids", "'low' as graph_criticality", "true as belongs", "1 as depth", "2L as node_timestamp")
+    scored = S.score(hits, SC.resolve_weights()[1], 10.0)
+    one, none = S.model_score(scored, ["lexical_score", "vector_score"], [1.0, 1.0], 0.0).orderBy("query_id").collect()
+    assert (one.lexical_score, one.adjusted_score) == (0.5, 1.0)
+    assert (none.lexical_score, none.weighted_lexical_score, none.base_score, none.adjusted_score, none.vector_score, none.signal_subsystem_affinity) == (None, None, None, None, 0.5, 0.0)
+    assert [r.adjusted_score is None for r in scored.orderBy("query_id").collect()] == [False, True]
