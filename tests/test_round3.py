@@ -88,3 +88,17 @@ def test_a_query_without_a_text_has_no_lexical_score(spark):
     assert (one.lexical_score, one.adjusted_score) == (0.5, 1.0)
     assert (none.lexical_score, none.weighted_lexical_score, none.base_score, none.adjusted_score, none.vector_score, none.signal_subsystem_affinity) == (None, None, None, None, 0.5, 0.0)
     assert [r.adjusted_score is None for r in scored.orderBy("query_id").collect()] == [False, True]
+
+
+def test_blocks_of_vectors_have_few_bytes(spark):
+    """Arrow may hand Python 10,000 rows at once, so none may be large, and none may pair two blocks."""
+    from tessera.operators import vectors as V
+
+    r = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(600, 64)))]
+    vectors = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    sizes = [len(x.v_unit) for x in V._packed(vectors, "chunk_id", "vector", "v", V.VECTOR_BLOCK).collect()]
+    assert max(sizes) <= 8192 and sum(sizes) == 600 * 64 * 8
+    queries = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    plan = V.exact_topk(queries, vectors, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not any(n in plan for n in ("BroadcastNestedLoopJoin", "CartesianProduct"))
