@@ -102,3 +102,24 @@ def test_blocks_of_vectors_have_few_bytes(spark):
     queries = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
     plan = V.exact_topk(queries, vectors, 5)._jdf.queryExecution().executedPlan().toString()
     assert not any(n in plan for n in ("BroadcastNestedLoopJoin", "CartesianProduct"))
+
+
+def test_the_page_directory_is_bounded(spark, tmp_path, monkeypatch):
+    from tessera.operators import graph as G
+
+    monkeypatch.setattr(G, "MAX_RANGES", 5)
+    rows = spark.range(400).select(F.format_string("n%05d", "id").alias("id"))
+    G.write_pages(rows, [F.col("id")], str(tmp_path / "pages"), 10)
+    assert spark.read.parquet(str(tmp_path / "pages/ranges")).count() <= 5
+    page, total, _ = G.read_page(spark, str(tmp_path / "pages"), 390, 10)
+    assert [r.id for r in page.collect()] == [f"n{i:05d}" for i in range(390, 400)] and total == 400
+
+
+def test_paths_through_a_hub_are_dealt(spark):
+    """Steps of paths through one hub are joined by slot, so no task has them all."""
+    from tessera.operators import graph as G
+
+    edges = spark.createDataFrame([("Subsystem:a", "X", "F:hub"), *(("F:hub", "Y", f"F:{i}") for i in range(300))], "src string, type string, dst string")
+    paths = G.subsystem_graph(spark.createDataFrame([("a",)], "name string"), edges, 2)[2]
+    assert paths.count() == 601
+    assert "slot" in paths._jdf.queryExecution().optimizedPlan().toString()
