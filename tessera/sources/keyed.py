@@ -97,7 +97,8 @@ class KeyedStore:
             version = now.version + 1
             parts, columns = [], self.spark.createDataFrame([], self.schema).columns
             if put is not None:
-                parts.append(put.select(*columns).dropDuplicates(list(self.key)).withColumns({"_version": F.lit(version).cast("long"), "_gone": F.lit(False)}))
+                # Of rows of one key one stays when they are read, so they aren't shuffled for it here.
+                parts.append(put.select(*columns).withColumns({"_version": F.lit(version).cast("long"), "_gone": F.lit(False)}))
             gone = [d.select(self.by) for d in (drop, put if replace else None) if d is not None]
             for values in gone:
                 parts.append(values.distinct().select(*(F.col(c) if c == self.by else F.lit(None).alias(c) for c in columns), F.lit(version).cast("long").alias("_version"), F.lit(True).alias("_gone")))
@@ -139,7 +140,8 @@ class KeyedStore:
         """The rows that are left of buckets with added files."""
         rows = self._load([*found.base.values(), *(f for a in found.added.values() for f in a)])
         gone = rows.where("_gone").groupBy(self.by).agg(F.max("_version").alias("_dropped"))
-        last = Window.partitionBy(*self.key).orderBy(F.desc("_version"))
+        # ``by`` follows from the key, so rows are shuffled by it once, for the join and for the keys.
+        last = Window.partitionBy(self.by, *(c for c in self.key if c != self.by)).orderBy(F.desc("_version"))
         kept = rows.where("not _gone").join(gone, self.by, "left").where("_dropped is null or _version >= _dropped")
         kept = kept.withColumn("_n", F.row_number().over(last)).where("_n = 1")
         return kept.select(*self.spark.createDataFrame([], self.schema).columns)

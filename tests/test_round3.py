@@ -123,3 +123,19 @@ def test_paths_through_a_hub_are_dealt(spark):
     paths = G.subsystem_graph(spark.createDataFrame([("a",)], "name string"), edges, 2)[2]
     assert paths.count() == 601
     assert "slot" in paths._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_write_to_the_store_shuffles_once(spark, tmp_path):
+    """Rows of one key in one write are told apart on reading, by the one shuffle that reading needs."""
+    from tessera.sources.keyed import KeyedStore
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = KeyedStore(spark, str(tmp_path / "s"), "id string, path string, n int", ("id",), by="path", buckets=4)
+        store.write(spark.createDataFrame([("a", "p", 1), ("a", "p", 1), ("b", "p", 2), ("c", "q", 3)], "id string, path string, n int"))
+        store.write(drop=spark.createDataFrame([("q",)], "path string"))
+        read = store.read()
+        assert sorted(tuple(r) for r in read.collect()) == [("a", "p", 1), ("b", "p", 2)]
+        assert "hashpartitioning(id" not in read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
