@@ -69,9 +69,11 @@ def ingest_batch(store: str, window: int = 1000, overlap: int = 200, embedder=No
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        files = cut_lineage(batch.groupBy("path").agg(F.max_by("content", "modified").alias("content")))
+        # The batch is written as it comes, so that its source runs once; then texts move once, to their paths, and meet the ledger there.
+        given = cut_lineage(batch.select("path", "content", "modified"))
+        files = given.groupBy("path").agg(F.max_by("content", "modified").alias("content"))
         ledger, chunks = ledger_store(spark, store), chunk_store(spark, store)
-        known = ledger.read(ledger.touched(files)).select("path", "digest", "chunk_count", "coverage_ratio")
+        known = ledger.read(ledger.touched(given)).select("path", "digest", "chunk_count", "coverage_ratio")
         # Several jobs read what changed, so it is written once for all.
         states = cut_lineage(A.classify(A.describe(files, list(prefixes)), known).where("state <> 'skipped'"))
         fresh = A.embed(A.chunk(states.select("path", "content"), window, overlap), embedder)

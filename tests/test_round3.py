@@ -139,3 +139,25 @@ def test_a_write_to_the_store_shuffles_once(spark, tmp_path):
         assert "hashpartitioning(id" not in read._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_ingest_moves_texts_once(spark, tmp_path, monkeypatch):
+    """Texts are shuffled by path for the last of each path, and meet the ledger where they are then."""
+    plans, cut = [], streams.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(streams, "cut_lineage", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        step, schema = streams.ingest_batch(str(tmp_path / "store")), "path string, content string, modified long"
+        step(spark.createDataFrame([("a", "older", 1), ("a", "one", 2), ("b", "two", 1)], schema), 0)
+        step(spark.createDataFrame([("a", "one", 3), ("b", "new", 3)], schema), 1)
+        assert sorted((r.path, r.text, r.epoch) for r in streams.stored_chunks(spark, str(tmp_path / "store")).collect()) == [("a", "one", 0), ("b", "new", 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One shuffle of the texts; what else is shuffled is the ledger.
+    moved = [x for p in plans[:2] for x in p.splitlines() if "Exchange hashpartitioning(path" in x]
+    assert len(moved) == 2
